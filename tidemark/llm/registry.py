@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from tidemark.llm import simhash
+from tidemark.llm import bpe, simhash
 
 
 def queries() -> dict:
     return {
+        "op2_bpe": bpe.op2_bpe,
         "op7_simhash": simhash.op7_simhash,
     }
 
