@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from tidemark.llm import bpe, simhash
+from tidemark.llm import bpe, packing, simhash
 
 
 def queries() -> dict:
     return {
         "op2_bpe": bpe.op2_bpe,
+        "op8_packing": packing.op8_packing,
         "op7_simhash": simhash.op7_simhash,
     }
 
