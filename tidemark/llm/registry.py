@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm import bpe, edit_embedding, line_dedup, packing, quality, simhash, warc
+from tidemark.llm import bpe, edit_embedding, language, line_dedup, packing, quality, simhash, warc
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op8_packing": packing.op8_packing,
         "op3_quality": quality.op3_quality,
         "op4_warc": warc.op4_warc,
+        "op5_language": language.op5_language,
         "op6_line_dedup": line_dedup.op6_line_dedup,
         "op7_simhash": simhash.op7_simhash,
     }
@@ -20,5 +21,6 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     return {
         "op4_warc": warc.ORACLE_SQL,
+        "op5_language": language.op5_language,
         "op6_line_dedup": line_dedup.ORACLE_SQL,
     }
