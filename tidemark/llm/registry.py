@@ -2,25 +2,25 @@
 
 from __future__ import annotations
 
-from tidemark.llm import bpe, edit_embedding, language, line_dedup, packing, quality, simhash, warc
+from tidemark.llm import bpe, edit_embedding, language, line_dedup, nearest, packing, quality, simhash, warc
 
 
 def queries() -> dict:
     return {
         "op1_fingerprints": edit_embedding.op1_fingerprints,
         "op2_bpe": bpe.op2_bpe,
-        "op8_packing": packing.op8_packing,
         "op3_quality": quality.op3_quality,
         "op4_warc": warc.op4_warc,
         "op5_language": language.op5_language,
         "op6_line_dedup": line_dedup.op6_line_dedup,
         "op7_simhash": simhash.op7_simhash,
+        "op8_packing": packing.op8_packing,
+        "op9_nearest": nearest.op9_nearest,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op4_warc": warc.ORACLE_SQL,
-        "op5_language": language.op5_language,
         "op6_line_dedup": line_dedup.ORACLE_SQL,
     }
