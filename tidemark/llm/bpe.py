@@ -1,11 +1,11 @@
 """Byte-level BPE encoding and decoding with a pair occurrence index.
 
-Encoding a batch: texts are cut at the added tokens and into pre-tokens; the distinct pre-tokens that the task
-has not met yet are laid out one after another in a single symbol array. The index maps every adjacent pair
-that has a merge to all its positions. Active ranks are applied in ascending order, each over all its positions
-from left to right, and every merge updates the occurrence lists of the pairs it creates. Words never merge
-across their ends. Each distinct pre-token is thus merged once per task (its ids are kept in a bounded memo),
-and a text's ids are its pre-tokens' ids in turn.
+Encoding a batch: texts are cut at the added tokens and into pre-tokens; the distinct pre-tokens that the worker
+has not met yet are laid out one after another in a single symbol array. The index maps every adjacent pair that has a
+merge to all its positions. Active ranks are applied in ascending order, each at all its positions at once,
+and the pairs that come about are entered in the lists of their ranks. Words never merge across their ends.
+Each distinct pre-token is thus merged once (its ids are kept in a memo of bounded size), and a text's ids are
+its pre-tokens' ids in turn.
 
 The vocabulary file is a parameter: it is read by the path's bytes on the driver, checked against ``MAX_FILE``
 and sent to the workers once, as a broadcast of constant size.
@@ -16,7 +16,9 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+from collections import defaultdict
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -26,8 +28,8 @@ from pyspark.sql import functions as F
 
 #: Largest vocabulary file that is broadcast, in bytes.
 MAX_FILE = 64 << 20
-#: Distinct pre-tokens whose ids a task keeps; beyond that it starts anew (results do not change).
-MEMO = 400_000
+#: Distinct pre-tokens whose ids a worker keeps; beyond that it starts anew (results do not change).
+MEMO = 800_000
 #: The pre-tokenizer's pattern of the byte-level vocabularies (fixed value), white space spelled out below.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Unicode White_Space (fixed values); Python's own \s also takes \x1c-\x1f.
@@ -51,83 +53,104 @@ class Vocabulary:
         self.added = {x["content"]: x["id"] for x in spec.get("added_tokens", [])}
         by_id = {i: t for t, i in vocab.items()} | {i: t for t, i in self.added.items()}
         self.bytes_of = [self._raw(by_id[i], letters) if i in by_id else b"" for i in range(max(by_id) + 1)]
-        self.byte_id = [0] * 256
+        self.byte_ids = np.zeros(256, dtype=np.int64)
         for letter, b in letters.items():
-            self.byte_id[b] = vocab[letter]
+            self.byte_ids[b] = vocab[letter]
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
-        #: pair of ids -> (rank, id of what they become)
-        self.merges = {(vocab[a], vocab[b]): (rank, vocab[a + b]) for rank, (a, b) in reversed(list(enumerate(merges)))}
-        self.pair_of = {rank: pair for pair, (rank, _) in self.merges.items()}
+        #: by rank: the two ids and the id that they become
+        self.pairs = [(vocab[a], vocab[b], vocab[a + b]) for a, b in merges]
+        keys = np.array([a << 32 | b for a, b, _ in self.pairs], dtype=np.int64)
+        self.keys, self.ranks = np.unique(keys, return_index=True)
         self.words = regex.compile(PATTERN.replace(r"[^\s", rf"[^{SPACE}").replace(r"\S", rf"[^{SPACE}]").replace(r"\s", rf"[{SPACE}]"))
         found = sorted(self.added, key=len, reverse=True)
         self.cut = regex.compile("(" + "|".join(map(regex.escape, found)) + ")") if found else None
 
+    def rank_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Rank of each pair's merge, -1 for none."""
+        keys = left << 32 | right
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[at] == keys, self.ranks[at], -1)
+
     @staticmethod
     def _raw(token: str, letters: dict[str, int]) -> bytes:
         return bytes(letters[c] for c in token) if all(c in letters for c in token) else token.encode()
 
 
 class Encoder:
-    """Encodes batches of texts; one for each task."""
+    """Encodes batches of texts; one for each worker process."""
 
     def __init__(self, vocabulary: Vocabulary):
         self.v = vocabulary
-        self.memo: dict[str, bytes] = {}
-
-    def merge(self, words: list[str]) -> list[bytes]:
-        """The ids (little-endian unsigned 32-bit) of pre-tokens, by the pair occurrence index."""
-        merges, byte_id = self.v.merges, self.v.byte_id
-        symbols: list[int] = []
-        ends: list[int] = []
-        for w in words:
-            symbols += [byte_id[b] for b in w.encode("utf-8", "surrogatepass")]
-            ends.append(len(symbols))
+        self._forget()
+
+    def _forget(self) -> None:
+        #: pre-token -> its number; numbers are given as pre-tokens come
+        self.number: defaultdict[str, int] = defaultdict()
+        self.number.default_factory = self.number.__len__
+        #: ids of all numbered pre-tokens one after another, and where each one's begin
+        self.flat, self.begins = np.zeros(0, dtype="<u4"), np.zeros(1, dtype=np.int64)
+
+    def merge(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pre-tokens one after another and how many each has, by the pair occurrence index."""
+        raws = [w.encode("utf-8", "surrogatepass") for w in words]
+        owner = np.repeat(np.arange(len(raws)), [len(r) for r in raws])
+        symbols = self.v.byte_ids[np.frombuffer(b"".join(raws), dtype=np.uint8)]
         n = len(symbols)
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        for e in ends:  # no pair crosses a word's end
-            if e:
-                after[e - 1] = -1
-            if e < n:
-                before[e] = -1
-        where: dict[int, list[int]] = {}
-        for i in range(n - 1):
-            if after[i] == i + 1 and (m := merges.get((symbols[i], symbols[i + 1]))):
-                where.setdefault(m[0], []).append(i)
-        ranks = list(where)
-        heapq.heapify(ranks)
+        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        edge = np.flatnonzero(owner[1:] != owner[:-1]) if n else np.zeros(0, dtype=np.int64)
+        after[edge], before[edge + 1] = -1, -1  # no pair crosses a word's end
+        after[n - 1 :] = -1
+        where: dict[int, list[np.ndarray]] = {}
+        ranks: list[int] = []
+
+        def note(places: np.ndarray) -> None:
+            """Enter the pairs that begin at these places in the index."""
+            rank = self.v.rank_of(symbols[places], symbols[after[places]])
+            has = np.flatnonzero(rank >= 0)
+            if not len(has):
+                return
+            order = has[np.argsort(rank[has], kind="stable")]
+            own = rank[order]
+            cuts = np.flatnonzero(own[1:] != own[:-1]) + 1
+            for r, at in zip(own[np.concatenate([[0], cuts])].tolist(), np.split(places[order], cuts)):
+                if r not in where:
+                    where[r] = []
+                    heapq.heappush(ranks, r)
+                where[r].append(at)
+
+        note(np.flatnonzero(after >= 0))
         while ranks:
             rank = heapq.heappop(ranks)
-            a, b = self.v.pair_of[rank]
-            made = merges[a, b][1]
-            places = where.pop(rank)
-            places.sort()
-            for i in places:
-                j = after[i]
-                if symbols[i] != a or j < 0 or symbols[j] != b:
-                    continue  # an earlier merge took one of the two
-                symbols[i], symbols[j] = made, -1
-                k = after[j]
-                after[i] = k
-                if k >= 0:
-                    before[k] = i
-                    if m := merges.get((made, symbols[k])):
-                        if m[0] not in where:
-                            where[m[0]] = []
-                            heapq.heappush(ranks, m[0])
-                        where[m[0]].append(i)
-                h = before[i]
-                if h >= 0 and (m := merges.get((symbols[h], made))):
-                    if m[0] not in where:
-                        where[m[0]] = []
-                        heapq.heappush(ranks, m[0])
-                    where[m[0]].append(h)
-        flat = np.array(symbols, dtype=np.int64)
-        out, start = [], 0
-        for e in ends:
-            own = flat[start:e]
-            out.append(own[own >= 0].astype("<u4").tobytes())
-            start = e
-        return out
+            a, b, made = self.v.pairs[rank]
+            found = where.pop(rank)
+            places = np.unique(np.concatenate(found)) if len(found) > 1 else found[0]
+            ahead = after[places]
+            places = places[(symbols[places] == a) & (ahead >= 0) & (symbols[ahead] == b)]
+            if a == b:
+                places = self._apart(places, after)
+            if not len(places):
+                continue
+            second = after[places]
+            third = after[second]
+            symbols[places], symbols[second] = made, -1
+            after[places] = third
+            more = third >= 0
+            before[third[more]] = places[more]
+            left = before[places]
+            left = left[left >= 0]
+            note(np.unique(np.concatenate([places[more], left])))
+        kept = symbols >= 0
+        return symbols[kept].astype("<u4"), np.bincount(owner[kept], minlength=len(raws))
+
+    @staticmethod
+    def _apart(places: np.ndarray, after: np.ndarray) -> np.ndarray:
+        """Of places whose pairs overlap, every other one from the left."""
+        out, taken = [], -1
+        for p, q in zip(places.tolist(), after[places].tolist()):
+            if p != taken:
+                out.append(p)
+                taken = q
+        return np.array(out, dtype=np.int64)
 
     def pieces(self, text: str) -> list[str]:
         """A whole text as pre-tokens and added tokens."""
@@ -140,16 +163,27 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers."""
-        if len(self.memo) > MEMO:
-            self.memo.clear()
-        memo = self.memo
-        split = [self.pieces(t) for t in texts]
-        new = [w for w in dict.fromkeys(w for ws in split for w in ws if w not in memo)]
-        plain = [w for w in new if w not in self.v.added]
-        for at in range(0, len(plain), 100_000):
-            memo.update(zip(plain[at : at + 100_000], self.merge(plain[at : at + 100_000])))
-        memo.update({t: int(i).to_bytes(4, "little") for t, i in self.v.added.items()})
-        return [b"".join(map(memo.__getitem__, ws)) for ws in split]
+        if len(self.number) > MEMO:
+            self._forget()
+        known = len(self.number)
+        get = self.number.__getitem__
+        numbers = [np.array(list(map(get, self.pieces(t))), dtype=np.int32) for t in texts]
+        new = list(islice(self.number, known, None))
+        flat, sizes = self.merge(["" if w in self.v.added else w for w in new])
+        if any(w in self.number for w in self.v.added):  # an added token has its one id
+            at = [k for k, w in enumerate(new) if w in self.v.added]
+            flat = np.insert(flat, np.cumsum(sizes)[at] if at else [], [self.v.added[new[k]] for k in at]).astype("<u4")
+            sizes[at] = 1
+        self.flat = np.concatenate([self.flat, flat])
+        self.begins = np.concatenate([self.begins, self.begins[-1] + np.cumsum(sizes)])
+        each = np.diff(self.begins)
+        out = []
+        for own in numbers:
+            n = each[own]
+            total = int(n.sum())
+            shift = self.begins[own] - (np.cumsum(n) - n)
+            out.append(self.flat[np.repeat(shift, n) + np.arange(total)].tobytes())
+        return out
 
     def decode(self, ids: bytes) -> str:
         """Text of ids; bytes that are not UTF-8 become U+FFFD."""
@@ -165,19 +199,19 @@ def read_vocabulary(path: str) -> bytes:
     return raw
 
 
-_PARSED: dict[str, Vocabulary] = {}
+_ENCODERS: dict[str, Encoder] = {}
 
 
-def vocabulary_of(raw: bytes) -> Vocabulary:
-    """Parsed once in each worker process."""
+def encoder_of(raw: bytes) -> Encoder:
+    """One in each worker process; later tasks find the pre-tokens of earlier ones."""
     key = hashlib.md5(raw).hexdigest()
-    if key not in _PARSED:
-        _PARSED.clear()
-        _PARSED[key] = Vocabulary(raw)
-    return _PARSED[key]
+    if key not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[key] = Encoder(Vocabulary(raw))
+    return _ENCODERS[key]
 
 
-def batches(pdf: pd.DataFrame, chars: int = 4 << 20) -> Iterator[pd.DataFrame]:
+def batches(pdf: pd.DataFrame, chars: int = 16 << 20) -> Iterator[pd.DataFrame]:
     """Parts of a batch with about ``chars`` characters of text each (one row at least)."""
     sizes = pdf["text"].str.len().fillna(0).to_numpy()
     edges = np.flatnonzero(np.diff((np.cumsum(sizes) - sizes) // chars)) + 1
@@ -191,7 +225,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     raw = docs.sparkSession.sparkContext.broadcast(read_vocabulary(path))
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = Encoder(vocabulary_of(raw.value))
+        encoder = encoder_of(raw.value)
         for whole in parts:
             for pdf in batches(whole):
                 ids = encoder.encode([t or "" for t in pdf["text"]])
@@ -205,7 +239,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     raw = encoded.sparkSession.sparkContext.broadcast(read_vocabulary(path))
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = Encoder(vocabulary_of(raw.value))
+        encoder = encoder_of(raw.value)
         for pdf in parts:
             yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "text": [encoder.decode(x or b"") for x in pdf["ids"]]})
 
@@ -222,7 +256,7 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
     raw = docs.sparkSession.sparkContext.broadcast(read_vocabulary(path))
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = Encoder(vocabulary_of(raw.value))
+        encoder = encoder_of(raw.value)
         sha = lambda b: hashlib.sha256(b).hexdigest()
         for whole in parts:
             for pdf in batches(whole):

@@ -140,7 +140,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END)
         return [(k, a, b - a, zlib.crc32(ids[4 * a : 4 * b])) for k, (a, b) in enumerate(zip(starts, [*starts[1:], n]))]
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = bpe.Encoder(bpe.vocabulary_of(raw.value))
+        encoder = bpe.encoder_of(raw.value)
         for whole in parts:
             for pdf in bpe.batches(whole):
                 found = [cut(ids + last) for ids in encoder.encode([t or "" for t in pdf["text"]])]
