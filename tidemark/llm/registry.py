@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm import bpe, edit_embedding, language, line_dedup, nearest, packing, quality, simhash, warc
+from tidemark.llm import bpe, edit_embedding, language, line_dedup, nearest, ngram_lm, packing, quality, simhash, warc
 
 
 def queries() -> dict:
@@ -16,6 +16,7 @@ def queries() -> dict:
         "op7_simhash": simhash.op7_simhash,
         "op8_packing": packing.op8_packing,
         "op9_nearest": nearest.op9_nearest,
+        "op10_ngram_lm": ngram_lm.op10_ngram_lm,
     }
 
 
