@@ -214,6 +214,8 @@ class Store:
         if self.options.max_size is not None and sum(t.bytes for t in m.all_trees().values()) > self.options.max_size:
             raise StoreError(Code.MAP_FULL)
         if self.options.sync in (LAZY, NONE):
+            if self._unsynced is not None:  # versions that are never written: the next one answers for them
+                m.wrote = None if m.wrote is None or self._unsynced.wrote is None else self._unsynced.wrote + m.wrote
             self._unsynced = self._manifest = m.sealed()
             if self.options.sync == LAZY and time.monotonic() - self._synced_at >= self.options.sync_interval:
                 self.sync()
