@@ -33,7 +33,7 @@ from xxhash import xxh64_intdigest
 from tidemark.session import materialize, move_shared, new_folder, open_shared
 
 #: Tokens that a task counts or scores at a time, and bytes of text for each shard.
-CHUNK, SCORED, SHARD_BYTES = 4_000_000, 1_000_000, 24 << 20
+CHUNK, SCORED, SHARD_BYTES = 2_500_000, 300_000, 12 << 20
 START, END = np.uint64(0x5354415254), np.uint64(0x454E44)
 HELD_OUT, HELD_OUT_REST = 7, 2
 
@@ -69,6 +69,25 @@ def _sum_by(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
     return keys[first], *(np.add.reduceat(v[order], first) for v in values)
 
 
+def _counted(us: list, vs: list, ns: list | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct pairs in the order of their hashes and their counts; empties the lists, to hold few copies."""
+    u, v = np.concatenate(us), np.concatenate(vs)
+    us.clear(), vs.clear()
+    p = pair_hash(u, v)
+    order = np.argsort(p)
+    p = p[order]
+    first = np.flatnonzero(np.concatenate([[True], p[1:] != p[:-1]]))
+    if ns is None:
+        n = np.diff(np.append(first, len(p)))
+    else:
+        n = np.concatenate(ns)[order]
+        ns.clear()
+        n = np.add.reduceat(n, first)
+    del p
+    order = order[first]
+    return u[order], v[order], n
+
+
 def _pack(u: np.ndarray, v: np.ndarray, n: np.ndarray) -> bytes:
     """Pairs with counts; each first word once."""
     order = np.argsort(u, kind="stable")
@@ -224,18 +243,15 @@ def train(docs: DataFrame) -> Model:
                 us.append(u), vs.append(v)
                 held += len(u)
                 if held >= CHUNK:
-                    yield from dealt(np.concatenate(us), np.concatenate(vs))
-                    us, vs, held = [], [], 0
+                    yield from dealt(us, vs)
+                    held = 0
         if held:
-            yield from dealt(np.concatenate(us), np.concatenate(vs))
+            yield from dealt(us, vs)
 
-    def dealt(u: np.ndarray, v: np.ndarray) -> Iterator[pd.DataFrame]:
-        p = pair_hash(u, v)
-        order = np.argsort(p)
-        p = p[order]
-        first = np.flatnonzero(np.concatenate([[True], p[1:] != p[:-1]]))
-        n = np.diff(np.append(first, len(p)))
-        u, v, edges = u[order[first]], v[order[first]], np.searchsorted(shard_of(p[first], shards), np.arange(shards + 1))
+    def dealt(us: list, vs: list) -> Iterator[pd.DataFrame]:
+        """Distinct pairs of what the lists hold, by shard; the lists are emptied."""
+        u, v, n = _counted(us, vs)
+        edges = np.searchsorted(shard_of(pair_hash(u, v), shards), np.arange(shards + 1))
         for s in np.flatnonzero(np.diff(edges)).tolist():
             part = slice(edges[s], edges[s + 1])
             yield pd.DataFrame({"shard": [s], "raw": [_pack(u[part], v[part], n[part])]})
@@ -248,17 +264,15 @@ def train(docs: DataFrame) -> Model:
                 held.append(_unpack(raw))
                 pending += len(held[-1][0])
                 if pending > max(1 << 20, len(held[0][0])):
-                    held, pending = [_merged(held)], 0
+                    held.append(_merged(held))
+                    pending = 0
         if shard is not None:
             yield from store_pairs(shard, held)
 
     def _merged(held: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        u, v, n = (np.concatenate(x) for x in zip(*held))
-        p = pair_hash(u, v)
-        order = np.argsort(p)
-        p = p[order]
-        first = np.flatnonzero(np.concatenate([[True], p[1:] != p[:-1]]))
-        return u[order[first]], v[order[first]], np.add.reduceat(n[order], first)
+        us, vs, ns = (list(x) for x in zip(*held))
+        held.clear()
+        return _counted(us, vs, ns)
 
     def store_pairs(shard: int, held: list) -> Iterator[pd.DataFrame]:
         u, v, n = _merged(held)
