@@ -24,6 +24,7 @@ from collections.abc import Iterator
 from urllib.parse import quote
 
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -38,6 +39,7 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2024-01-01T00:00:00Z"
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n"
 RECORD = "kind string, record_id string, page_id long, refers_to string, payload_bytes long, payload_digest string, payload binary, problem string"
+_ARROW = pa.schema([(n, {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}[t]) for n, t in (x.split() for x in RECORD.split(", "))])
 PART = "origin string, segment int, total long, block binary"
 
 
@@ -116,17 +118,17 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
     refers = F.when(F.col("page_id").isNull() | (F.col("page_id") < F.col("largest")), F.col("largest"))
     plan = digested.join(groups, "digest", "left").select("page_id", "url", "payload", "digest", refers.alias("refers_to"))
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
         name, made, out = f"{folder}/pages-{context.partitionId():05d}", [], None
-        for pdf in parts:
-            for page_id, url, body, digest, ref in zip(*(pdf[c] for c in ("page_id", "url", "payload", "digest", "refers_to"))):
+        for part in parts:
+            for page_id, url, body, digest, ref in _rows(part, "page_id", "url", "payload", "digest", "refers_to"):
                 if out is None:
                     made.append(f"{name}-{len(made):03d}.warc.gz")
                     tmp, size = f"{made[-1]}.{context.taskAttemptId()}.tmp", 0
                     out = open_shared(tmp, "wb")
                     out.write(_record([("WARC-Type", "warcinfo"), ("WARC-Record-ID", record_id(None, made[-1])), ("WARC-Date", DATE), ("Content-Type", "application/warc-fields")], b"format: WARC File Format 1.1\r\n"))
-                for packed in records(None if pd.isna(page_id) else int(page_id), url, bytes(body), digest, None if pd.isna(ref) else int(ref)):
+                for packed in records(page_id, url, body, digest, ref):
                     out.write(packed)
                     size += len(packed)
                 if size > ROLL:
@@ -136,9 +138,16 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
         if out is not None:
             out.close()
             move_shared(tmp, made[-1])
-        yield pd.DataFrame({"path": pd.Series(made, dtype=object)})
+        yield pa.record_batch({"path": pa.array(made, pa.string())})
+
+    return materialize(plan.mapInArrow(run, "path string"), "archives")[0]
+
 
-    return materialize(plan.mapInPandas(run, "path string"), "archives")[0]
+def _rows(part: pa.RecordBatch, *names: str) -> Iterator[tuple]:
+    """Rows one at a time: of a batch of large values only one is a Python object."""
+    columns = [part.column(n) for n in names]
+    for i in range(part.num_rows):
+        yield tuple(c[i].as_py() for c in columns)
 
 
 def parse(stream) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -233,10 +242,12 @@ def read_archives(paths: DataFrame, keep_payload: bool = True) -> DataFrame:
     found, _ = materialize(paths.repartition(n).mapInPandas(scan, f"{RECORD}, {PART}"), "records")
     own = [x.split()[0] for x in RECORD.split(", ")]
 
-    def joined(parts: Iterator[pd.DataFrame]) -> Iterator[tuple[dict, int]]:
+    needed = ("origin", "segment", "total", "block", "page_id", "problem")
+
+    def joined(parts: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict, int]]:
         origin, held = None, []
-        for pdf in parts:
-            for row in pdf.to_dict("records"):
+        for part in parts:
+            for row in (dict(zip(needed, x)) for x in _rows(part, *needed)):
                 if row["origin"] != origin and held:
                     yield from whole(origin, held)
                     held = []
@@ -249,22 +260,23 @@ def read_archives(paths: DataFrame, keep_payload: bool = True) -> DataFrame:
         """Segments of one origin in order; rows that repeat a page give every segment as often."""
         copies = sum(r["segment"] == 1 for r in held) or 1
         once, first = held[::copies], held[0]
-        fields = {"warc-record-id": origin, "warc-payload-digest": first["problem"] or ""} | ({} if pd.isna(first["page_id"]) else {"x-page-id": str(int(first["page_id"]))})
+        fields = {"warc-record-id": origin, "warc-payload-digest": first["problem"] or ""} | ({} if first["page_id"] is None else {"x-page-id": str(first["page_id"])})
         block, total = b"".join(r["block"] for r in once), once[-1]["total"]
-        if [r["segment"] for r in once] != list(range(1, len(once) + 1)) or len(held) != copies * len(once) or pd.isna(total):
+        if [r["segment"] for r in once] != list(range(1, len(once) + 1)) or len(held) != copies * len(once) or total is None:
             row = _row("response", fields, None, keep_payload, "segments are missing")
-        elif len(block) != int(total):
+        elif len(block) != total:
             row = _row("response", fields, None, keep_payload, "total length differs")
         else:
             row = _whole("response", fields, block, keep_payload)
         for _ in range(copies):
             yield row, 400 + len(row["payload"] or b"")
 
-    def reassemble(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        yield from _frames(joined(parts), own)
+    def reassemble(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for frame in _frames(joined(parts), own):
+            yield pa.RecordBatch.from_pandas(frame, schema=_ARROW, preserve_index=False)
 
-    segments = found.where("kind = 'segment'").select("origin", "segment", "total", "block", "page_id", "problem")
-    split = segments.repartition("origin").sortWithinPartitions("origin", "segment").mapInPandas(reassemble, RECORD)
+    segments = found.where("kind = 'segment'").select(*needed)
+    split = segments.repartition("origin").sortWithinPartitions("origin", "segment").mapInArrow(reassemble, RECORD)
     return found.where("kind <> 'segment'").select(*own).unionByName(split)
 
 
