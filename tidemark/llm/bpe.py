@@ -27,6 +27,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.memory import lean
+
 #: Largest vocabulary file that is broadcast, in bytes.
 MAX_FILE = 64 << 20
 #: Distinct pre-tokens whose ids a worker keeps; beyond that it starts anew (results do not change).
@@ -230,13 +232,17 @@ def encoder_of(raw: bytes) -> Encoder:
     return _ENCODERS[key]
 
 
-def batches(pdf: pd.DataFrame, chars: int = 16 << 20) -> Iterator[pd.DataFrame]:
-    """Parts of a batch with about ``chars`` characters of text each (one row at least)."""
-    sizes = pdf["text"].str.len().fillna(0).to_numpy()
-    edges = np.flatnonzero(np.diff((np.cumsum(sizes) - sizes) // chars)) + 1
-    for a, b in zip([0, *edges], [*edges, len(pdf)]):
-        if b > a:
-            yield pdf.iloc[a:b]
+def batches(parts: Iterator[pd.DataFrame], chars: int = 16 << 20) -> Iterator[pd.DataFrame]:
+    """Batches put together to about ``chars`` characters of text, so that a merge serves many new pre-tokens at once."""
+    held, size = [], 0
+    for pdf in parts:
+        held.append(pdf)
+        size += int(pdf["text"].str.len().fillna(0).sum())
+        if size >= chars:
+            yield pd.concat(held, ignore_index=True)
+            held, size = [], 0
+    if held:
+        yield pd.concat(held, ignore_index=True)
 
 
 def encode(docs: DataFrame, path: str) -> DataFrame:
@@ -245,12 +251,11 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder = encoder_of(raw.value)
-        for whole in parts:
-            for pdf in batches(whole):
-                ids = encoder.encode([t or "" for t in pdf["text"]])
-                yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "ids": ids})
+        for pdf in batches(parts):
+            ids = encoder.encode([t or "" for t in pdf["text"]])
+            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "ids": ids})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(run, "doc_id long, ids binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(lean(run), "doc_id long, ids binary")
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
@@ -262,7 +267,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
         for pdf in parts:
             yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "text": [encoder.decode(x or b"") for x in pdf["ids"]]})
 
-    return encoded.select("doc_id", "ids").mapInPandas(run, "doc_id long, text string")
+    return encoded.select("doc_id", "ids").mapInPandas(lean(run), "doc_id long, text string")
 
 
 def round_trip(docs: DataFrame, path: str) -> DataFrame:
@@ -277,19 +282,18 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder = encoder_of(raw.value)
         sha = lambda b: hashlib.sha256(b).hexdigest()
-        for whole in parts:
-            for pdf in batches(whole):
-                ids = encoder.encode([t or "" for t in pdf["text"]])
-                yield pd.DataFrame(
-                    {
-                        "doc_id": pdf["doc_id"].astype("Int64"),
-                        "n_tokens": [len(x) // 4 for x in ids],
-                        "ids_sha256": [sha(x) for x in ids],
-                        "decoded_sha256": [sha(encoder.decode(x).encode("utf-8", "surrogatepass")) for x in ids],
-                    }
-                )
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+        for pdf in batches(parts):
+            ids = encoder.encode([t or "" for t in pdf["text"]])
+            yield pd.DataFrame(
+                {
+                    "doc_id": pdf["doc_id"].astype("Int64"),
+                    "n_tokens": [len(x) // 4 for x in ids],
+                    "ids_sha256": [sha(x) for x in ids],
+                    "decoded_sha256": [sha(encoder.decode(x).encode("utf-8", "surrogatepass")) for x in ids],
+                }
+            )
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(lean(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 #: Vocabulary of the registered queries.

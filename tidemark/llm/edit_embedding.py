@@ -26,6 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
+from tidemark.llm.memory import lean
+
 BITS, WALKS, SEED = 512, 2, 20240229
 #: Characters that are walked side by side, and texts below which each is walked alone.
 BATCH_CHARS, ALONE = 8 << 20, 24
@@ -166,7 +168,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
                 fps = walker().fingerprints(texts[a:b])
                 yield pd.DataFrame({"doc_id": pdf["doc_id"].iloc[a:b].astype("Int64"), "n_chars": [len(t) for t in texts[a:b]], "fingerprint": [x.tobytes().hex() for x in fps]})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(run, "doc_id long, n_chars long, fingerprint string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(lean(run), "doc_id long, n_chars long, fingerprint string")
 
 
 def near_copies(docs: DataFrame, least: float = LIKENESS) -> tuple[DataFrame, DataFrame]:
@@ -255,7 +257,7 @@ def against_edits(docs: DataFrame) -> DataFrame:
             }
         )
 
-    return rows.select("doc_id", "text", "halo").mapInPandas(run, RESULT)
+    return rows.select("doc_id", "text", "halo").mapInPandas(lean(run), RESULT)
 
 
 def op1_fingerprints(spark, sf_dir: str) -> DataFrame:

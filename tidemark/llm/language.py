@@ -24,6 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.memory import lean
 from tidemark.session import materialize
 
 #: Most languages that are told apart (those declared most often), and hashed trigrams.
@@ -99,7 +100,7 @@ def _count(rows: DataFrame) -> DataFrame:
             yield pd.DataFrame({"lang": lang, "bucket": at.astype(np.int32), "n": n[at]})
         sums.clear()
 
-    return rows.select("text", "declared", "markup").mapInPandas(run, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    return rows.select("text", "declared", "markup").mapInPandas(lean(run), "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
 
 
 class TextModel:
@@ -135,7 +136,7 @@ def _text_scores(rows: DataFrame, model: TextModel) -> DataFrame:
             got = [(len(grams), shared.value.likelihoods(grams), declared) for grams, declared in _read(pdf)]
             yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "page_id": pdf["page_id"].astype("Int64"), "h": pdf["h"], "host": pdf["host"], "declared": [x[2] for x in got], "n_trigrams": [x[0] for x in got], "likelihoods": [x[1] for x in got]})
 
-    return rows.mapInPandas(run, "doc_id long, page_id long, h long, host string, declared string, n_trigrams long, likelihoods array<double>")
+    return rows.mapInPandas(lean(run), "doc_id long, page_id long, h long, host string, declared string, n_trigrams long, likelihoods array<double>")
 
 
 def _counts(scored: DataFrame, key: str, size: int) -> DataFrame:

@@ -24,6 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.llm.memory import lean
 from tidemark.session import materialize
 
 TABLES, FUNCTIONS, WIDTH, TARGET, SEED = 2, 6, 2.5, 0.8, 7
@@ -121,7 +122,7 @@ def search(embeddings: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
                 found = np.unique(np.concatenate([probes(np.asarray(v), t, spread) for t in range(TABLES)]))
                 yield pd.DataFrame({"bucket": found, "query_id": query_id})
 
-    index, _ = materialize(few.select("vec_id", "v").mapInPandas(placed, "bucket long, vec_id long, v array<double>"), "index")
+    index, _ = materialize(few.select("vec_id", "v").mapInPandas(lean(placed), "bucket long, vec_id long, v array<double>"), "index")
     shards = max(1, -(-index.count() // SHARD))
     sizes = index.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / SHARD).cast("int").alias("parts"))
     sizes, _ = materialize(sizes, "buckets")
@@ -129,7 +130,7 @@ def search(embeddings: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
 
     split = index.join(sizes, "bucket").withColumn("part", F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int"))
     held = split.select(shard_of, F.lit(0).alias("kind"), F.col("vec_id").alias("id"), "v", F.array("bucket").alias("buckets"))
-    visits = asked.select("vec_id", "v").mapInPandas(probing, "bucket long, query_id long").join(sizes, "bucket")
+    visits = asked.select("vec_id", "v").mapInPandas(lean(probing), "bucket long, query_id long").join(sizes, "bucket")
     visits = visits.select("query_id", "bucket", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).select(shard_of, "query_id", "bucket")
     visits = visits.groupBy("shard", "query_id").agg(F.collect_set("bucket").alias("buckets"))
     asks = visits.join(asked, F.col("query_id") == F.col("vec_id")).select("shard", F.lit(1).alias("kind"), F.col("query_id").alias("id"), "v", "buckets")
@@ -149,7 +150,7 @@ def search(embeddings: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
                     yield from _best(own, index_of, k)
 
     both = held.unionByName(asks).repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "kind")
-    found = both.mapInPandas(rerank, "query_id long, vec_id long, score double")
+    found = both.mapInPandas(lean(rerank), "query_id long, vec_id long, score double")
     best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -30,6 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
+from tidemark.llm.memory import lean
 from tidemark.session import materialize, move_shared, new_folder, open_shared
 
 #: Tokens that a task counts or scores at a time, and bytes of text for each shard.
@@ -294,7 +295,7 @@ def train(docs: DataFrame) -> Model:
         yield pd.DataFrame(rows)
 
     by_word = "shard int, side int, raw binary, n1 long, n2 long, n3 long, n4 long, tokens long"
-    pairs = texts.mapInPandas(count, "shard int, raw binary").repartitionById(shards, F.col("shard")).mapInPandas(merge_pairs, by_word)
+    pairs = texts.mapInPandas(lean(count), "shard int, raw binary").repartitionById(shards, F.col("shard")).mapInPandas(lean(merge_pairs), by_word)
     sums, _ = materialize(pairs, "word-sums")
     total = sums.agg(*(F.sum(c).alias(c) for c in ("n1", "n2", "n3", "n4", "tokens"))).first()
     if not total.tokens:
@@ -323,7 +324,7 @@ def train(docs: DataFrame) -> Model:
                 _save(f"{folder}/{s:05d}.{kind}.npy", array)
             yield pd.DataFrame({"shard": [s], "distinct": [int((wide[1] > 0).sum())], "pairs": [int(wide[0].sum())]} | {f"m{k}": [int((wide[0] == k).sum())] for k in (1, 2, 3, 4)})
 
-    words = sums.where("shard >= 0").select("shard", "side", "raw").repartitionById(shards, F.col("shard")).mapInPandas(store_words, "shard int, distinct long, pairs long, m1 long, m2 long, m3 long, m4 long")
+    words = sums.where("shard >= 0").select("shard", "side", "raw").repartitionById(shards, F.col("shard")).mapInPandas(lean(store_words), "shard int, distinct long, pairs long, m1 long, m2 long, m3 long, m4 long")
     done, _ = materialize(words, "word-totals")
     m = done.agg(*(F.sum(c).alias(c) for c in ("distinct", "pairs", "m1", "m2", "m3", "m4"))).first()
     have = frozenset(("words", r.shard) for r in done.select("shard").collect()) | frozenset(("pairs", r.side) for r in sums.where("shard = -1").select("side").collect())  # two rows for each shard
@@ -365,7 +366,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 )
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInPandas(run, "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double")
+    return rows.mapInPandas(lean(run), "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double")
 
 
 def op10_ngram_lm(spark, sf_dir: str) -> DataFrame:

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import bpe
+from tidemark.llm.memory import lean
 from tidemark.session import materialize
 
 CAPACITY, END = 1024, 2
@@ -141,15 +142,14 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END)
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder = bpe.encoder_of(raw.value)
-        for whole in parts:
-            for pdf in bpe.batches(whole):
-                found = [cut(ids + last) for ids in encoder.encode([t or "" for t in pdf["text"]])]
-                out = pd.DataFrame([x for xs in found for x in xs], columns=["piece", "start", "length", "ids_crc32"])
-                out.insert(0, "doc_id", pdf["doc_id"].astype("Int64").repeat([len(xs) for xs in found]).reset_index(drop=True))
-                yield out
+        for pdf in bpe.batches(parts):
+            found = [cut(ids + last) for ids in encoder.encode([t or "" for t in pdf["text"]])]
+            out = pd.DataFrame([x for xs in found for x in xs], columns=["piece", "start", "length", "ids_crc32"])
+            out.insert(0, "doc_id", pdf["doc_id"].astype("Int64").repeat([len(xs) for xs in found]).reset_index(drop=True))
+            yield out
 
     picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return picked.mapInPandas(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return picked.mapInPandas(lean(run), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def _round(table: DataFrame, groups: int, number: int, capacity: int) -> DataFrame:
@@ -172,7 +172,7 @@ def _round(table: DataFrame, groups: int, number: int, capacity: int) -> DataFra
             yield own[columns].assign(sequence_id=seq, offset=offset, fill=fill)
 
     dealt = table.withColumn("grp", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.lit(number)), F.lit(groups)).cast("int"))
-    return dealt.repartitionById(groups, F.col("grp")).mapInPandas(run, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long, fill long")
+    return dealt.repartitionById(groups, F.col("grp")).mapInPandas(lean(run), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long, fill long")
 
 
 def pack_documents(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END) -> DataFrame:

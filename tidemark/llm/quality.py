@@ -22,6 +22,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
+from tidemark.llm.memory import lean
+
 #: Labelled rows that the classifier is fitted on, at most.
 SAMPLE = 3000
 DIMENSIONS, NEIGHBOURS, THRESHOLD = 48, 25, 0.3
@@ -142,7 +144,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
                 yield pd.DataFrame({"label": own["label"], "packed": packed})
 
     once = texts.groupBy("id").agg(F.min("text").alias("text"), F.first("label").alias("label"))
-    rows = once.mapInPandas(run, "label double, packed binary").collect()  # at most ``sample`` rows
+    rows = once.mapInPandas(lean(run), "label double, packed binary").collect()  # at most ``sample`` rows
     rows.sort(key=lambda r: (r.label, r.packed))
     x = np.zeros((len(rows), TERMS), dtype=np.float32)
     for row, r in zip(x, rows):

@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from tidemark.llm.components import components
+from tidemark.llm.memory import lean
 from tidemark.session import materialize
 
 SHINGLE, MAX_BITS, SEED = 3, 3, 42
@@ -59,7 +60,7 @@ def fingerprints(docs: DataFrame, words_each: int = SHINGLE) -> DataFrame:
             fps = np.array([fingerprint(t, words_each) for t in pdf["text"]], dtype=np.uint64)
             yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "fp": fps.view(np.int64)})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(lean(run), "doc_id long, fp long")
 
 
 def _groups(bits: np.ndarray, m: int) -> list[list[int]]:
@@ -154,7 +155,7 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
                     key, fp, cut = (np.concatenate(x) for x in zip(*got))
                     yield pd.DataFrame({"part": np.full(len(key), i, np.int32), "key": key.view(np.int64), "fp": fp.view(np.int64), "cut": cut})
 
-    keys = fps.select("fp").mapInPandas(run, "part int, key long, fp long, cut int")
+    keys = fps.select("fp").mapInPandas(lean(run), "part int, key long, fp long, cut int")
     other = keys.select(*(F.col(c).alias(f"{c}_2") for c in keys.columns))
     limit = F.element_at(F.array(*(F.lit(t) for _, t in plan)), F.col("part") + 1)
     near = F.bit_count(F.col("fp").bitwiseXOR(F.col("fp_2"))) <= max_bits

@@ -29,6 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.memory import lean
 from tidemark.session import materialize, move_shared, new_folder, open_shared
 
 #: Smaller payloads are never revisits.
@@ -140,7 +141,7 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
             move_shared(tmp, made[-1])
         yield pa.record_batch({"path": pa.array(made, pa.string())})
 
-    return materialize(plan.mapInArrow(run, "path string"), "archives")[0]
+    return materialize(plan.mapInArrow(lean(run), "path string"), "archives")[0]
 
 
 def _rows(part: pa.RecordBatch, *names: str) -> Iterator[tuple]:
@@ -239,7 +240,7 @@ def read_archives(paths: DataFrame, keep_payload: bool = True) -> DataFrame:
                 yield from _frames(rows(path), names)
 
     n = max(1, paths.count())
-    found, _ = materialize(paths.repartition(n).mapInPandas(scan, f"{RECORD}, {PART}"), "records")
+    found, _ = materialize(paths.repartition(n).mapInPandas(lean(scan), f"{RECORD}, {PART}"), "records")
     own = [x.split()[0] for x in RECORD.split(", ")]
 
     needed = ("origin", "segment", "total", "block", "page_id", "problem")
@@ -276,7 +277,7 @@ def read_archives(paths: DataFrame, keep_payload: bool = True) -> DataFrame:
             yield pa.RecordBatch.from_pandas(frame, schema=_ARROW, preserve_index=False)
 
     segments = found.where("kind = 'segment'").select(*needed)
-    split = segments.repartition("origin").sortWithinPartitions("origin", "segment").mapInArrow(reassemble, RECORD)
+    split = segments.repartition("origin").sortWithinPartitions("origin", "segment").mapInArrow(lean(reassemble), RECORD)
     return found.where("kind <> 'segment'").select(*own).unionByName(split)
 
 
