@@ -31,8 +31,8 @@ from tidemark.session import materialize
 LANGUAGES, BUCKETS = 64, 1 << 14
 #: Weight of a trigram's log-likelihood, pseudo-count of a trigram, rows by which a prior leans on the one above.
 TEMPER, PSEUDO, LEAN = 0.2, 0.5, 20.0
-#: A document is accepted with this posterior and this gain in nats a trigram over uniform text.
-MIN_POSTERIOR, MIN_GAIN = 0.5, 0.0
+#: A document is accepted with this posterior, unless uniform text explains its trigrams better by so many nats.
+MIN_POSTERIOR, MAX_LOSS = 0.5, 100.0
 
 _LANG = re.compile(r"<html[^>]*?\blang\s*=\s*[\"']?\s*([A-Za-z]{2,3})|http-equiv=[\"']content-language[\"'][^>]*content=[\"']([A-Za-z]{2,3})", re.I)
 _HIDDEN = re.compile(r"<(script|style)\b.*?</\1\s*>|<!--.*?-->", re.I | re.S)
@@ -188,7 +188,7 @@ def identify(rows: DataFrame) -> DataFrame:
     total = add(add(F.transform("likelihoods", lambda x: x * TEMPER), F.coalesce("by_declared", zero)), add(F.coalesce("by_suffix", zero), F.coalesce("by_host", _log_of(as_array(corpus)))))
     fused = all_evidence.withColumn("total", total).withColumn("top", F.array_max("total"))
     sure = 1.0 / F.aggregate(F.transform("total", lambda x: F.exp(x - F.col("top"))), F.lit(0.0), lambda s, y: s + y)
-    gain = F.array_max("likelihoods") / F.greatest(F.col("n_trigrams"), F.lit(1)) + math.log(BUCKETS)
+    loss = -F.array_max("likelihoods") - F.col("n_trigrams") * math.log(BUCKETS)
     return fused.select(
         "doc_id",
         "page_id",
@@ -198,7 +198,7 @@ def identify(rows: DataFrame) -> DataFrame:
         F.get(names, F.array_position("total", F.col("top")).cast("int") - 1).alias("lang"),
         sure.alias("posterior"),
         "n_trigrams",
-        ((sure >= MIN_POSTERIOR) & ((F.col("n_trigrams") == 0) | (gain >= MIN_GAIN))).alias("accepted"),
+        ((sure >= MIN_POSTERIOR) & (loss <= MAX_LOSS)).alias("accepted"),
     )
 
 
