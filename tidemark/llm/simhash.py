@@ -176,7 +176,8 @@ def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS, words_each: int =
     linked = classes.join(named, classes["fp"] == named["vertex"])  # only classes with a link
     least = linked.groupBy("component").agg(F.min("first").alias("least"))
     moved = linked.join(least, "component").select("fp", "least")
-    named_all = classes.join(moved, "fp", "left").select("fp", F.coalesce("least", "first").alias("component_id"))
+    # written, so that both sides of the last join are plain exchanges, whose hot partitions Spark splits
+    named_all, _ = materialize(classes.join(moved, "fp", "left").select("fp", F.coalesce("least", "first").alias("component_id")), "simhash-named")
     return fps.join(named_all, "fp").select("doc_id", "fp", "component_id")
 
 
