@@ -63,7 +63,7 @@ def lower_bounds(df: DataFrame, key: str, probes: DataFrame, probe: str) -> Data
     is_key = F.when(F.col("_kind") == 1, F.col("_k"))
     order = Window.orderBy(F.desc(RANGE)).rowsBetween(Window.unboundedPreceding, -1)
     later = ranged.groupBy(RANGE).agg(F.min(is_key).alias("_lo")).select(RANGE, F.min("_lo").over(order).alias("_after"))
-    own = Window.partitionBy(RANGE).orderBy("_k").rangeBetween(Window.currentRow, Window.unboundedFollowing)
-    found = ranged.join(F.broadcast(later), RANGE).withColumn("found", F.coalesce(F.min(is_key).over(own), "_after"))
+    own = Window.partitionBy(RANGE).orderBy(F.desc("_k"))  # from the end, so that the frame only grows
+    found = ranged.join(F.broadcast(later), RANGE).withColumn("found", F.coalesce(F.min(is_key).over(own.rangeBetween(Window.unboundedPreceding, Window.currentRow)), "_after"))
     found = found.where("_kind = 0").select(F.col("_k").alias(probe), "found")
     return probes.join(found, probe, "left")
