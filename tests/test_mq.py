@@ -70,3 +70,14 @@ def test_wait_and_options(mq):
     for bad in ({"name": "a/b"}, {"name": ""}, {"name": "q", "lease_ns": 0}, {"name": "q", "max_deliveries": 0}):
         with pytest.raises(StoreError, match="InvalidArgument"):
             MessageQueue(mq.store, **bad)
+
+
+def test_large_bodies_go_to_the_archive(spark, tmp_path):
+    from tidemark.sources.blobs import BlobStorage
+
+    store = Store.open(spark, str(tmp_path / "s"))
+    blobs = BlobStorage(store, str(tmp_path / "a.tar"))
+    mq = MessageQueue(store, "big", blobs=blobs, blob_threshold=100)
+    mq.send_many([b"small", b"x" * 500])
+    got = mq.receive(2)
+    assert [m.body for m in got] == [b"small", b"x" * 500] and blobs.index().count() == 1

@@ -43,7 +43,7 @@ def test_put_modes(store):
 
 def test_against_a_model(store):
     rng, model = random.Random(12345), {}
-    for round_ in range(6):
+    for _ in range(4):
         batch = []
         for _ in range(120):
             k, x = key(rng.randrange(150)), rng.random()

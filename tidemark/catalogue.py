@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import order as ord_
+from tidemark.functions import text as text_
 from tidemark.functions.digest import xxh3_64
 from tidemark.operators import access, mutate, position, queue, relate, shapes
 
@@ -582,6 +583,23 @@ def reader_histogram(t):
     return shapes.histogram(t("events").select(F.floor(F.col("event_id") / 100).alias("snapshot")), "snapshot")
 
 
+@query("SELECT doc_id, lpad(format('{:o}', strlen(text)), 11, '0') AS size_field, strlen(text)::BIGINT AS size FROM documents")
+def tar_size_fields(t):
+    field = text_.octal(F.octet_length("text"))
+    return t("documents").select("doc_id", field.alias("size_field"), text_.from_octal(field).alias("size"))
+
+
+@query("SELECT doc_id, (length(regexp_replace(text, '[^\\x20-\\x7e]', '', 'g')) * 4 >= 3 * strlen(text)) AS as_text FROM documents")
+def dump_mode(t):
+    raw = F.encode("text", "UTF-8")
+    return t("documents").select("doc_id", (text_.printable_share(raw) >= 0.75).alias("as_text"))
+
+
+@query("SELECT event_id, (epoch_us(ts) * 1000)::BIGINT AS ns FROM events")
+def event_nanos(t):
+    return t("events").select("event_id", text_.nanos_of(F.col("ts")).alias("ns"))
+
+
 @query()
 def xxh3_digest(t):
     return t("documents").select("doc_id", xxh3_64("text").alias("digest"))
