@@ -13,11 +13,7 @@ lie in the shared folder; workers map the arrays and search them with sorted bat
 
 from __future__ import annotations
 
-import atexit
 import io
-import os
-import shutil
-import tempfile
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -115,22 +111,12 @@ def _save(uri: str, array: np.ndarray) -> None:
     move_shared(tmp, uri)
 
 
-_COPIES: list[str] = []
-
-
 def _mapped(uri: str) -> np.ndarray:
-    """A stored array, memory-mapped; from a folder that isn't mounted through a copy of this worker's own."""
+    """A stored array, memory-mapped; the shared folder has to be mounted on the workers for that."""
     parsed = urlparse(uri)
-    if parsed.scheme in ("", "file"):
-        return np.load(parsed.path, mmap_mode="r")
-    if not _COPIES:
-        _COPIES.append(tempfile.mkdtemp())
-        atexit.register(shutil.rmtree, _COPIES[0], ignore_errors=True)
-    path = os.path.join(_COPIES[0], f"{xxh64_intdigest(uri):x}.npy")
-    if not os.path.exists(path):
-        with open_shared(uri, "rb") as src, open(path, "wb") as dst:
-            shutil.copyfileobj(src, dst)
-    return np.load(path, mmap_mode="r")
+    if parsed.scheme not in ("", "file"):
+        raise ValueError(f"{uri} cannot be memory-mapped: name a mounted folder in spark.checkpoint.dir")
+    return np.load(parsed.path, mmap_mode="r")
 
 
 def _discounts(n: list[int]) -> tuple[float, float, float]:
