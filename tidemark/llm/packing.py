@@ -2,11 +2,12 @@
 
 A document's ids and an end id are cut only if they exceed the capacity: the first piece takes the remainder,
 the others are full. Full pieces are sequences of their own. The rest are dealt by hash into groups of about
-``GROUP`` pieces, each packed in one task: best-fit decreasing, then local search, which moves documents,
-exchanges one for one or two for one between underfull sequences, always from the emptiest one and always so
-that the sum of squared fills grows, until sequences empty or no exchange helps. Sequences left with a gap of
-more than ``GAP`` tokens are opened again, and their pieces go to the next round with fewer groups, until one
-group is left. Each round's pieces (a few numbers each, no ids) are written to the shared folder.
+``GROUP`` pieces, each packed in one task: best fit, of documents to sequences or of sequences to documents,
+whichever needs fewer; then local search, which moves documents, exchanges one for one or two for one between
+underfull sequences, always from the emptiest one and always so that the sum of squared fills grows, until
+sequences empty or no exchange helps. Sequences left with a gap of more than ``GAP`` tokens are opened again, and
+their pieces go to the next round with fewer groups, until one group is left. Each round's pieces (a few numbers
+each, no ids) are written to the shared folder.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from tidemark.session import materialize
 
 CAPACITY, END = 1024, 2
 #: Pieces that one task packs at a time.
-GROUP = 4000
+GROUP = 50_000
 #: Sequences with a larger gap are packed again in the next round.
 GAP = 1
 
@@ -52,6 +53,41 @@ def best_fit(sizes: np.ndarray, capacity: int) -> list[list[int]]:
     return bins
 
 
+def completion(sizes: np.ndarray, capacity: int) -> list[list[int]]:
+    """Best fit from the sequence's side: the largest item left, then what fills its gap exactly with one item or two, else the largest that fits."""
+    of_size: list[list[int]] = [[] for _ in range(capacity + 1)]
+    for i, s in enumerate(sizes.tolist()):
+        of_size[s].append(i)
+    have = sum(1 << s for s in range(1, capacity + 1) if of_size[s])  # a bit for each size that is left
+    bins = []
+    while have:
+        own, gap = [], capacity
+        while gap and (fits := have & (1 << (gap + 1)) - 1):
+            size = _exact(fits, gap, of_size) if own else fits.bit_length() - 1
+            own.append(of_size[size].pop())
+            gap -= size
+            if not of_size[size]:
+                have ^= 1 << size
+        bins.append(own)
+    return bins
+
+
+def _exact(fits: int, gap: int, of_size: list[list[int]]) -> int:
+    """The largest size that fills the gap alone or with one more item; else the largest that fits."""
+    if fits >> gap & 1:
+        return gap
+    largest = size = fits.bit_length() - 1
+    while 2 * size >= gap:
+        rest = gap - size
+        if fits >> rest & 1 and (rest != size or len(of_size[size]) > 1):
+            return size
+        fits &= ~(1 << size)
+        size = fits.bit_length() - 1
+        if size < 1:
+            break
+    return largest
+
+
 class Search:
     """Local search over underfull sequences."""
 
@@ -117,10 +153,10 @@ class Search:
 
 def pack(sizes: np.ndarray, capacity: int = CAPACITY, steps: int = 400) -> list[list[int]]:
     """Item numbers of each sequence; every size is between 1 and ``capacity``."""
-    bins = best_fit(sizes, capacity)
+    bins = min(best_fit(sizes, capacity), completion(sizes, capacity), key=len)
     fill = np.array([int(sizes[b].sum()) for b in bins])
     if len(bins) <= -(-int(sizes.sum()) // capacity):
-        return bins
+        return bins  # as few as any packing
     order = np.argsort(fill, kind="stable")
     under = [int(k) for k in order if fill[k] < capacity][:200]  # the emptiest ones
     chosen = set(under)

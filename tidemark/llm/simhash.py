@@ -65,7 +65,8 @@ def fingerprints(docs: DataFrame, words_each: int = SHINGLE) -> DataFrame:
 
 def _groups(bits: np.ndarray, m: int) -> list[list[int]]:
     """64 bits in m equal partitions; each grows by the bit most correlated with those it has."""
-    corr = np.nan_to_num(np.abs(np.corrcoef(bits.T))) if len(bits) > 1 else np.eye(64)
+    with np.errstate(all="ignore"):  # a bit that never changes correlates with none
+        corr = np.nan_to_num(np.abs(np.corrcoef(bits.T))) if len(bits) > 1 else np.eye(64)
     left, out = set(range(64)), []
     for k in range(m):
         size = len(left) // (m - k)
