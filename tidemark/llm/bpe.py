@@ -32,7 +32,7 @@ from tidemark.llm.memory import lean
 #: Largest vocabulary file that is broadcast, in bytes.
 MAX_FILE = 64 << 20
 #: Distinct pre-tokens whose ids a worker keeps; beyond that it starts anew (results do not change).
-MEMO = 800_000
+MEMO = 500_000
 #: The pre-tokenizer's pattern of the byte-level vocabularies (fixed value), white space spelled out below.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Unicode White_Space (fixed values); Python's own \s also takes \x1c-\x1f.
@@ -232,7 +232,7 @@ def encoder_of(raw: bytes) -> Encoder:
     return _ENCODERS[key]
 
 
-def batches(parts: Iterator[pd.DataFrame], chars: int = 16 << 20) -> Iterator[pd.DataFrame]:
+def batches(parts: Iterator[pd.DataFrame], chars: int = 12 << 20) -> Iterator[pd.DataFrame]:
     """Batches put together to about ``chars`` characters of text, so that a merge serves many new pre-tokens at once."""
     held, size = [], 0
     for pdf in parts:
