@@ -12,14 +12,14 @@ from tidemark.llm.language import keep_known
 from tidemark.llm.line_dedup import dedup_stage
 from tidemark.llm.packing import pack_stage
 from tidemark.llm.quality import keep_good
-from tidemark.llm.simhash import keep_one_of_each
+from tidemark.llm.similar import keep_one_of_similar
 from tidemark.session import materialize
 
 STAGES = [
     ("quality", keep_good),
     ("language", keep_known),
     ("line_dedup", dedup_stage),
-    ("near_dedup", keep_one_of_each),
+    ("near_dedup", keep_one_of_similar),
     ("packing", pack_stage),
 ]
 
