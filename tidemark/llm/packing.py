@@ -4,8 +4,8 @@ A document's ids and an end id are cut only if they exceed the capacity: the fir
 the others are full. Full pieces are sequences of their own. The rest are dealt by hash into groups of about
 ``GROUP`` pieces, each packed in one task: best fit, of documents to sequences or of sequences to documents,
 whichever needs fewer; then local search, which moves documents, exchanges one for one or two for one between
-underfull sequences, always from the emptiest one and always so that the sum of squared fills grows, until
-sequences empty or no exchange helps. Sequences left with a gap of more than ``GAP`` tokens are opened again, and
+all underfull sequences, from the emptiest ones first and always so that the sum of squared fills grows, until
+no exchange helps or no packing has fewer sequences. Sequences left with a gap of more than ``GAP`` tokens are opened again, and
 their pieces go to the next round with fewer groups, until one group is left. Each round's pieces (a few numbers
 each, no ids) are written to the shared folder.
 """
@@ -13,7 +13,9 @@ each, no ids) are written to the shared folder.
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pandas as pd
@@ -89,80 +91,127 @@ def _exact(fits: int, gap: int, of_size: list[list[int]]) -> int:
 
 
 class Search:
-    """Local search over underfull sequences."""
+    """Local search over underfull sequences. What they can give back is indexed by size and gap, so a step lists none of it."""
 
     def __init__(self, sizes: np.ndarray, bins: list[list[int]], capacity: int):
         self.sizes, self.capacity = sizes, capacity
         self.bins = [list(b) for b in bins]
         self.fill = np.array([int(sizes[b].sum()) for b in self.bins], dtype=np.int64)
-
-    def _offers(self, others: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """What each other sequence can give back: nothing, one item or two; as (sequence, item, item, size)."""
-        seq, one, two, size = [], [], [], []
-        for k in others.tolist():
-            own = self.bins[k]
-            seq.append(k), one.append(-1), two.append(-1), size.append(0)
-            for n, i in enumerate(own):
-                seq.append(k), one.append(i), two.append(-1), size.append(int(self.sizes[i]))
-                for j in own[n + 1 :]:
-                    seq.append(k), one.append(i), two.append(j), size.append(int(self.sizes[i] + self.sizes[j]))
-        return np.array(seq), np.array(one), np.array(two), np.array(size)
-
-    def improve(self, steps: int) -> None:
-        """At most ``steps`` exchanges; stops earlier once the total needs every sequence that is left."""
+        self._clear()
+
+    def _clear(self) -> None:
+        #: By number of items and size: the gaps of sequences that can give it back, as bits, and those sequences by gap.
+        self.gaps: list[dict[int, int]] = [{}, {}, {}]
+        self.at: list[dict[tuple[int, int], dict[int, None]]] = [{}, {}, {}]
+
+    def _offers(self, k: int) -> list[set[int]]:
+        """Sizes that a sequence can give: nothing, one item, two."""
+        own = Counter(int(self.sizes[i]) for i in self.bins[k])
+        return [{0}, set(own), {x + y for x in own for y in own if x < y or x == y and own[x] > 1}]
+
+    def _index(self, k: int, enter: bool) -> None:
+        gap = self.capacity - int(self.fill[k])
+        if not gap or gap == self.capacity:
+            return  # nothing fits into a full one, and nothing is gained by filling an empty one
+        for gaps, at, sizes in zip(self.gaps, self.at, self._offers(k)):
+            for s in sizes:
+                if enter:
+                    at.setdefault((s, gap), {})[k] = None
+                    gaps[s] = gaps.get(s, 0) | 1 << gap
+                else:
+                    del at[s, gap][k]
+                    if not at[s, gap]:
+                        del at[s, gap]
+                        gaps[s] ^= 1 << gap
+
+    def improve(self, steps: int | None = None) -> None:
+        """Exchanges until none raises the sum of squared fills, or ``steps`` of them; stops earlier once the total needs every sequence that is left."""
         least = -(-int(self.fill.sum()) // self.capacity)
-        stuck: set[int] = set()
-        for _ in range(steps):
-            live = np.flatnonzero((self.fill > 0) & (self.fill < self.capacity))
-            if int((self.fill > 0).sum()) <= least or len(live) < 2:
-                return
-            order = live[np.argsort(self.fill[live], kind="stable")]
-            source = next((k for k in order.tolist() if k not in stuck), None)
-            if source is None:
-                return
-            if not self._step(source, live[live != source]):
-                stuck.add(source)
-            else:
-                stuck.clear()
+        left = int((self.fill > 0).sum())
+        self._clear()
+        live = np.flatnonzero((self.fill > 0) & (self.fill < self.capacity)).tolist()
+        for k in live:
+            self._index(k, True)
+        changed = True
+        while changed:
+            changed = False  # since every sequence was last tried
+            heap = [(int(self.fill[k]), k) for k in live if 0 < self.fill[k] < self.capacity]
+            heapify(heap)
+            while heap and left > least and (steps is None or steps > 0):
+                fill, k = heappop(heap)
+                if fill != self.fill[k]:
+                    continue  # entered again since
+                target = self._exchange(k)
+                if target is None:
+                    continue
+                changed, steps = True, steps and steps - 1
+                left -= not self.fill[k]
+                for x in (k, target):
+                    if 0 < self.fill[x] < self.capacity:
+                        heappush(heap, (int(self.fill[x]), x))
+            changed = changed and left > least and (steps is None or steps > 0)
 
     def _step(self, source: int, others: np.ndarray) -> bool:
-        seq, one, two, size = self._offers(others)
-        gap, fill = self.capacity - self.fill[seq], self.fill[seq]
-        own = self.bins[source]
-        gives = [([i], int(self.sizes[i])) for i in own] + [([i, j], int(self.sizes[i] + self.sizes[j])) for n, i in enumerate(own) for j in own[n + 1 :]]
-        best, found = 0, None
-        for items, given in gives:
-            d = given - size
-            ok = (d > 0) & (d <= gap)
-            if len(items) == 2:
-                ok &= (one >= 0) & (two < 0)  # two for one; two moves are single steps
-            gain = np.where(ok, d * (fill + d - self.fill[source]), 0)
-            at = int(np.argmax(gain))
-            if gain[at] > best:
-                best, found = int(gain[at]), (items, at)
+        """The best exchange of ``source`` with one of ``others``, if any raises the sum of squared fills."""
+        self._clear()
+        for k in [source, *others.tolist()]:
+            self._index(k, True)
+        return self._exchange(source) is not None
+
+    def _exchange(self, source: int) -> int | None:
+        """Do the best exchange of ``source`` with an indexed sequence; that one, or None."""
+        self._index(source, False)
+        own, best, found = int(self.fill[source]), 0, None
+        gives = self._offers(source)
+        widest = max((bits.bit_length() - 1 for bits in self.gaps[0].values()), default=0)
+        for given, sizes in enumerate(gives[1:], 1):
+            for size in sizes:
+                for back in (0, 1, 2) if given == 1 else (1,):  # two moves are single steps
+                    gaps = self.gaps[back]
+                    for d in (size,) if back == 0 else range(1, min(size - 1, widest) + 1):
+                        fits = gaps.get(size - d, 0) >> d
+                        if fits:  # the fullest one gains most
+                            gap = d + (fits & -fits).bit_length() - 1
+                            gain = d * (self.capacity - gap + d - own)
+                            if gain > best:
+                                best, found = gain, (given, size, back, d, gap)
         if found is None:
-            return False
-        items, at = found
-        target, back = int(seq[at]), [x for x in (int(one[at]), int(two[at])) if x >= 0]
-        self.bins[source] = [x for x in own if x not in items] + back
-        self.bins[target] = [x for x in self.bins[target] if x not in back] + items
-        for k in (source, target):
-            self.fill[k] = int(self.sizes[self.bins[k]].sum()) if self.bins[k] else 0
-        return True
-
-
-def pack(sizes: np.ndarray, capacity: int = CAPACITY, steps: int = 400) -> list[list[int]]:
+            self._index(source, True)
+            return None
+        given, size, back, d, gap = found
+        target = next(iter(self.at[back][size - d, gap]))
+        self._index(target, False)
+        items, returned = self._pick(source, given, size), self._pick(target, back, size - d)
+        self.bins[source] = [x for x in self.bins[source] if x not in items] + returned
+        self.bins[target] = [x for x in self.bins[target] if x not in returned] + items
+        self.fill[source] -= d
+        self.fill[target] += d
+        self._index(source, True)
+        self._index(target, True)
+        return target
+
+    def _pick(self, k: int, number: int, size: int) -> list[int]:
+        """So many items of a sequence, of so much size together."""
+        first: dict[int, int] = {}
+        for i in self.bins[k] if number else ():
+            s = int(self.sizes[i])
+            if number == 1 and s == size:
+                return [i]
+            if number == 2 and size - s in first:
+                return [first[size - s], i]
+            first.setdefault(s, i)
+        return []
+
+
+def pack(sizes: np.ndarray, capacity: int = CAPACITY, steps: int | None = None) -> list[list[int]]:
     """Item numbers of each sequence; every size is between 1 and ``capacity``."""
     bins = min(best_fit(sizes, capacity), completion(sizes, capacity), key=len)
     fill = np.array([int(sizes[b].sum()) for b in bins])
     if len(bins) <= -(-int(sizes.sum()) // capacity):
         return bins  # as few as any packing
-    order = np.argsort(fill, kind="stable")
-    under = [int(k) for k in order if fill[k] < capacity][:200]  # the emptiest ones
-    chosen = set(under)
-    search = Search(sizes, [bins[k] for k in under], capacity)
+    search = Search(sizes, [b for b, f in zip(bins, fill) if f < capacity], capacity)
     search.improve(steps)
-    return [b for k, b in enumerate(bins) if k not in chosen] + [b for b in search.bins if b]
+    return [b for b, f in zip(bins, fill) if f == capacity] + [b for b in search.bins if b]
 
 
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END) -> DataFrame:
