@@ -8,8 +8,9 @@ log-likelihoods are tempered, since neighbouring trigrams are not independent, a
 
 Two passes read the texts: one counts, one scores. All else works on a few numbers for each document. Tables by
 host and domain are aggregated before any shuffle, written to the shared folder and met by sort-merge joins,
-so a host with a third of all rows is split by Spark. What is collected or broadcast has ``LANGUAGES`` x
-``BUCKETS`` numbers at most.
+so a host with a third of all rows is split by Spark. All declared languages are told apart, however rare: their
+log-probabilities lie in the shared folder in blocks of ``BLOCK`` languages, of which the driver and a task hold
+one at a time. What is collected or broadcast has a few numbers for each language.
 """
 
 from __future__ import annotations
@@ -25,10 +26,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.memory import lean
-from tidemark.session import materialize
+from tidemark.session import materialize, new_folder, open_shared
 
-#: Most languages that are told apart (those declared most often), and hashed trigrams.
-LANGUAGES, BUCKETS = 64, 1 << 14
+#: Languages whose trigrams are held in memory at a time, and hashed trigrams.
+BLOCK, BUCKETS = 64, 1 << 14
 #: Weight of a trigram's log-likelihood, pseudo-count of a trigram, rows by which a prior leans on the one above.
 TEMPER, PSEUDO, LEAN = 0.2, 0.5, 20.0
 #: A document is accepted with this posterior, unless uniform text explains its trigrams better by so many nats.
@@ -87,7 +88,7 @@ def _count(rows: DataFrame) -> DataFrame:
             for grams, lang in _read(pdf):
                 if lang:
                     if lang not in sums:
-                        if len(sums) > 4 * LANGUAGES:  # odd declarations do not fill memory
+                        if len(sums) > 4 * BLOCK:  # odd declarations do not fill memory
                             yield from flush(sums)
                         sums[lang] = np.zeros(BUCKETS + 1, dtype=np.int64)
                     sums[lang][:BUCKETS] += np.bincount(grams, minlength=BUCKETS)
@@ -103,29 +104,49 @@ def _count(rows: DataFrame) -> DataFrame:
     return rows.select("text", "declared", "markup").mapInPandas(lean(run), "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
 
 
+def log_probabilities(counts: np.ndarray) -> np.ndarray:
+    """Trigram counts, a row for each language, to smoothed log-probabilities, a column for each."""
+    smooth = counts + PSEUDO
+    return np.ascontiguousarray(np.log(smooth / smooth.sum(1, keepdims=True)).T, dtype=np.float64)
+
+
 class TextModel:
-    """Languages and log-probabilities of trigrams."""
+    """All languages, and the files of log-probabilities of trigrams, each of a block of languages."""
+
+    def __init__(self, languages: list[str], blocks: list[str]):
+        self.languages, self.blocks = languages, blocks
+        self._held: tuple[str, np.ndarray] | None = None
+
+    def __getstate__(self) -> dict:
+        return {"languages": self.languages, "blocks": self.blocks, "_held": None}
 
-    def __init__(self, languages: list[str], counts: np.ndarray):
-        self.languages = languages
-        smooth = counts + PSEUDO
-        self.logs = np.log(smooth / smooth.sum(1, keepdims=True)).T.astype(np.float64) if languages else np.zeros((BUCKETS, 0))
+    def _logs(self, block: str) -> np.ndarray:
+        if self._held is None or self._held[0] != block:
+            self._held = None
+            with open_shared(block, "rb") as f:
+                self._held = block, np.frombuffer(f.read(), dtype="<f8").reshape(BUCKETS, -1)
+        return self._held[1]
 
-    def likelihoods(self, grams: np.ndarray) -> np.ndarray:
-        n = np.bincount(grams, minlength=BUCKETS)
-        at = np.flatnonzero(n)
-        return n[at] @ self.logs[at]
+    def likelihoods(self, texts: list[np.ndarray]) -> np.ndarray:
+        """A row for each text's trigrams, a column for each language."""
+        found = [np.unique(grams, return_counts=True) for grams in texts]
+        parts = [np.array([n @ logs[at] for at, n in found]).reshape(len(texts), logs.shape[1]) for logs in map(self._logs, self.blocks)]
+        return np.concatenate(parts, axis=1)
 
 
 def learn(rows: DataFrame) -> TextModel:
     counts, _ = materialize(_count(rows), "trigrams")
-    top = counts.where(F.col("bucket") == BUCKETS).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
-    languages = sorted(r.lang for r in top)
-    table = np.zeros((len(languages), BUCKETS))
-    at = {lang: i for i, lang in enumerate(languages)}
-    for r in counts.where(F.col("lang").isin(languages) & (F.col("bucket") < BUCKETS)).toLocalIterator():
-        table[at[r.lang], r.bucket] = r.n
-    return TextModel(languages, table)
+    languages = sorted(r.lang for r in counts.where(F.col("bucket") == BUCKETS).select("lang").collect())
+    folder, blocks = new_folder(rows.sparkSession, "languages"), []
+    for start in range(0, len(languages), BLOCK):
+        own = languages[start : start + BLOCK]
+        table, at = np.zeros((len(own), BUCKETS)), {lang: i for i, lang in enumerate(own)}
+        for r in counts.where(F.col("lang").isin(own) & (F.col("bucket") < BUCKETS)).toLocalIterator():
+            table[at[r.lang], r.bucket] = r.n
+        blocks.append(f"{folder}/{start}.f8")
+        with open_shared(blocks[-1], "wb") as f:
+            f.write(log_probabilities(table).astype("<f8").tobytes())
+    return TextModel(languages, blocks)
 
 
 def _text_scores(rows: DataFrame, model: TextModel) -> DataFrame:
@@ -133,16 +154,17 @@ def _text_scores(rows: DataFrame, model: TextModel) -> DataFrame:
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
-            got = [(len(grams), shared.value.likelihoods(grams), declared) for grams, declared in _read(pdf)]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "page_id": pdf["page_id"].astype("Int64"), "h": pdf["h"], "host": pdf["host"], "declared": [x[2] for x in got], "n_trigrams": [x[0] for x in got], "likelihoods": [x[1] for x in got]})
+            got = list(_read(pdf))
+            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "page_id": pdf["page_id"].astype("Int64"), "h": pdf["h"], "host": pdf["host"], "declared": [x[1] for x in got], "n_trigrams": [len(x[0]) for x in got], "likelihoods": list(shared.value.likelihoods([x[0] for x in got]))})
 
     return rows.mapInPandas(lean(run), "doc_id long, page_id long, h long, host string, declared string, n_trigrams long, likelihoods array<double>")
 
 
 def _counts(scored: DataFrame, key: str, size: int) -> DataFrame:
     """For each value of ``key`` how many rows the text alone gives to each language."""
-    each = [F.sum(F.when(F.col("best") == i, 1.0).otherwise(0.0)) for i in range(size)]
-    return scored.where(F.col(key).isNotNull() & (F.col("best") >= 0)).groupBy(key).agg(F.array(*each).alias("n"))
+    found = scored.where(F.col(key).isNotNull() & (F.col("best") >= 0)).groupBy(key, "best").agg(F.count(F.lit(1)).cast("double").alias("n"))
+    by_language = found.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("best", "n"))).alias("m"))  # an entry for each language at most
+    return by_language.select(key, F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.coalesce(F.element_at("m", i), F.lit(0.0))).alias("n"))
 
 
 def _log_of(values: Column) -> Column:
@@ -167,8 +189,9 @@ def identify(rows: DataFrame) -> DataFrame:
     scored = _text_scores(rows, model).withColumns({"best": best, "suffix": suffix, "domain": domain})
     scored, _ = materialize(scored, "language-scores")
 
-    whole = scored.where("best >= 0").agg(*(F.sum(F.when(F.col("best") == i, 1.0).otherwise(0.0)).alias(f"n{i}") for i in range(size))).first()
-    totals = np.array([whole[i] or 0.0 for i in range(size)])
+    totals = np.zeros(size)
+    for r in scored.where("best >= 0").groupBy("best").count().collect():
+        totals[r["best"]] = r["count"]
     corpus = (totals + 1) / (totals.sum() + size)
     as_array = lambda xs: F.array(*(F.lit(float(x)) for x in xs))
     lean = lambda n, above: F.zip_with(n, above, lambda x, p: (x + LEAN * p) / (F.aggregate(n, F.lit(0.0), lambda s, y: s + y) + LEAN))
