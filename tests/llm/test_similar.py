@@ -65,3 +65,34 @@ def test_copies_that_differ_in_many_bits_go(spark):
         rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(["new", *base[1:50], "new", *base[51:]]))]
     kept = STAGE(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
     assert {r.doc_id for r in kept.collect()} == set(range(0, 40, 2))
+
+
+def test_rows_of_one_id_with_unrelated_texts_both_stay(spark):
+    rng = random.Random(2)
+    text = lambda n: " ".join(f"w{rng.randrange(5000)}" for _ in range(n))
+    one, two = text(50), text(50)
+    rows = [(7, one, "x"), (7, two, "y"), (7, one, "a"), (8, two, "z"), (9, one + " end", "z")]
+    kept = STAGE(spark, spark.createDataFrame(rows, "doc_id long, text string, own string"), "")
+    assert sorted(map(tuple, kept.collect())) == sorted([(7, one, "a"), (7, two, "y")])  # of equal rows the smallest
+
+
+def test_components_split_a_hub(spark):
+    """A third of all links meet in one vertex; the join with the minima is split where it is skewed."""
+    from tidemark.llm import components as c
+
+    links = spark.range(30_000).selectExpr("id + 10 as a", "if(id % 3 = 0, 0, id + 11) as b").where("b < 30010")
+    got = c.components(links.selectExpr("greatest(a, b) as a", "least(a, b) as b"))
+    want = {}
+    parent = list(range(30_011))
+
+    def root(x):
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for r in links.collect():
+        a, b = root(r.a), root(r.b)
+        parent[max(a, b)] = min(a, b)
+    want = {r.vertex: r.component for r in got.collect()}
+    assert want and all(root(v) == m for v, m in want.items()) and len(want) == len({x for r in links.collect() for x in (r.a, r.b)})

@@ -44,7 +44,11 @@ def fingerprint(text: str | None, words_each: int = SHINGLE) -> int:
     if not words:
         return 0
     shingles = [b" ".join(words)] if len(words) < words_each else map(b" ".join, zip(*(words[i:] for i in range(words_each))))
-    hashes = np.fromiter(map(_hash, shingles), dtype=np.uint64)
+    return of_hashes(np.fromiter(map(_hash, shingles), dtype=np.uint64))
+
+
+def of_hashes(hashes: np.ndarray) -> int:
+    """Unsigned 64-bit SimHash of shingles' hashes, repeats included; 0 for none."""
     ones = np.zeros(64, dtype=np.int64)
     for at in range(0, len(hashes), 1 << 16):
         part = hashes[at : at + (1 << 16)]
@@ -190,13 +194,3 @@ def op7_simhash(spark, sf_dir: str) -> DataFrame:
     """Whole table ``documents``: doc_id, fingerprint (16 hex digits), component_id."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return near_duplicates(docs).select("doc_id", hex_of("fp").alias("fingerprint"), "component_id")
-
-
-def keep_one_of_each(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each group of near-duplicates the document with the smallest doc_id stays, once.
-
-    Rows without a doc_id cannot be named as kept or dropped; they stay.
-    """
-    kept = near_duplicates(docs).where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    named = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.select(*docs.columns).union(docs.where("doc_id is null"))

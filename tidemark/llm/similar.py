@@ -1,13 +1,19 @@
-"""Near copies by the Jaccard similarity of whole texts' word shingles, exactly.
+"""Near-dedup by SimHash, completed to all links of a Jaccard similarity of whole texts' word shingles.
 
 Two texts are linked if their sets of shingles of ``WORDS`` words (hashed to 64 bits) have a similarity of
-``SHARE`` or more. Candidates come by prefix filtering: with shingles in one order for all texts, two such sets
-share a shingle among the first n - ceil(share n) + 1 of each. The order puts shingles that are frequent in a
-bounded sample (``SAMPLE``) last; it decides only the cost, never the result. Every candidate is verified.
-
-Equal sets form one class before the search. Each shared shingle then links its texts to one of them; of the
-pairs left only those across the groups found so far are compared, so a large group of near copies costs a link
-each while every pair that could join two groups is still verified.
+``SHARE`` or more. Equal sets form one class before the search. Candidates come from two sources, and every one
+is verified on whole texts:
+
+- SimHash fingerprints of the same shingles that differ in at most ``simhash.MAX_BITS`` bits, found by the
+  generalised pigeonhole search. A similarity of 0.8 is about ten differing bits of 64, where no partition of the
+  bits is selective, so this alone would lose most links.
+- Prefix filtering for all others: with shingles in one order for all texts, two such sets share a shingle among
+  the first n - ceil(share n) + 1 of each. The order puts shingles that are frequent in a bounded sample
+  (``SAMPLE``) last; it decides only the cost, never the result.
+
+Each fingerprint and each shared shingle links its texts to one of them; of the pairs left only those across the
+groups found so far are compared, so a large group of near copies costs a link each while every pair that could
+join two groups is still verified.
 """
 
 from __future__ import annotations
@@ -20,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest, xxh64_intdigest
 
+from tidemark.llm import simhash
 from tidemark.llm.components import components
 from tidemark.llm.memory import lean
 from tidemark.session import materialize
@@ -30,8 +37,8 @@ WORDS, SHARE = 5, (4, 5)
 SAMPLE, FREQUENT = 8192, 50_000
 
 
-def shingle_set(text: str | None, words_each: int = WORDS) -> np.ndarray:
-    """Sorted distinct hashes of a whole text's shingles; a shorter text is one shingle, one without words none."""
+def shingle_hashes(text: str | None, words_each: int = WORDS) -> np.ndarray:
+    """Hashes of a whole text's shingles in order, repeats included; a shorter text is one shingle, one without words none."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
         return np.zeros(0, dtype=np.uint64)
@@ -42,7 +49,12 @@ def shingle_set(text: str | None, words_each: int = WORDS) -> np.ndarray:
         mixed = mixed * np.uint64(0x9E3779B97F4A7C15) + each[i : i + len(mixed)]
         mixed = (mixed ^ (mixed >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
         mixed ^= mixed >> np.uint64(32)
-    return np.unique(mixed)
+    return mixed
+
+
+def shingle_set(text: str | None, words_each: int = WORDS) -> np.ndarray:
+    """Sorted distinct hashes of a whole text's shingles."""
+    return np.unique(shingle_hashes(text, words_each))
 
 
 def _text(docs: DataFrame) -> DataFrame:
@@ -79,20 +91,35 @@ def prefix(hashes: np.ndarray, frequent: tuple[np.ndarray, np.ndarray], share: t
 
 
 def _classes(texts: DataFrame, words_each: int, share: tuple[int, int]) -> DataFrame:
-    """``(cls, n, first, h, tokens)``: one row for each distinct set, with its smallest doc_id and the hash of one text."""
+    """``(cls, n, rep, h, fp, tokens)``: one row for each distinct set.
+
+    rep is the smallest (doc_id, hash of its text) of the class, null if all ids are null; h the hash of one text.
+    """
     shared = texts.sparkSession.sparkContext.broadcast(_frequent(texts, words_each))
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
-            sets = [shingle_set(t, words_each) for t in pdf["text"]]
+            hashes = [shingle_hashes(t, words_each) for t in pdf["text"]]
+            fps = np.array([simhash.of_hashes(x) for x in hashes], dtype=np.uint64).view(np.int64)
+            sets = [np.unique(x) for x in hashes]
             names = np.array([xxh3_64_intdigest(s.tobytes()) for s in sets], dtype=np.uint64).view(np.int64)
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "h": pdf["h"], "cls": names, "n": np.array([len(s) for s in sets], np.int32), "tokens": [prefix(s, shared.value, share).view(np.int64) for s in sets]})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "h": pdf["h"], "cls": names, "n": np.array([len(s) for s in sets], np.int32), "fp": fps, "tokens": [prefix(s, shared.value, share).view(np.int64) for s in sets]})
 
-    rows, _ = materialize(texts.mapInPandas(lean(run), "doc_id long, h long, cls long, n int, tokens array<long>"), "shingles")
-    classes = rows.groupBy("cls").agg(F.min("doc_id").alias("first"), F.min("h").alias("h"))
+    rows, _ = materialize(texts.mapInPandas(lean(run), "doc_id long, h long, cls long, n int, fp long, tokens array<long>"), "shingles")
+    rep = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "h"))).alias("rep")
+    classes, _ = materialize(rows.groupBy("cls").agg(rep, F.min("h").alias("h")), "shingle-sets")
     # the row that stands for a class; rows with its text have its tokens too
-    one = rows.select("cls", "h", "n", "tokens").join(classes, ["cls", "h"]).dropDuplicates(["cls"])
-    return materialize(one.select("cls", "n", "first", "h", "tokens"), "shingle-classes")[0]
+    one = rows.select("cls", "h", "n", "fp", "tokens").join(classes, ["cls", "h"]).dropDuplicates(["cls"])
+    return materialize(one.select("cls", "n", "rep", "h", "fp", "tokens"), "shingle-classes")[0]
+
+
+def _by_fingerprint(classes: DataFrame) -> DataFrame:
+    """``(cls, cls_2)``: each class and the first of its fingerprint, and the first ones of linked fingerprints."""
+    firsts, _ = materialize(classes.groupBy("fp").agg(F.min("cls").alias("pivot")), "fingerprints")
+    own = classes.select("fp", "cls").join(firsts, "fp").where("cls <> pivot").select("cls", F.col("pivot").alias("cls_2"))
+    other = firsts.select(F.col("fp").alias("fp_2"), F.col("pivot").alias("cls_2"))
+    near = simhash.links(firsts.select("fp")).join(firsts, "fp").join(other, "fp_2").select(F.col("pivot").alias("cls"), "cls_2")
+    return own.union(near)
 
 
 def _fits(share: tuple[int, int]):
@@ -126,44 +153,55 @@ def _verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, words_each
 
 
 def groups(docs: DataFrame, words_each: int = WORDS, share: tuple[int, int] = SHARE) -> DataFrame:
-    """``docs(doc_id, text, ...)`` to ``(cls, component_id)``: each distinct set, and the smallest doc_id reachable over links.
+    """``docs(doc_id, text, ...)`` to ``(cls, rep)``: each distinct set, and the smallest (doc_id, hash of its text) reachable over links.
 
     Texts without words have the empty set and are copies of each other. A component whose ids are all null has
-    a null component_id. Extra columns are ignored; an empty table gives none.
+    a null rep. Extra columns are ignored; an empty table gives none.
     """
     texts = _text(docs)
     classes = _classes(texts, words_each, share)
     postings = classes.select("cls", "n", F.posexplode("tokens").alias("pos", "token"))
     pivots = postings.groupBy("token").agg(F.count(F.lit(1)).alias("k"), F.min("cls").alias("pivot")).where("k > 1").drop("k")
+    pivots, _ = materialize(pivots, "pivots")
     postings, _ = materialize(postings.join(pivots, "token"), "shared-shingles")
 
     def other(rows: DataFrame) -> DataFrame:
         return rows.select("token", *(F.col(c).alias(f"{c}_2") for c in rows.columns if c != "token"))
 
-    to_pivot = postings.where("cls <> pivot").join(other(postings.where("cls = pivot").drop("pivot")), "token").where(_fits(share))
-    links = _verified(to_pivot.select("cls", "cls_2").distinct(), classes, texts, words_each, share)
+    to_pivot = postings.where("cls <> pivot").join(other(postings.where("cls = pivot").drop("pivot")), "token").where(_fits(share)).select("cls", "cls_2")
+    first = _by_fingerprint(classes).union(to_pivot)
+    links = _verified(first.select(F.least("cls", "cls_2").alias("cls"), F.greatest("cls", "cls_2").alias("cls_2")).distinct(), classes, texts, words_each, share)
 
-    named = components(links)
+    named, _ = materialize(components(links), "similar-components")
     now = postings.drop("pivot").join(named, postings["cls"] == named["vertex"], "left").select("token", "cls", "n", "pos", F.coalesce("component", "cls").alias("label"))
     now, _ = materialize(now, "labelled-shingles")
-    of_token = now.groupBy("token", "label").agg(F.count(F.lit(1)).alias("k")).groupBy("token").agg(F.max_by("label", "k").alias("main"))
+    of_token = now.groupBy("token", "label").agg(F.count(F.lit(1)).alias("k")).groupBy("token").agg(F.max_by("label", F.struct("k", "label")).alias("main"), F.count(F.lit(1)).alias("labels"))
+    of_token, _ = materialize(of_token.where("labels > 1").drop("labels"), "main-labels")
+    now, _ = materialize(now.join(of_token, "token"), "open-shingles")  # of shingles that more than one group has
     # pairs within a token's main group are linked already; all others have a side outside it
-    outside = now.join(of_token, "token").where("label <> main")
-    met = outside.join(other(now), "token").where((F.col("label") != F.col("label_2")) & ((F.col("label_2") == F.col("main")) | (F.col("cls") < F.col("cls_2"))) & _fits(share))
+    outside = now.where("label <> main")
+    met = outside.join(other(now.drop("main")), "token").where((F.col("label") != F.col("label_2")) & ((F.col("label_2") == F.col("main")) | (F.col("cls") < F.col("cls_2"))) & _fits(share))
     pairs = met.select(F.least("cls", "cls_2").alias("cls"), F.greatest("cls", "cls_2").alias("cls_2")).distinct()
     links = links.union(_verified(pairs, classes, texts, words_each, share))
 
-    named = components(links)
-    linked = classes.select("cls", "first").join(named, classes["cls"] == named["vertex"])
-    moved = linked.join(linked.groupBy("component").agg(F.min("first").alias("least")), "component").select("cls", "least")
-    return classes.join(moved, "cls", "left").select("cls", F.coalesce("least", "first").alias("component_id"))
+    named, _ = materialize(components(links), "similar-components")
+    linked = classes.select("cls", "rep").join(named, classes["cls"] == named["vertex"]).select("cls", "rep", "component")
+    least, _ = materialize(linked.groupBy("component").agg(F.min("rep").alias("least")), "similar-least")
+    moved, _ = materialize(linked.join(least, "component").select("cls", "least"), "similar-named")
+    return classes.select("cls", "rep").join(moved, "cls", "left").select("cls", F.coalesce("least", "rep").alias("rep"))
 
 
 def keep_one_of_similar(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: of each group of near copies the document with the smallest doc_id stays, once.
 
-    Rows without a doc_id cannot be named as kept or dropped; they stay.
+    Of rows of one doc_id with different texts in one group the one with the smallest hash stays; rows that
+    repeat a doc_id and a text are one document, of which the row with the smallest columns stays. Rows without a
+    doc_id cannot be named as kept or dropped; they stay. Null texts are without words.
     """
-    kept = groups(docs).where("component_id is not null").select(F.col("component_id").alias("_kept_id")).distinct()
-    named = docs.where("doc_id is not null").join(kept, docs["doc_id"].cast("long") == F.col("_kept_id"), "left_semi").dropDuplicates(["doc_id"])
-    return named.select(*docs.columns).union(docs.where("doc_id is null"))
+    kept = groups(docs).where("rep is not null").select(F.col("rep.doc_id").alias("_kept_id"), F.col("rep.h").alias("_kept_h")).distinct()
+    h = F.xxhash64(F.col("text").cast("string"))
+    same = (docs["doc_id"].cast("long") == kept["_kept_id"]) & (h == kept["_kept_h"])
+    # rows of one kept document lie together: the join has dealt them by doc_id and hash
+    named = docs.where("doc_id is not null").join(kept, same, "left_semi")
+    once = named.groupBy(F.col("doc_id").cast("long").alias("_id"), h.alias("_h")).agg(F.min(F.struct(*docs.columns)).alias("_row"))
+    return once.select("_row.*").union(docs.where("doc_id is null"))
