@@ -239,7 +239,39 @@ def test_nearest_recall_ties_and_bad_rows(spark):
     assert not {1000, 1050, 1100, 1150, 1200, 1250} & set(got)
     assert nearest.search(table.limit(0), table.limit(0)).count() == 0
     few = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0])], "vec_id long, embedding array<double>")
-    assert nearest.search(few, few).count() <= 2
+    assert nearest.search(few, few).count() == 2
+
+
+def test_nearest_returns_all_candidates_of_small_tables(spark):
+    """One table of many lengths: vectors of a length are each other's only candidates."""
+    rng = np.random.default_rng(5)
+    rows, of = [], defaultdict(list)
+    for size in range(8, 40):
+        for _ in range(2 + size % 5):
+            rows.append((len(rows), rng.standard_normal(size).tolist()))
+            of[size].append(rows[-1][0])
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = defaultdict(dict)
+    for r in nearest.search(table, table).collect():
+        got[r.query_id][r["rank"]] = r.vec_id
+    for own in of.values():
+        for i in own:
+            assert sorted(got[i]) == list(range(1, len(own))) and sorted(got[i].values()) == sorted(set(own) - {i})
+
+
+@pytest.mark.parametrize("clustered", [False, True])
+def test_nearest_recall(spark, clustered):
+    rng = np.random.default_rng(9)
+    x = rng.standard_normal((3000, 32))
+    if clustered:
+        x = rng.standard_normal((60, 32))[rng.integers(0, 60, 3000)] + 0.3 * x
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    found = {(r.query_id, r.vec_id) for r in nearest.search(table, table.where("vec_id % 50 = 0")).collect()}
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = unit[::50] @ unit.T
+    near[np.arange(60), np.arange(60) * 50] = -9
+    want = {(50 * i, int(j)) for i, row in enumerate(near) for j in np.argsort(-row)[:5]}
+    assert len(found) == 300 and len(found & want) >= 270
 
 
 def test_probes_come_in_order_of_success():

@@ -4,13 +4,15 @@ Unit vectors are hashed by ``TABLES`` tables of ``FUNCTIONS`` functions floor((a
 so that Euclidean distance, and with it cosine, decides how far a neighbour's projections stray. A query visits
 perturbed buckets of each table in the order of their estimated success: the probability that a neighbour at
 the typical distance falls there, from the query's place in its slots. It stops when the visited buckets hold
-``TARGET`` of that probability. The typical distance is fitted on a bounded sample (``SAMPLE`` vectors).
+``TARGET`` of that probability. The typical distance is fitted on a bounded sample (``SAMPLE`` vectors). A query
+that has met fewer than k candidates by then goes on through all other buckets.
 
 Every vector is indexed. Of equal vectors only the k + 1 smallest ids can be in any answer (ties go to smaller
-ids), so only these enter the index: a group of copies costs a few rows. Buckets are dealt to shards of about
-``SHARD`` index rows, large ones in parts. A shard's task holds its index rows and streams through the queries
-that probe them; it emits each query's k best, with exact double-precision cosines, and a last step merges
-tables and shards.
+ids), so only these enter the index: a group of copies costs a few rows. Buckets are dealt to shards, large ones in
+parts. A shard has as many index rows as give each partition one, but no more than ``SHARD_BYTES`` of components, so
+that a query's vector goes to few shards. A shard's task holds its index rows and streams through the queries that
+probe them in blocks of ``BLOCK``; it emits each query's k best, with exact double-precision cosines, and a last
+step merges tables and shards.
 """
 
 from __future__ import annotations
@@ -28,7 +30,9 @@ from tidemark.llm.memory import lean
 from tidemark.session import materialize
 
 TABLES, FUNCTIONS, WIDTH, TARGET, SEED = 2, 6, 2.5, 0.8, 7
-SAMPLE, SHARD, REACH = 2048, 2048, 2
+SAMPLE, REACH, BLOCK = 2048, 2, 64
+#: Index rows of a shard at least, and bytes of its vectors' components at most.
+SHARD_ROWS, SHARD_BYTES = 2048, 32 << 20
 _OFFSETS = np.array(list(product(range(-REACH, REACH + 1), repeat=FUNCTIONS)), dtype=np.int64)
 _erf = np.vectorize(math.erf)
 
@@ -81,20 +85,21 @@ def clean(embeddings: DataFrame) -> DataFrame:
     return rows.groupBy("vec_id").agg(F.min("v").alias("v"))
 
 
-def _spread(vectors: DataFrame, k: int) -> float:
-    """Distance within which nine tenths of a bounded sample have k neighbours in the sample."""
-    rows = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).collect()
+def _spreads(vectors: DataFrame, k: int) -> dict[int, float]:
+    """By number of components: distance within which nine tenths of a bounded sample have k neighbours in the sample; 0 stands for the rest."""
     by: dict[int, list] = {}
-    for r in rows:
+    for r in vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).collect():
         by.setdefault(len(r.v), []).append(r.v)
-    most = max(by.values(), key=len, default=[])
-    if len(most) < 2:
-        return 1.0
-    unit = _units(np.array(most))
-    near = unit[:256] @ unit.T
-    near[np.arange(len(near)), np.arange(len(near))] = -1
-    kth = np.sort(near, axis=1)[:, -min(k, len(most) - 1)]
-    return float(np.quantile(np.sqrt(np.maximum(2 - 2 * kth, 0)), 0.9)) or 1e-3
+    out = {0: 1.0}
+    for size, own in sorted(by.items(), key=lambda x: len(x[1])):  # the commonest last
+        if len(own) < 2:
+            continue
+        unit = _units(np.array(own))
+        near = unit[:256] @ unit.T
+        near[np.arange(len(near)), np.arange(len(near))] = -1
+        kth = np.sort(near, axis=1)[:, -min(k, len(own) - 1)]
+        out[size] = out[0] = float(np.quantile(np.sqrt(np.maximum(2 - 2 * kth, 0)), 0.9)) or 1e-3
+    return out
 
 
 def search(embeddings: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
@@ -102,11 +107,12 @@ def search(embeddings: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
 
     A query's own vec_id is no candidate. Vectors that are null, empty, zero or hold null or non-finite
     components take no part, on either side; vectors of other lengths are never neighbours. Ties go to smaller
-    ids. Fewer rows come back where fewer candidates are found. Other columns are not read.
+    ids. A query has fewer than k rows only if it has fewer candidates. Other columns are not read.
     """
+    partitions = int(embeddings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     vectors, _ = materialize(clean(embeddings), "vectors")
     asked, _ = materialize(clean(queries), "queries")
-    spread = _spread(vectors, k)
+    spreads = _spreads(vectors, k)
     few = vectors.withColumn("copy", F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))).where(F.col("copy") <= k + 1)
 
     def placed(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -119,49 +125,66 @@ def search(embeddings: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     def probing(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
             for query_id, v in zip(pdf["vec_id"], pdf["v"]):
-                found = np.unique(np.concatenate([probes(np.asarray(v), t, spread) for t in range(TABLES)]))
+                found = np.unique(np.concatenate([probes(np.asarray(v), t, spreads.get(len(v), spreads[0])) for t in range(TABLES)]))
                 yield pd.DataFrame({"bucket": found, "query_id": query_id})
 
     index, _ = materialize(few.select("vec_id", "v").mapInPandas(lean(placed), "bucket long, vec_id long, v array<double>"), "index")
-    shards = max(1, -(-index.count() // SHARD))
-    sizes = index.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / SHARD).cast("int").alias("parts"))
+    total = index.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("size")).first()
+    most = max(1, SHARD_BYTES // (8 * (total["size"] or 1)))
+    rows = max(1, min(max(SHARD_ROWS, total.n // partitions), most))  # of a shard
+    shards = max(1, -(-total.n // rows))
+    sizes = index.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / rows).cast("int").alias("parts"))
     sizes, _ = materialize(sizes, "buckets")
     shard_of = F.pmod(F.xxhash64("bucket", "part"), F.lit(shards)).cast("int").alias("shard")
 
     split = index.join(sizes, "bucket").withColumn("part", F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int"))
-    held = split.select(shard_of, F.lit(0).alias("kind"), F.col("vec_id").alias("id"), "v", F.array("bucket").alias("buckets"))
-    visits = asked.select("vec_id", "v").mapInPandas(lean(probing), "bucket long, query_id long").join(sizes, "bucket")
-    visits = visits.select("query_id", "bucket", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).select(shard_of, "query_id", "bucket")
-    visits = visits.groupBy("shard", "query_id").agg(F.collect_set("bucket").alias("buckets"))
-    asks = visits.join(asked, F.col("query_id") == F.col("vec_id")).select("shard", F.lit(1).alias("kind"), F.col("query_id").alias("id"), "v", "buckets")
+    held, _ = materialize(split.select(shard_of, F.lit(0).alias("kind"), F.col("vec_id").alias("id"), "v", F.array("bucket").alias("buckets")), "shards")
 
     def rerank(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shard, rows, index_of = None, [], None
+        shard, own_rows, shard_index = None, [], None
         for pdf in parts:
             for (number, kind), own in pdf.groupby(["shard", "kind"], sort=True):
                 if number != shard:
-                    shard, rows, index_of = number, [], None
+                    shard, own_rows, shard_index = number, [], None
                 if kind == 0:
-                    rows.append(own)
+                    own_rows.append(own)
                     continue
-                if index_of is None and rows:
-                    index_of = _blocks(pd.concat(rows, ignore_index=True))
-                if index_of:
-                    yield from _best(own, index_of, k)
+                if shard_index is None and own_rows:
+                    shard_index = _index(pd.concat(own_rows, ignore_index=True))
+                    own_rows = []
+                if shard_index:
+                    for at in range(0, len(own), BLOCK):
+                        yield from _best(own.iloc[at : at + BLOCK], shard_index, k)
+
+    def answered(asks: DataFrame) -> DataFrame:
+        """k best ids of each query over the shards and buckets it visits; null buckets are all."""
+        both = held.unionByName(asks).repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "kind")
+        return both.mapInPandas(lean(rerank), "query_id long, vec_id long, score double")
+
+    visits = asked.select("vec_id", "v").repartition(partitions).mapInPandas(lean(probing), "bucket long, query_id long").join(sizes, "bucket")
+    visits = visits.select("query_id", "bucket", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).select(shard_of, "query_id", "bucket")
+    visits = visits.groupBy("shard", "query_id").agg(F.collect_set("bucket").alias("buckets"))
+    asks = visits.join(asked, F.col("query_id") == F.col("vec_id")).select("shard", F.lit(1).alias("kind"), F.col("query_id").alias("id"), "v", "buckets")
+    found, _ = materialize(answered(asks), "found")
 
-    both = held.unionByName(asks).repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "kind")
-    found = both.mapInPandas(lean(rerank), "query_id long, vec_id long, score double")
+    full = found.groupBy("query_id").agg(F.count_distinct("vec_id").alias("n")).where(F.col("n") >= k)
+    short, _ = materialize(asked.join(full, F.col("query_id") == F.col("vec_id"), "left_anti"), "short")
+    if not short.isEmpty():  # through all shards, whatever the bucket
+        every = short.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(1).alias("kind"), F.col("vec_id").alias("id"), "v", F.lit(None).cast("array<long>").alias("buckets"))
+        found = found.union(answered(every))
     best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def _blocks(rows: pd.DataFrame) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """By bucket: ids, vectors and unit vectors."""
-    out = {}
-    for bucket, own in rows.groupby(rows["buckets"].str[0]):
+def _index(rows: pd.DataFrame) -> dict[int, tuple]:
+    """By number of components: ids, vectors, unit vectors, the place of each row's bucket, and the buckets."""
+    out, size = {}, rows["v"].str.len()
+    for n in sorted(set(size.tolist())):
+        own = rows[size == n]
+        names, place = np.unique(own["buckets"].str[0].to_numpy(dtype=np.int64), return_inverse=True)
         x = np.stack(own["v"].to_numpy())
-        out[int(bucket)] = own["id"].to_numpy(), x, _units(x)
+        out[n] = own["id"].to_numpy(dtype=np.int64), x, _units(x), place, names
     return out
 
 
@@ -174,28 +197,26 @@ def _exact(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return (_units(q[None])[0] * _units(x)).sum(-1)  # squares out of range
 
 
-def _best(asks: pd.DataFrame, index: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]], k: int) -> Iterator[pd.DataFrame]:
+def _best(asks: pd.DataFrame, index: dict[int, tuple], k: int) -> Iterator[pd.DataFrame]:
+    """The k best of a shard for each query of a block: one product for all, of which a query sees the buckets it visits."""
     out: list[tuple[int, int, float]] = []
-    for query_id, v, seen in zip(asks["id"], asks["v"], asks["buckets"]):
-        blocks = [index[b] for b in seen.tolist() if b in index]
-        blocks = [b for b in blocks if b[1].shape[1] == len(v)]
-        if not blocks:
-            continue
-        q = np.asarray(v, dtype=np.float64)
-        unit = _units(q[None])[0]
-        ids = np.concatenate([b[0] for b in blocks])
-        near = np.concatenate([b[2] @ unit for b in blocks])
-        near[ids == query_id] = -np.inf
-        most = TABLES * k  # an id is in each table once
-        limit = np.partition(near, -most)[-most] - 1e-9 if len(near) > most else -2.0
-        chosen = np.flatnonzero(near >= limit)
-        if not len(chosen):
-            continue
-        x = np.concatenate([b[1] for b in blocks])[chosen]
-        own, first = np.unique(ids[chosen], return_index=True)
-        score = _exact(q, x[first])
-        order = np.lexsort((own, -score))[:k]
-        out += [(query_id, int(own[i]), float(score[i])) for i in order]
+    size = asks["v"].str.len()
+    for n in sorted(set(size.tolist()) & set(index)):
+        own, (ids, x, unit, place, names) = asks[size == n], index[n]
+        q = np.stack(own["v"].to_numpy()).astype(np.float64)
+        near = _units(q) @ unit.T
+        for row, query_id, v, seen in zip(near, own["id"], q, own["buckets"]):
+            visited = np.ones(len(names), dtype=bool) if seen is None else np.isin(names, seen)
+            row[~visited[place] | (ids == query_id)] = -np.inf
+            most = TABLES * k  # an id is in each table once
+            limit = np.partition(row, -most)[-most] - 1e-9 if len(row) > most else -2.0
+            chosen = np.flatnonzero(row >= max(limit, -2.0))
+            if not len(chosen):
+                continue
+            best, first = np.unique(ids[chosen], return_index=True)
+            score = _exact(v, x[chosen][first])
+            order = np.lexsort((best, -score))[:k]
+            out += [(query_id, int(best[i]), float(score[i])) for i in order]
     yield pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
 
 
