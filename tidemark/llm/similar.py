@@ -7,10 +7,13 @@ is verified on whole texts:
 - SimHash fingerprints of the same shingles that differ in at most ``simhash.MAX_BITS`` bits, found by the
   generalised pigeonhole search. A similarity of 0.8 is about ten differing bits of 64, where no partition of the
   bits is selective, so this alone would lose most links.
-- Prefix filtering for all others: with shingles in one order for all texts, two such sets share a shingle among
+- prefix filtering for all others: with shingles in one order for all texts, two such sets share a shingle among
   the first n - ceil(share n) + 1 of each. The order puts shingles that are frequent in a bounded sample
   (``SAMPLE``) last; it decides only the cost, never the result.
 
+Before texts meet, pairs are tested on bitmaps that hold the parity of how many of a set's hashes fall on each bit:
+two sets differ in at least as many hashes as their bitmaps in bits, so the test loses no similar pair.
+
 Each fingerprint and each shared shingle links its texts to one of them; of the pairs left only those across the
 groups found so far are compared, so a large group of near copies costs a link each while every pair that could
 join two groups is still verified.
@@ -35,6 +38,8 @@ from tidemark.session import materialize
 WORDS, SHARE = 5, (4, 5)
 #: Texts from which frequent shingles are found, and how many of those are kept in mind.
 SAMPLE, FREQUENT = 8192, 50_000
+#: Words of 64 bits of a set's parity bitmap, and how many of its folded form.
+PARITY, FOLDED = 16, 4
 
 
 def shingle_hashes(text: str | None, words_each: int = WORDS) -> np.ndarray:
@@ -57,6 +62,12 @@ def shingle_set(text: str | None, words_each: int = WORDS) -> np.ndarray:
     return np.unique(shingle_hashes(text, words_each))
 
 
+def parity(hashes: np.ndarray) -> np.ndarray:
+    """A set's bitmap of 64 * ``PARITY`` bits."""
+    odd = np.bincount((hashes >> np.uint64(40) & np.uint64(64 * PARITY - 1)).astype(np.int64), minlength=64 * PARITY) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
+
+
 def _text(docs: DataFrame) -> DataFrame:
     text = F.col("text").cast("string")
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), text.alias("text"))
@@ -91,7 +102,7 @@ def prefix(hashes: np.ndarray, frequent: tuple[np.ndarray, np.ndarray], share: t
 
 
 def _classes(texts: DataFrame, words_each: int, share: tuple[int, int]) -> DataFrame:
-    """``(cls, n, rep, h, fp, tokens)``: one row for each distinct set.
+    """``(cls, n, rep, h, fp, bits, tokens)``: one row for each distinct set.
 
     rep is the smallest (doc_id, hash of its text) of the class, null if all ids are null; h the hash of one text.
     """
@@ -103,14 +114,14 @@ def _classes(texts: DataFrame, words_each: int, share: tuple[int, int]) -> DataF
             fps = np.array([simhash.of_hashes(x) for x in hashes], dtype=np.uint64).view(np.int64)
             sets = [np.unique(x) for x in hashes]
             names = np.array([xxh3_64_intdigest(s.tobytes()) for s in sets], dtype=np.uint64).view(np.int64)
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "h": pdf["h"], "cls": names, "n": np.array([len(s) for s in sets], np.int32), "fp": fps, "tokens": [prefix(s, shared.value, share).view(np.int64) for s in sets]})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "h": pdf["h"], "cls": names, "n": np.array([len(s) for s in sets], np.int32), "fp": fps, "bits": [parity(s) for s in sets], "tokens": [prefix(s, shared.value, share).view(np.int64) for s in sets]})
 
-    rows, _ = materialize(texts.mapInPandas(lean(run), "doc_id long, h long, cls long, n int, fp long, tokens array<long>"), "shingles")
+    rows, _ = materialize(texts.mapInPandas(lean(run), "doc_id long, h long, cls long, n int, fp long, bits array<long>, tokens array<long>"), "shingles")
     rep = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "h"))).alias("rep")
     classes, _ = materialize(rows.groupBy("cls").agg(rep, F.min("h").alias("h")), "shingle-sets")
     # the row that stands for a class; rows with its text have its tokens too
-    one = rows.select("cls", "h", "n", "fp", "tokens").join(classes, ["cls", "h"]).dropDuplicates(["cls"])
-    return materialize(one.select("cls", "n", "rep", "h", "fp", "tokens"), "shingle-classes")[0]
+    one = rows.select("cls", "h", "n", "fp", "bits", "tokens").join(classes, ["cls", "h"]).dropDuplicates(["cls"])
+    return materialize(one.select("cls", "n", "rep", "h", "fp", "bits", "tokens"), "shingle-classes")[0]
 
 
 def _by_fingerprint(classes: DataFrame) -> DataFrame:
@@ -128,9 +139,17 @@ def _fits(share: tuple[int, int]):
     return (share[0] + share[1]) * most >= share[0] * (F.col("n") + F.col("n_2"))
 
 
+def _may(share: tuple[int, int], words: int, bits: str, bits_2: str):
+    """Whether two sets' bitmaps leave room for the similarity: it allows (1 - share) / (1 + share) of both sizes to differ."""
+    differ = sum((F.bit_count(F.get(bits, F.lit(i)).bitwiseXOR(F.get(bits_2, F.lit(i)))) for i in range(words)), F.lit(0))
+    return (share[0] + share[1]) * differ <= (share[1] - share[0]) * (F.col("n") + F.col("n_2"))
+
+
 def _verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, words_each: int, share: tuple[int, int]) -> DataFrame:
     """Of ``(cls, cls_2)`` the pairs whose whole sets are similar, as ``(a, b)``."""
-    pairs, _ = materialize(pairs, "similar-pairs")
+    sizes = classes.select("cls", "n", "bits")
+    other = sizes.select(*(F.col(c).alias(f"{c}_2") for c in sizes.columns))
+    pairs, _ = materialize(pairs.join(sizes, "cls").join(other, "cls_2").where(_may(share, PARITY, "bits", "bits_2")).select("cls", "cls_2"), "similar-pairs")
     needed = pairs.select("cls").union(pairs.select("cls_2")).distinct().join(classes.select("cls", "h"), "cls")
     own, _ = materialize(texts.select("h", "text").join(needed, "h").select("cls", "text").dropDuplicates(["cls"]), "similar-texts")
 
@@ -177,10 +196,12 @@ def groups(docs: DataFrame, words_each: int = WORDS, share: tuple[int, int] = SH
     now, _ = materialize(now, "labelled-shingles")
     of_token = now.groupBy("token", "label").agg(F.count(F.lit(1)).alias("k")).groupBy("token").agg(F.max_by("label", F.struct("k", "label")).alias("main"), F.count(F.lit(1)).alias("labels"))
     of_token, _ = materialize(of_token.where("labels > 1").drop("labels"), "main-labels")
-    now, _ = materialize(now.join(of_token, "token"), "open-shingles")  # of shingles that more than one group has
+    folded = F.transform(F.sequence(F.lit(0), F.lit(FOLDED - 1)), lambda i: F.aggregate(F.sequence(F.lit(0), F.lit(PARITY // FOLDED - 1)), F.lit(0).cast("long"), lambda x, k: x.bitwiseXOR(F.get("bits", k * FOLDED + i))))
+    now = now.join(of_token, "token").join(classes.select("cls", folded.alias("bits")), "cls")
+    now, _ = materialize(now, "open-shingles")  # of shingles that more than one group has
     # pairs within a token's main group are linked already; all others have a side outside it
     outside = now.where("label <> main")
-    met = outside.join(other(now.drop("main")), "token").where((F.col("label") != F.col("label_2")) & ((F.col("label_2") == F.col("main")) | (F.col("cls") < F.col("cls_2"))) & _fits(share))
+    met = outside.join(other(now.drop("main")), "token").where((F.col("label") != F.col("label_2")) & ((F.col("label_2") == F.col("main")) | (F.col("cls") < F.col("cls_2"))) & _fits(share) & _may(share, FOLDED, "bits", "bits_2"))
     pairs = met.select(F.least("cls", "cls_2").alias("cls"), F.greatest("cls", "cls_2").alias("cls_2")).distinct()
     links = links.union(_verified(pairs, classes, texts, words_each, share))
 
