@@ -51,10 +51,27 @@ def test_warc_round_trip(spark):
     assert got == sorted(map(repr, want))
     texts = [bytes(r.payload).decode() for r in found.where("kind = 'response'").select("payload").collect()]
     assert sorted(texts) == sorted((h or "") for (i, _, h), w in zip(rows, want) if w[3] == "response")
+    ids = [r.record_id for r in found.select("record_id").collect()]
+    assert len(ids) == len(set(ids)) == len(rows)
     none = warc.read_archives(warc.write_archives(pages.limit(0), new_folder(spark, "warc")))
     assert none.count() == 0
 
 
+def test_warc_many_equal_rows(spark, monkeypatch):
+    """A third of all rows equal, in one piece and in segments, and one payload with many revisits."""
+    monkeypatch.setattr(warc, "COPIES", 16)
+    rows = [(7, "u", "s" * 70_000)] * 40 + [(None, "u", None)] * 150 + [(8, "v", "t" * 1500)] * 40 + [(i, "w", "r" * 2000) for i in range(100, 220)] + [(900, None, "r" * 2000)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
+    found = warc.read_archives(warc.write_archives(pages, new_folder(spark, "warc")))
+    ids = [r.record_id for r in found.select("record_id").collect()]
+    assert len(ids) == len(set(ids)) == len(rows) and found.where("problem is not null").count() == 0
+    got = Counter(map(tuple, warc.resolve(found).collect()))
+    digest = lambda t: hashlib.sha1(t.encode()).hexdigest()
+    want = Counter({(7, 70_000, digest("s" * 70_000), "response", None): 40, (None, 0, digest(""), "response", None): 150, (8, 1500, digest("t" * 1500), "response", None): 40})
+    want += Counter({(i, 2000, digest("r" * 2000), "revisit", 900): 1 for i in range(100, 220)}) + Counter({(900, 2000, digest("r" * 2000), "response", None): 1})
+    assert got == want
+
+
 def test_warc_damage(spark):
     raw = b"abc" * 40_000
     digest = hashlib.sha1(raw).hexdigest()

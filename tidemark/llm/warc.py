@@ -1,11 +1,13 @@
 """WARC archives: writing with duplicate revisits and segmented records, reading with reassembly.
 
 Writing: payloads are digested by Spark. Of rows with equal payloads of at least ``MIN_REVISIT`` bytes the one
-with the largest page_id becomes a response and the others revisits of it; all others are responses. Responses
-carry the payload in chunked transfer framing. A block over ``SEGMENT`` bytes is written as a first record and
-continuation records. Each task writes its own archives (gzip, a member for each record) into the shared
+with the largest page_id becomes a response and the others revisits of it; all others are responses. Only rows of
+that size meet the table of repeated digests, which is written first, so that Spark splits a digest with many rows.
+Responses carry the payload in chunked transfer framing. A block over ``SEGMENT`` bytes is written as a first
+record and continuation records. Each task writes its own archives (gzip, a member for each record) into the shared
 folder under a temporary name and moves them into place when they are complete, so a repeated task only
-replaces them.
+replaces them. A record identifier is made of page_id, address, digest and, for equal rows, the copy's number:
+such rows are counted, and their copies dealt out in runs of ``COPIES``, so identifiers are unique.
 
 Reading: tasks stream through archives. Records in one piece are decoded at once. Segments are dealt by the
 record identifier of their origin and sorted by segment number, so reassembly streams too and holds one record
@@ -36,6 +38,8 @@ from tidemark.session import materialize, move_shared, new_folder, open_shared
 MIN_REVISIT = 1000
 #: Largest block of one record, largest chunk of the transfer framing and size at which a task starts a new archive.
 SEGMENT, CHUNK, ROLL = 32 << 10, 8 << 10, 1 << 30
+#: Records of equal rows that one task writes for a row it gets.
+COPIES = 256
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2024-01-01T00:00:00Z"
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n"
@@ -76,8 +80,8 @@ def payload_of(block: bytes) -> bytes:
     return unchunked(body) if fields.get(b"transfer-encoding") == b"chunked" else body
 
 
-def record_id(page_id: int | None, digest: str) -> str:
-    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id}/{digest}')}>"
+def record_id(*parts) -> str:
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, repr(parts))}>"
 
 
 def _record(fields: list[tuple[str, object]], block: bytes) -> bytes:
@@ -86,14 +90,14 @@ def _record(fields: list[tuple[str, object]], block: bytes) -> bytes:
     return packer.compress(b"WARC/1.1\r\n" + head.encode() + b"\r\n" + block + b"\r\n\r\n") + packer.flush()
 
 
-def records(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> Iterator[bytes]:
-    """The WARC records of one page, packed."""
-    own = record_id(page_id, digest)
+def records(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: str | None = None, copy: int = 0) -> Iterator[bytes]:
+    """The WARC records of one page, packed; a revisit if ``refers_to`` names the record of a response."""
+    own = record_id(page_id, url, digest, copy)
     sha1 = "sha1:" + base64.b32encode(bytes.fromhex(digest)).decode()
     common = [("WARC-Date", DATE), ("WARC-Target-URI", quote(url or "urn:none", safe=":/?#[]@!$&'()*+,;=%~")), ("WARC-Payload-Digest", sha1), ("X-Page-Id", page_id)]
     kind = [("Content-Type", "application/http; msgtype=response")]
     if refers_to is not None:
-        yield _record([("WARC-Type", "revisit"), ("WARC-Record-ID", own), *common, ("WARC-Profile", PROFILE), ("WARC-Refers-To", record_id(refers_to, digest)), *kind], HTTP)
+        yield _record([("WARC-Type", "revisit"), ("WARC-Record-ID", own), *common, ("WARC-Profile", PROFILE), ("WARC-Refers-To", refers_to), *kind], HTTP)
         return
     block = HTTP + chunked(payload)
     if len(block) <= SEGMENT:
@@ -103,45 +107,68 @@ def records(page_id: int | None, url: str | None, payload: bytes, digest: str, r
     yield _record([("WARC-Type", "response"), ("WARC-Record-ID", own), *common, ("WARC-Segment-Number", 1), *kind], parts[0])
     for k, part in enumerate(parts[1:], 2):
         total = len(block) if k == len(parts) else None
-        yield _record([("WARC-Type", "continuation"), ("WARC-Record-ID", record_id(page_id, f"{digest}/{k}")), *common, ("WARC-Segment-Origin-ID", own), ("WARC-Segment-Number", k), ("WARC-Segment-Total-Length", total)], part)
+        yield _record([("WARC-Type", "continuation"), ("WARC-Record-ID", record_id(page_id, url, digest, copy, k)), *common, ("WARC-Segment-Origin-ID", own), ("WARC-Segment-Number", k), ("WARC-Segment-Total-Length", total)], part)
+
+
+def _planned(pages: DataFrame) -> DataFrame:
+    """``(page_id, url, payload, digest, top, copy, copies)``: what to write; top names the response that a row revisits."""
+    payload = F.encode(F.coalesce(F.col("html").cast("string"), F.lit("")), "UTF-8")
+    key = ["page_id", "url", "digest"]
+    digested = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload"), F.sha1(payload).alias("digest"), F.octet_length(payload).alias("bytes"))
+    groups = digested.where(F.col("bytes") >= MIN_REVISIT).groupBy("digest").agg(F.max(F.struct("page_id", "url")).alias("top"), F.count(F.lit(1)).alias("n"))
+    groups, _ = materialize(groups.where("n > 1 and top.page_id is not null").select("digest", "top"), "digests")
+    repeated, _ = materialize(digested.groupBy(*key).agg(F.count(F.lit(1)).alias("copies")).where("copies > 1"), "repeated")
+
+    rows = digested.withColumns({"copy": F.lit(0).cast("long"), "copies": F.lit(1).cast("long")})
+    if not repeated.isEmpty():
+        other = repeated.select(*(F.col(c).alias(f"{c}_2") for c in key), F.col("copies").alias("n_2"))
+        same = F.lit(True)
+        for c in key:
+            same = same & F.col(c).eqNullSafe(F.col(f"{c}_2"))
+        once = digested.join(other, same).groupBy(*key, "n_2").agg(F.first("payload").alias("payload"), F.first("bytes").alias("bytes"))
+        runs = once.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_2") - 1, F.lit(COPIES).cast("long"))))
+        runs = runs.withColumn("copies", F.least(F.lit(COPIES), F.col("n_2") - F.col("copy"))).select(*rows.columns)
+        rows = rows.join(other, same, "left_anti").unionByName(runs.repartition(int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    met = rows.where(F.col("bytes") >= MIN_REVISIT).join(groups, "digest", "left")
+    revisits = F.when(F.col("page_id").isNull() | (F.col("page_id") < F.col("top.page_id")), F.col("top"))
+    columns = ["page_id", "url", "payload", "digest", "copy", "copies"]
+    small = rows.where(F.col("bytes") < MIN_REVISIT).select(*columns, F.lit(None).cast(groups.schema["top"].dataType).alias("top"))
+    return met.select(*columns, revisits.alias("top")).unionByName(small)
 
 
 def write_archives(pages: DataFrame, folder: str) -> DataFrame:
     """``pages(page_id, url, html)`` into archives below ``folder``; returns their paths.
 
     A null html is an empty payload. Rows without a page_id are responses unless a row with one has the same
-    payload. Rows that repeat the largest page_id and payload are responses each. Other columns are not read.
+    payload. Rows that repeat the largest page_id and payload are responses each, of which the one with the largest
+    address is revisited. Equal rows are a record each. Other columns are not read.
     """
-    payload = F.encode(F.coalesce(F.col("html").cast("string"), F.lit("")), "UTF-8")
-    digested = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload"), F.sha1(payload).alias("digest"), F.octet_length(payload).alias("bytes"))
-    groups = digested.where(F.col("bytes") >= MIN_REVISIT).groupBy("digest").agg(F.max("page_id").alias("largest"), F.count(F.lit(1)).alias("n"))
-    groups = groups.where("n > 1 and largest is not null").select("digest", "largest")
-    refers = F.when(F.col("page_id").isNull() | (F.col("page_id") < F.col("largest")), F.col("largest"))
-    plan = digested.join(groups, "digest", "left").select("page_id", "url", "payload", "digest", refers.alias("refers_to"))
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
         name, made, out = f"{folder}/pages-{context.partitionId():05d}", [], None
         for part in parts:
-            for page_id, url, body, digest, ref in _rows(part, "page_id", "url", "payload", "digest", "refers_to"):
-                if out is None:
-                    made.append(f"{name}-{len(made):03d}.warc.gz")
-                    tmp, size = f"{made[-1]}.{context.taskAttemptId()}.tmp", 0
-                    out = open_shared(tmp, "wb")
-                    out.write(_record([("WARC-Type", "warcinfo"), ("WARC-Record-ID", record_id(None, made[-1])), ("WARC-Date", DATE), ("Content-Type", "application/warc-fields")], b"format: WARC File Format 1.1\r\n"))
-                for packed in records(page_id, url, body, digest, ref):
-                    out.write(packed)
-                    size += len(packed)
-                if size > ROLL:
-                    out.close()
-                    move_shared(tmp, made[-1])
-                    out = None
+            for page_id, url, body, digest, top, first, copies in _rows(part, "page_id", "url", "payload", "digest", "top", "copy", "copies"):
+                ref = None if top is None else record_id(top["page_id"], top["url"], digest, 0)
+                for copy in range(first, first + copies):
+                    if out is None:
+                        made.append(f"{name}-{len(made):03d}.warc.gz")
+                        tmp, size = f"{made[-1]}.{context.taskAttemptId()}.tmp", 0
+                        out = open_shared(tmp, "wb")
+                        out.write(_record([("WARC-Type", "warcinfo"), ("WARC-Record-ID", record_id(made[-1])), ("WARC-Date", DATE), ("Content-Type", "application/warc-fields")], b"format: WARC File Format 1.1\r\n"))
+                    for packed in records(page_id, url, body, digest, ref, copy):
+                        out.write(packed)
+                        size += len(packed)
+                    if size > ROLL:
+                        out.close()
+                        move_shared(tmp, made[-1])
+                        out = None
         if out is not None:
             out.close()
             move_shared(tmp, made[-1])
         yield pa.record_batch({"path": pa.array(made, pa.string())})
 
-    return materialize(plan.mapInArrow(lean(run), "path string"), "archives")[0]
+    return materialize(_planned(pages).mapInArrow(lean(run), "path string"), "archives")[0]
 
 
 def _rows(part: pa.RecordBatch, *names: str) -> Iterator[tuple]:
@@ -258,19 +285,17 @@ def read_archives(paths: DataFrame, keep_payload: bool = True) -> DataFrame:
             yield from whole(origin, held)
 
     def whole(origin: str, held: list[dict]) -> Iterator[tuple[dict, int]]:
-        """Segments of one origin in order; rows that repeat a page give every segment as often."""
-        copies = sum(r["segment"] == 1 for r in held) or 1
-        once, first = held[::copies], held[0]
+        """One record of its segments in order."""
+        first, last = held[0], held[-1]
         fields = {"warc-record-id": origin, "warc-payload-digest": first["problem"] or ""} | ({} if first["page_id"] is None else {"x-page-id": str(first["page_id"])})
-        block, total = b"".join(r["block"] for r in once), once[-1]["total"]
-        if [r["segment"] for r in once] != list(range(1, len(once) + 1)) or len(held) != copies * len(once) or total is None:
+        block = b"".join(r["block"] for r in held)
+        if [r["segment"] for r in held] != list(range(1, len(held) + 1)) or last["total"] is None:
             row = _row("response", fields, None, keep_payload, "segments are missing")
-        elif len(block) != total:
+        elif len(block) != last["total"]:
             row = _row("response", fields, None, keep_payload, "total length differs")
         else:
             row = _whole("response", fields, block, keep_payload)
-        for _ in range(copies):
-            yield row, 400 + len(row["payload"] or b"")
+        yield row, 400 + len(row["payload"] or b"")
 
     def reassemble(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for frame in _frames(joined(parts), own):
@@ -283,8 +308,10 @@ def read_archives(paths: DataFrame, keep_payload: bool = True) -> DataFrame:
 
 def resolve(found: DataFrame) -> DataFrame:
     """Records to ``(page_id, payload_bytes, payload_digest, record_type, refers_to)``; revisits take size and digest from their response."""
+    found, _ = materialize(found.drop("payload"), "resolved")
     responses = found.where("kind = 'response'")
-    named = responses.where(F.col("payload_bytes") >= MIN_REVISIT).groupBy(F.col("record_id").alias("refers_to")).agg(F.max("page_id").alias("to_page"), F.max("payload_bytes").alias("bytes"), F.max("payload_digest").alias("digest"))
+    # identifiers are unique: a plain join, whose hot partitions (a response that many revisit) Spark splits
+    named = responses.where(F.col("payload_bytes") >= MIN_REVISIT).select(F.col("record_id").alias("refers_to"), F.col("page_id").alias("to_page"), F.col("payload_bytes").alias("bytes"), F.col("payload_digest").alias("digest"))
     revisits = found.where("kind = 'revisit'").select("page_id", "refers_to").join(named, "refers_to", "left")
     none = F.lit(None).cast("long")
     return responses.select("page_id", "payload_bytes", "payload_digest", F.lit("response").alias("record_type"), none.alias("refers_to")).unionByName(
