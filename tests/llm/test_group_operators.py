@@ -298,8 +298,13 @@ def test_probes_come_in_order_of_success():
 
 
 # --- op 10 ----------------------------------------------------------------------------------------------------------
-def test_kneser_ney_brute(spark, monkeypatch):
+@pytest.mark.parametrize("fan, mapped", [(1024, 256), (3, 2)])
+def test_kneser_ney_brute(spark, monkeypatch, fan, mapped):
     monkeypatch.setattr(ngram_lm, "SHARD_BYTES", 2000)  # several shards
+    monkeypatch.setattr(ngram_lm, "FAN", fan)  # dealt at once, or in two steps
+    monkeypatch.setattr(ngram_lm, "MAPPED", mapped)
+    monkeypatch.setattr(ngram_lm, "WORD_ROWS", 20)
+    monkeypatch.setattr(ngram_lm, "CHUNK", 500)
     rows = [(i, words(i, 40 + i) + (" Zeta\x0bÉ" if i % 3 else "")) for i in range(60)] + [(70, None), (71, ""), (72, "unseen words only here"), (3, words(3, 43)), (None, "alpha beta")]
     table = docs(spark, rows)
     split = lambda t: [w for w in "".join(c.lower() if c.isascii() else c for c in t or "").replace("\x0b", " ").split(" ") if w]
@@ -331,7 +336,7 @@ def test_kneser_ney_brute(spark, monkeypatch):
         return max(n - d[min(n, 3)], 0) / total + min(sum(d[min(x, 3)] for x in after[u]) / total, 1) * lower
 
     model = ngram_lm.train(table.where(~ngram_lm.held_out()))
-    assert model.shards > 2 and (model.tokens, model.distinct) == (sum(count.values()), len(count))
+    assert model.shards > 2 and model.word_shards > 1 and (model.tokens, model.distinct) == (sum(count.values()), len(count))
     got = defaultdict(list)
     for r in ngram_lm.score(table, model).collect():
         got[r.doc_id].append(r)
@@ -342,12 +347,25 @@ def test_kneser_ney_brute(spark, monkeypatch):
         assert math.isclose(r.score, sum(math.log10(p(u, v)) for u, v in zip(["<s>", *ws], [*ws, "</s>"])), rel_tol=1e-6)
         assert math.isclose(r.base_score, sum(math.log10((count[w] + 1) / (sum(count.values()) + len(count) + 1)) for w in [*ws, "</s>"]), rel_tol=1e-9)
     assert sum(map(len, got.values())) == len(rows)
+    keys = np.random.default_rng(0).integers(0, 1 << 63, 500, dtype=np.uint64) * np.uint64(2)
+    assert not model.pair_counts(np.sort(keys)).any() and len(model._maps) <= mapped
     for u in ("<s>", "alpha"):  # probabilities of all words and the unknown one sum to one
         assert math.isclose(sum(p(u, v) for v in count) + p(u, "?"), 1.0, rel_tol=1e-6)
     empty = ngram_lm.score(table, ngram_lm.train(table.limit(0))).collect()
     assert len(empty) == len(rows) and all(r.score == 0 and r.train_tokens == 0 for r in empty)
 
 
+def test_pairs_are_packed_whole():
+    rng = np.random.default_rng(2)
+    u, v = (np.sort(rng.integers(0, 1 << 63, 300, dtype=np.uint64))[rng.integers(0, 300, 5000)] for _ in range(2))
+    u, v, n = ngram_lm._counted([u], [v])
+    n = n * rng.integers(1, 1 << 30, len(n))
+    blocks = list(ngram_lm._blocks(u, v, n, 7))
+    back = [np.concatenate(x) for x in zip(*(ngram_lm._unpack(raw) for _, raw in blocks))]
+    assert sorted(zip(*(x.tolist() for x in back))) == sorted(zip(u.tolist(), v.tolist(), n.tolist()))
+    assert all((ngram_lm.shard_of(ngram_lm.pair_hash(*ngram_lm._unpack(raw)[:2]), 7) == s).all() for s, raw in blocks)
+
+
 # --- pipeline -------------------------------------------------------------------------------------------------------
 def test_pipeline_stages(spark, tmp_path):
     rng = random.Random(8)

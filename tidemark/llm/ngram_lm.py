@@ -1,20 +1,24 @@
 """Interpolated modified Kneser-Ney bigram model: counted in Spark, stored as sorted hash arrays, memory-mapped to score.
 
 Counting: each task turns its texts into 64-bit word hashes, counts the pairs of ``CHUNK`` tokens at a time and
-sends each distinct pair once to the shard of its pair hash. Shards are ranges of pair hashes, so a word that
-follows or precedes a third of all words is spread over all of them. A shard's task merges its counts and
-writes pair hashes in order and their counts; it passes on sums for each word (how often it follows how many
-different words; how many of its followers occur once, twice, more often), again by ranges of word hashes, whose
-tasks write the word arrays. Nothing by word or pair goes to the driver, only a dozen totals do.
-
-Files are written under a temporary name and moved into place, so a repeated task replaces equal content. They
-lie in the shared folder; workers map the arrays and search them with sorted batches of hashes.
+sends each distinct pair once to the shard of its pair hash, with a dictionary of the words in each block sent.
+Shards are ranges of pair hashes, so a word that follows or precedes a third of all words is spread over all of
+them; their number follows the corpus (``SHARD_BYTES`` of text each). Beyond ``FAN`` shards pairs are dealt in two
+steps, first to groups of shards, so that a chunk never makes more than ``FAN`` blocks. A shard's task merges its
+counts and writes one file: pair hashes in order and their counts. It passes on a row of sums for each word (how
+often it follows how many different words; how many of its followers occur once, twice, more often); these rows are
+dealt by ranges of word hashes, about ``WORD_ROWS`` to a shard, whose tasks write the word files. Nothing by word,
+pair or shard goes to the driver, only a dozen totals do.
+
+Files are written under a temporary name and moved into place, so a repeated task replaces equal content. Every
+shard has its files, so a missing one is an error. They lie in the shared folder; workers map them, ``MAPPED`` at a
+time, and search them with sorted batches of hashes.
 """
 
 from __future__ import annotations
 
-import io
 import zlib
+from collections import OrderedDict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from urllib.parse import urlparse
@@ -31,6 +35,8 @@ from tidemark.session import materialize, move_shared, new_folder, open_shared
 
 #: Tokens that a task counts or scores at a time, and bytes of text for each shard.
 CHUNK, SCORED, SHARD_BYTES = 2_500_000, 300_000, 12 << 20
+#: Most shards that a chunk is dealt to at once, rows of word sums for each word shard, and files that a worker maps.
+FAN, WORD_ROWS, MAPPED = 1024, 1_500_000, 256
 START, END = np.uint64(0x5354415254), np.uint64(0x454E44)
 HELD_OUT, HELD_OUT_REST = 7, 2
 
@@ -56,16 +62,6 @@ def shard_of(h: np.ndarray, shards: int) -> np.ndarray:
     return ((h >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
 
 
-def _sum_by(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Distinct keys in order and the sums of values of each."""
-    if not len(keys):
-        return keys, *values
-    order = np.argsort(keys, kind="stable")
-    keys = keys[order]
-    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-    return keys[first], *(np.add.reduceat(v[order], first) for v in values)
-
-
 def _counted(us: list, vs: list, ns: list | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct pairs in the order of their hashes and their counts; empties the lists, to hold few copies."""
     u, v = np.concatenate(us), np.concatenate(vs)
@@ -85,38 +81,60 @@ def _counted(us: list, vs: list, ns: list | None = None) -> tuple[np.ndarray, np
     return u[order], v[order], n
 
 
-def _pack(u: np.ndarray, v: np.ndarray, n: np.ndarray) -> bytes:
-    """Pairs with counts; each first word once."""
-    order = np.argsort(u, kind="stable")
-    u, v, n = u[order], v[order], n[order]
-    first = np.flatnonzero(np.concatenate([[True], u[1:] != u[:-1]]))
-    runs = np.diff(np.append(first, len(u))).astype("<u4")
-    small = zlib.compress(runs.tobytes() + n.astype("<u4").tobytes(), 1)
-    return np.array([len(first), len(u)], dtype="<u8").tobytes() + u[first].tobytes() + v.tobytes() + small
+def _blocks(u: np.ndarray, v: np.ndarray, n: np.ndarray, shards: int) -> Iterator[tuple[int, bytes]]:
+    """Pairs in the order of their hashes, with counts, as a packed block for each shard that has any."""
+    words, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    at = at.astype(np.int32)
+    first, second = at[: len(u)], at[len(u) :]
+    edges = np.searchsorted(shard_of(pair_hash(u, v), shards), np.arange(shards + 1))
+    for shard in np.flatnonzero(np.diff(edges)).tolist():
+        part = slice(edges[shard], edges[shard + 1])
+        a, b, times = first[part], second[part], n[part]
+        used = np.zeros(len(words), dtype=bool)
+        used[a] = used[b] = True
+        place = np.cumsum(used, dtype=np.int32) - 1
+        order = np.lexsort((b, a))
+        a, b, times = place[a[order]], place[b[order]], times[order]
+        step = np.diff(b, prepend=0)  # small within the run of a first word
+        own = words[used]
+        small = zlib.compress(np.bincount(a, minlength=len(own)).astype("<u4").tobytes() + step.astype("<i4").view(np.uint8).reshape(-1, 4).T.tobytes() + times.astype("<u4").tobytes(), 1)
+        yield shard, np.array([len(own), len(a)], dtype="<u8").tobytes() + own.tobytes() + small
 
 
 def _unpack(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     k, n = (int(x) for x in np.frombuffer(raw, "<u8", 2))
-    first, v = np.frombuffer(raw, "<u8", k, 16), np.frombuffer(raw, "<u8", n, 16 + 8 * k)
-    small = np.frombuffer(zlib.decompress(raw[16 + 8 * k + 8 * n :]), "<u4")
-    return np.repeat(first, small[:k]), v, small[k:].astype(np.int64)
+    words, small = np.frombuffer(raw, "<u8", k, 16), zlib.decompress(raw[16 + 8 * k :])
+    runs, times = np.frombuffer(small, "<u4", k), np.frombuffer(small, "<u4", n, 4 * k + 4 * n)
+    step = np.ascontiguousarray(np.frombuffer(small, np.uint8, 4 * n, 4 * k).reshape(4, n).T).view("<i4").ravel()
+    return np.repeat(words, runs), words[np.cumsum(step)], times.astype(np.int64)
 
 
-def _save(uri: str, array: np.ndarray) -> None:
+def _save(uri: str, arrays: list[np.ndarray]) -> None:
+    """Arrays one after the other, widest first, behind their number of items."""
     tmp = f"{uri}.{TaskContext.get().taskAttemptId()}.tmp"
-    buffer = io.BytesIO()
-    np.save(buffer, array)
     with open_shared(tmp, "wb") as f:
-        f.write(buffer.getbuffer())
+        f.write(np.array([len(x) for x in arrays], dtype="<u8").tobytes())
+        for x in arrays:
+            f.write(x.tobytes())
     move_shared(tmp, uri)
 
 
-def _mapped(uri: str) -> np.ndarray:
-    """A stored array, memory-mapped; the shared folder has to be mounted on the workers for that."""
+#: What the arrays of a file hold.
+PAIRS, WORDS = ("<u8", "<i8", "<i8", "<u1"), ("<u8", "<u8", "<u8", "<f4")
+
+
+def _mapped(uri: str, kinds: tuple[str, ...]) -> list[np.ndarray]:
+    """A file's arrays, memory-mapped; the shared folder has to be mounted on the workers for that."""
     parsed = urlparse(uri)
     if parsed.scheme not in ("", "file"):
         raise ValueError(f"{uri} cannot be memory-mapped: name a mounted folder in spark.checkpoint.dir")
-    return np.load(parsed.path, mmap_mode="r")
+    raw = np.memmap(parsed.path, dtype=np.uint8, mode="r")
+    at, out = 8 * len(kinds), []
+    for n, kind in zip(raw[:at].view("<u8").tolist(), kinds):
+        size = n * np.dtype(kind).itemsize
+        out.append(raw[at : at + size].view(kind))
+        at += size
+    return out
 
 
 def _discounts(n: list[int]) -> tuple[float, float, float]:
@@ -130,42 +148,47 @@ def _discounts(n: list[int]) -> tuple[float, float, float]:
 
 @dataclass
 class Model:
-    """Where the arrays are, which shards have any, and totals."""
+    """Where the arrays are, how many shards of each kind there are, and totals."""
 
     folder: str
     shards: int
-    have: frozenset = frozenset()
+    word_shards: int = 0
     tokens: int = 0
     distinct: int = 0
     pairs: int = 0
     pair_discounts: tuple[float, float, float] = (0.5, 0.75, 0.9)
     word_discounts: tuple[float, float, float] = (0.5, 0.75, 0.9)
     left_over: float = 1.0
-    _maps: dict = field(default_factory=dict, repr=False)
+    _maps: OrderedDict = field(default_factory=OrderedDict, repr=False)
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"_maps": {}}
+        return self.__dict__ | {"_maps": OrderedDict()}
 
     def _arrays(self, kind: str, shard: int) -> list[np.ndarray]:
-        if (kind, shard) not in self._maps:
-            names = ("pairs", "counts", "many_at", "many") if kind == "pairs" else ("words", "word_counts", "befores", "backoffs")
-            self._maps[kind, shard] = [_mapped(f"{self.folder}/{shard:05d}.{x}.npy") for x in names]
+        """Of the ``MAPPED`` files that were used last; others are unmapped as their arrays go."""
+        if (kind, shard) in self._maps:
+            self._maps.move_to_end((kind, shard))
+        else:
+            self._maps[kind, shard] = _mapped(f"{self.folder}/{kind}-{shard:07d}", PAIRS if kind == "pairs" else WORDS)
+            if len(self._maps) > MAPPED:
+                self._maps.popitem(last=False)
         return self._maps[kind, shard]
 
     def _found(self, kind: str, keys: np.ndarray) -> Iterator[tuple[slice, np.ndarray, np.ndarray, list[np.ndarray]]]:
         """For sorted keys, by shard: which keys, which of them are there, where, and the shard's arrays."""
-        edges = np.searchsorted(shard_of(keys, self.shards), np.arange(self.shards + 1)) if self.shards else [0]
-        for shard in np.flatnonzero(np.diff(edges)).tolist():
-            if (kind, shard) not in self.have:
-                continue
-            part = slice(int(edges[shard]), int(edges[shard + 1]))
-            arrays = self._arrays(kind, shard)
-            at = np.minimum(np.searchsorted(arrays[0], keys[part]), len(arrays[0]) - 1)
-            yield part, arrays[0][at] == keys[part], at, arrays
+        shards = self.shards if kind == "pairs" else self.word_shards
+        of = shard_of(keys, max(shards, 1))
+        edges = [0, *(np.flatnonzero(np.diff(of)) + 1).tolist(), len(of)]
+        for a, b in zip(edges, edges[1:]) if shards and len(keys) else ():
+            arrays = self._arrays(kind, int(of[a]))
+            if len(arrays[0]):
+                part = slice(a, b)
+                at = np.minimum(np.searchsorted(arrays[0], keys[part]), len(arrays[0]) - 1)
+                yield part, arrays[0][at] == keys[part], at, arrays
 
     def pair_counts(self, keys: np.ndarray) -> np.ndarray:
         out = np.zeros(len(keys), dtype=np.int64)
-        for part, has, at, (_, counts, many_at, many) in self._found("pairs", keys):
+        for part, has, at, (_, many_at, many, counts) in self._found("pairs", keys):
             n = counts[at].astype(np.int64)
             big = np.flatnonzero(has & (n == 255))
             if len(big):
@@ -221,6 +244,8 @@ def train(docs: DataFrame) -> Model:
     texts = docs.select(F.col("text").cast("string").alias("text"))
     size = texts.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     shards = max(1, -(-size // SHARD_BYTES))
+    groups = -(-shards // FAN)
+    shards = groups * -(-shards // groups)  # each group has as many
     folder = new_folder(spark, "ngrams")
 
     def count(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -230,24 +255,37 @@ def train(docs: DataFrame) -> Model:
                 us.append(u), vs.append(v)
                 held += len(u)
                 if held >= CHUNK:
-                    yield from dealt(us, vs)
+                    yield from dealt(us, vs, groups if groups > 1 else shards)
                     held = 0
         if held:
-            yield from dealt(us, vs)
+            yield from dealt(us, vs, groups if groups > 1 else shards)
 
-    def dealt(us: list, vs: list) -> Iterator[pd.DataFrame]:
-        """Distinct pairs of what the lists hold, by shard; the lists are emptied."""
-        u, v, n = _counted(us, vs)
-        edges = np.searchsorted(shard_of(pair_hash(u, v), shards), np.arange(shards + 1))
-        for s in np.flatnonzero(np.diff(edges)).tolist():
-            part = slice(edges[s], edges[s + 1])
-            yield pd.DataFrame({"shard": [s], "raw": [_pack(u[part], v[part], n[part])]})
+    def dealt(us: list, vs: list, number: int, ns: list | None = None) -> Iterator[pd.DataFrame]:
+        """Distinct pairs of what the lists hold, by shard (or group of shards); the lists are emptied."""
+        for s, raw in _blocks(*_counted(us, vs, ns), number):
+            yield pd.DataFrame({"shard": [s], "raw": [raw]})
+
+    def deal_again(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """A group's pairs, a chunk at a time, to its shards."""
+        us, vs, ns, held = [], [], [], 0
+        for pdf in parts:
+            for raw in pdf["raw"]:
+                for of, x in zip((us, vs, ns), _unpack(raw)):
+                    of.append(x)
+                held += len(us[-1])
+                if held >= CHUNK:
+                    yield from dealt(us, vs, shards, ns)
+                    held = 0
+        if held:
+            yield from dealt(us, vs, shards, ns)
 
     def merge_pairs(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list = []  # the merged part first; a partition is one shard
         pending, shard = 0, None
         for pdf in parts:
             for shard, raw in zip(pdf["shard"].tolist(), pdf["raw"]):
+                if raw is None:
+                    continue
                 held.append(_unpack(raw))
                 pending += len(held[-1][0])
                 if pending > max(1 << 20, len(held[0][0])):
@@ -262,61 +300,70 @@ def train(docs: DataFrame) -> Model:
         return _counted(us, vs, ns)
 
     def store_pairs(shard: int, held: list) -> Iterator[pd.DataFrame]:
-        u, v, n = _merged(held)
-        name = f"{folder}/{shard:05d}"
+        none = np.zeros(0, dtype=np.uint64)
+        u, v, n = _merged(held) if held else (none, none, none.astype(np.int64))
         many = np.flatnonzero(n >= 255)
-        for kind, array in (("pairs", pair_hash(u, v)), ("counts", np.minimum(n, 255).astype(np.uint8)), ("many_at", many), ("many", n[many])):
-            _save(f"{name}.{kind}.npy", array)
-        one = np.ones_like(n)
-        of_v = _sum_by(v, one, n)
-        of_u = _sum_by(u, (n == 1).astype(np.int64), (n == 2).astype(np.int64), (n >= 3).astype(np.int64), np.where(u == START, n, 0))
-        times = [int((n == k).sum()) for k in (1, 2, 3, 4)]
-        rows = [{"shard": -1, "side": shard, "raw": b"", "n1": times[0], "n2": times[1], "n3": times[2], "n4": times[3], "tokens": int(n.sum())}]
-        for side, (keys, *values) in enumerate((of_v, of_u)):
-            edges = np.searchsorted(shard_of(keys, shards), np.arange(shards + 1))
-            for s in np.flatnonzero(np.diff(edges)).tolist():
-                part = slice(edges[s], edges[s + 1])
-                raw = np.array([edges[s + 1] - edges[s]], "<u8").tobytes() + keys[part].tobytes() + zlib.compress(b"".join(x[part].astype("<u8").tobytes() for x in values), 1)
-                rows.append({"shard": s, "side": side, "raw": raw, "n1": 0, "n2": 0, "n3": 0, "n4": 0, "tokens": 0})
-        yield pd.DataFrame(rows)
-
-    by_word = "shard int, side int, raw binary, n1 long, n2 long, n3 long, n4 long, tokens long"
-    pairs = texts.mapInPandas(lean(count), "shard int, raw binary").repartitionById(shards, F.col("shard")).mapInPandas(lean(merge_pairs), by_word)
-    sums, _ = materialize(pairs, "word-sums")
-    total = sums.agg(*(F.sum(c).alias(c) for c in ("n1", "n2", "n3", "n4", "tokens"))).first()
-    if not total.tokens:
+        _save(f"{folder}/pairs-{shard:07d}", [pair_hash(u, v), many.astype("<i8"), n[many].astype("<i8"), np.minimum(n, 255).astype(np.uint8)])
+        words, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+        first, second, k = at[: len(u)], at[len(u) :], len(words)
+        total = lambda of, x: np.bincount(of, weights=x, minlength=k).astype(np.int64)  # noqa: E731  exact below 2**53
+        sums = {"before": np.bincount(second, minlength=k), "count": total(second, n), "m1": total(first, n == 1), "m2": total(first, n == 2), "m3": total(first, n >= 3), "starts": total(first, np.where(u == START, n, 0))}
+        times = [int((n == x).sum()) for x in (1, 2, 3, 4)]
+        yield pd.DataFrame({"word": [0], "before": [times[0]], "count": [times[1]], "m1": [times[2]], "m2": [times[3]], "m3": [int(n.sum())], "starts": [0], "total": [True]})
+        for a in range(0, k, 100_000):
+            yield pd.DataFrame({"word": words[a : a + 100_000].view(np.int64)} | {c: x[a : a + 100_000] for c, x in sums.items()} | {"total": False})
+
+    block, by_word = "shard int, raw binary", "word long, before long, count long, m1 long, m2 long, m3 long, starts long, total boolean"
+    pairs = texts.mapInPandas(lean(count), block)
+    if groups > 1:
+        pairs = pairs.repartitionById(groups, F.col("shard")).mapInPandas(lean(deal_again), block)
+    anchors = spark.range(shards).select(F.col("id").cast("int").alias("shard"), F.lit(None).cast("binary").alias("raw"))  # no shard without a file
+    sums, _ = materialize(pairs.union(anchors).repartitionById(shards, F.col("shard")).mapInPandas(lean(merge_pairs), by_word), "word-sums")
+    n1, n2, n3, n4, tokens = sums.where("total").agg(*(F.sum(c) for c in ("before", "count", "m1", "m2", "m3"))).first()
+    if not tokens:
         return Model(folder, 0)
-    discounts = _discounts([total.n1, total.n2, total.n3, total.n4])
+    discounts = _discounts([n1, n2, n3, n4])
+    word_shards = max(1, -(-sums.count() // WORD_ROWS))
 
     def store_words(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        by: dict[int, tuple[list, list]] = {}
+        """Sums of a range of words, held merged; a partition is one shard."""
+        held, pending, shard = [], 0, None
         for pdf in parts:
-            for s, side, raw in zip(pdf["shard"].tolist(), pdf["side"].tolist(), pdf["raw"]):
-                n = int(np.frombuffer(raw, "<u8", 1)[0])
-                keys = np.frombuffer(raw, "<u8", n, 8)
-                values = np.frombuffer(zlib.decompress(raw[8 + 8 * n :]), "<u8").astype(np.int64).reshape(-1, n)
-                by.setdefault(s, ([], []))[side].append((keys, *values))
-        for s, (vs, us) in by.items():
-            sides = [_sum_by(*(np.concatenate(x) for x in zip(*side))) if side else None for side in (vs, us)]
-            words = np.unique(np.concatenate([x[0] for x in sides if x]))
-            wide = np.zeros((6, len(words)), dtype=np.int64)  # before, count; followers seen once, twice, more; starts
-            for rows, side in ((slice(0, 2), sides[0]), (slice(2, 6), sides[1])):
-                if side:
-                    wide[rows, np.searchsorted(words, side[0])] = side[1:]
-            count = wide[1] + wide[5]
-            backoff = np.minimum((np.array(discounts) @ wide[2:5]) / np.maximum(count, 1), 1.0)
-            fit = np.uint32 if count.max(initial=0) < 1 << 32 else np.uint64
-            for kind, array in (("words", words), ("word_counts", count.astype(fit)), ("befores", wide[0].astype(fit)), ("backoffs", np.where(wide[2:5].any(0), backoff, 1.0).astype(np.float32))):
-                _save(f"{folder}/{s:05d}.{kind}.npy", array)
-            yield pd.DataFrame({"shard": [s], "distinct": [int((wide[1] > 0).sum())], "pairs": [int(wide[0].sum())]} | {f"m{k}": [int((wide[0] == k).sum())] for k in (1, 2, 3, 4)})
-
-    words = sums.where("shard >= 0").select("shard", "side", "raw").repartitionById(shards, F.col("shard")).mapInPandas(lean(store_words), "shard int, distinct long, pairs long, m1 long, m2 long, m3 long, m4 long")
+            shard = int(pdf["shard"].iloc[0])
+            own = pdf[~pdf["total"]]
+            if len(own):
+                held.append(np.stack([own[c].to_numpy(dtype=np.int64) for c in ("word", "before", "count", "m1", "m2", "m3", "starts")]))
+                pending += len(own)
+                if pending > max(1 << 18, held[0].shape[1]):
+                    held, pending = [summed(held)], 0
+        if shard is None:
+            return
+        words, before, count, m1, m2, m3, starts = summed(held) if held else np.zeros((7, 0), dtype=np.int64)
+        total = count + starts
+        followed = m1 + m2 + m3 > 0
+        backoff = np.where(followed, np.minimum((discounts[0] * m1 + discounts[1] * m2 + discounts[2] * m3) / np.maximum(total, 1), 1.0), 1.0)
+        _save(f"{folder}/words-{shard:07d}", [words.view(np.uint64), total.astype("<u8"), before.astype("<u8"), backoff.astype("<f4")])
+        yield pd.DataFrame({"distinct": [int((count > 0).sum())], "pairs": [int(before.sum())]} | {f"m{k}": [int((before == k).sum())] for k in (1, 2, 3, 4)})
+
+    def summed(held: list[np.ndarray]) -> np.ndarray:
+        """One column for each word, in the order of the unsigned hashes."""
+        every = np.concatenate(held, axis=1)
+        order = np.argsort(every[0].view(np.uint64), kind="stable")
+        every = every[:, order]
+        first = np.flatnonzero(np.concatenate([[True], every[0, 1:] != every[0, :-1]]))
+        out = np.add.reduceat(every, first, axis=1)
+        out[0] = every[0, first]
+        return out
+
+    # the range of the unsigned hash, as shard_of has it
+    word_shard = F.shiftright(F.shiftrightunsigned("word", 32) * word_shards, 32).cast("int").alias("shard")
+    dealt_words = sums.where("not total").select(word_shard, "*").union(spark.range(word_shards).select(F.col("id").cast("int"), *(F.lit(0).cast("long") for _ in range(7)), F.lit(True)))
+    words = dealt_words.repartitionById(word_shards, F.col("shard")).mapInPandas(lean(store_words), "distinct long, pairs long, m1 long, m2 long, m3 long, m4 long")
     done, _ = materialize(words, "word-totals")
     m = done.agg(*(F.sum(c).alias(c) for c in ("distinct", "pairs", "m1", "m2", "m3", "m4"))).first()
-    have = frozenset(("words", r.shard) for r in done.select("shard").collect()) | frozenset(("pairs", r.side) for r in sums.where("shard = -1").select("side").collect())  # two rows for each shard
     low = _discounts([m.m1, m.m2, m.m3, m.m4])
     left = (low[0] * m.m1 + low[1] * m.m2 + low[2] * (m.distinct - m.m1 - m.m2)) / m.pairs
-    return Model(folder, shards, have, total.tokens, m.distinct, m.pairs, discounts, low, left)
+    return Model(folder, shards, word_shards, tokens, m.distinct, m.pairs, discounts, low, left)
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
