@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as spark_f
 
 from tidemark.llm import bpe, edit_embedding, language, line_dedup, quality
 
@@ -61,13 +62,92 @@ def test_against_edits_brute(spark):
     assert edit_embedding.against_edits(table(spark, rows[:1])).count() == 1
 
 
+def walked(text, w, walker):
+    """One walk of a text, character by character, from the definition."""
+    classes = [((ord(c) * 2654435761 % (1 << 32)) >> 16) % 255 + 1 for c in text] + [0]
+    place = step = 0
+    met = {}
+    wanted = set(np.concatenate(walker.records[w]).tolist())
+    check, ended = 1, 0
+    while True:
+        if step == check:
+            if classes[place] == 0:
+                ended = step
+                break
+            check = step + 1 + step // 32
+        if step in wanted:
+            met[step] = classes[place]
+        place += int(walker.moves[w][step % edit_embedding.PERIOD][classes[place]])
+        step += 1
+    out = []
+    for k, records in enumerate(walker.records[w]):
+        last = max(r for r in records.tolist() if r < max(ended, 1))
+        out.append(int(walker.letters[w][k][met[last]]))
+    return out
+
+
+def test_fingerprints_are_walks(spark):
+    walker = edit_embedding.walker()
+    rng = random.Random(9)
+    texts = ["", "a", "é" * 40, "ab" * 300, prose(4, 120), "".join(chr(rng.randrange(32, 0x3000)) for _ in range(700)), *(prose(i, 3 + i) for i in range(30))]
+    got = walker.fingerprints(texts)  # side by side, then alone
+    for t, bits in zip(texts, got):
+        want = [b for w in range(edit_embedding.WALKS) for b in walked(t, w, walker)]
+        assert np.unpackbits(bits).tolist() == want, t[:20]
+
+
+def test_hot_id_is_cut_inside(spark):
+    """A third of all rows have one id; their next documents follow the order of hashes."""
+    rows = [(7, prose(i, 5), "en", "a") for i in range(200)] + [(100 + i, prose(1000 + i, 4), "en", "a") for i in range(400)]
+    dealt = edit_embedding.with_next(table(spark, rows), 12).where("halo = 0")
+    assert dealt.groupBy("range").count().agg({"count": "max"}).first()[0] <= 120
+    got = {r.edited_sha256 for r in edit_embedding.against_edits(table(spark, rows)).collect()}
+    from xxhash import xxh64_intdigest
+
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    order = sorted(rows, key=lambda r: (r[0], signed(xxh64_intdigest(r[1].encode(), seed=42))))
+    want = set()
+    for a, b in zip(order, [*order[1:], order[0]]):
+        q = len(a[1]) // 4
+        want.add(hashlib.sha256((a[1][: len(a[1]) - q] + b[1][:q]).encode()).hexdigest())
+    assert got == want
+
+
+def test_very_long_text(spark):
+    long = "lorem ipsum dolor " * 70_000
+    (row,) = (r for r in edit_embedding.against_edits(table(spark, [(1, long, "en", "a"), (2, "x", "en", "a")])).collect() if r.doc_id == 1)
+    assert row.n_chars == len(long) and len(row.fingerprint) == 128 and 0 <= row.near_edited <= 1
+
+
 def test_near_copies(spark):
     texts = [prose(i, 200) for i in range(12)]
-    rows = [(i, t, "en", "a") for i, t in enumerate(texts)] + [(100, texts[0], "en", "a"), (101, texts[1][:-9] + "changed.", "en", "a"), (102, None, "en", "a")]
-    links, members = edit_embedding.near_copies(table(spark, rows))
-    fp = {r.doc_id: r.fingerprint for r in members.collect()}
-    assert fp[0] == fp[100] and len(set(fp.values())) == 14
-    assert {frozenset((r.fingerprint, r.fingerprint_2)) for r in links.collect()} == {frozenset((fp[1], fp[101]))}
+    rows = [(i, t, "en", "a") for i, t in enumerate(texts)] + [(100, texts[0], "en", "a"), (101, texts[1][:-9] + "changed.", "en", "a"), (102, None, "en", "a"), (103, "", "en", "a"), (None, texts[2], "en", "a"), (None, "alone", "en", "a"), (4, texts[4], "en", "a")]
+    got = edit_embedding.with_near_copies(edit_embedding.against_edits(table(spark, rows))).collect()
+    assert len(got) == len(rows)
+    near = {}
+    for r in got:
+        near.setdefault(r.doc_id, set()).add(r.near_id)
+    assert near.pop(None) == {2, None}
+    assert near == {**{i: {i} for i in range(12)}, 100: {0}, 101: {1}, 102: {102}, 103: {102}}
+    assert edit_embedding.near_copies(edit_embedding.fingerprints(table(spark, rows).limit(0))).count() == 0
+
+
+def test_near_copies_find_nearly_all_pairs(spark):
+    """Classes against all pairs of fingerprints that are just like enough or more."""
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 256, (150, 64), dtype=np.uint8)
+    flip = lambda x, n: x ^ np.packbits(np.isin(np.arange(512), rng.choice(512, n, replace=False)))
+    near = [flip(b, int(n)) for b, n in zip(base, rng.integers(30, 52, 150))]
+    family = [flip(base[0], 20) for _ in range(60)]  # one large group, linked pair by pair
+    every = np.array([*base, *near, *family])
+    table = spark.createDataFrame([(i, x.tobytes().hex()) for i, x in enumerate(every)] + [(900, None)], "doc_id long, fingerprint string")
+    got = table.join(edit_embedding.near_copies(table), spark_f.xxhash64("fingerprint") == spark_f.col("f")).collect()
+    of = {r.doc_id: r.near_id for r in got}
+    like = edit_embedding.likeness
+    pairs = [(i, j) for i in range(len(every)) for j in range(i) if like(every[i][None], every[j][None])[0] >= 0.8]
+    assert len(of) == len(every) and sum(of[i] == of[j] for i, j in pairs) >= 0.9 * len(pairs) and len(pairs) > 150
+    linked = set(pairs)
+    assert all(of[i] == i or any((i, j) in linked or (j, i) in linked for j in range(len(every))) for i in of)  # nothing else is joined
 
 
 # --- op 2 -----------------------------------------------------------------------------------------------------------

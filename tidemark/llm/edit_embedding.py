@@ -13,28 +13,38 @@ walks share the bits. Likeness is the share of agreeing bits beyond the half tha
 
 Walks run side by side for a batch of texts, one vector operation a step; once only a few long texts are
 left, each is walked alone.
+
+Near copies come by banding: each band is a fixed sample of bits, two fingerprints that agree in one are verified
+over all bits. A band has two bits more than the count of fingerprints needs to keep chance meetings rare at any
+size, and there are as many bands as give a pair that is just like enough the chance ``FOUND``. Fingerprints are
+classes, so copies are one row; each band's key links its fingerprints to the first of them, and of the other pairs
+only those across the groups found so far are compared.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
+from tidemark.llm.components import components
 from tidemark.llm.memory import lean
+from tidemark.session import materialize
 
 BITS, WALKS, SEED = 512, 2, 20240229
 #: Characters that are walked side by side, and texts below which each is walked alone.
 BATCH_CHARS, ALONE = 8 << 20, 24
 #: Steps after which the shared random bits repeat.
 PERIOD = 4096
-#: Bands of the candidate search, bits of each, and least likeness of near copies.
-BANDS, BAND_BITS, LIKENESS = 32, 14, 0.8
+#: Least likeness of near copies, and the chance to find a pair of just that likeness.
+LIKENESS, FOUND = 0.8, 0.95
 
 
 class Walker:
@@ -171,54 +181,111 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(lean(run), "doc_id long, n_chars long, fingerprint string")
 
 
-def near_copies(docs: DataFrame, least: float = LIKENESS) -> tuple[DataFrame, DataFrame]:
-    """Links between fingerprints that are at least ``least`` alike, and the documents of each fingerprint.
+def bands(count: int, least: float = LIKENESS, found: float = FOUND) -> np.ndarray:
+    """For ``count`` fingerprints a row of ``BITS`` bits for each band, as 64-bit words."""
+    size = min(BITS, max(12, math.ceil(math.log2(max(count, 1))) + 2))
+    agree = (1 - (1 - least) / 2) ** size
+    number = max(1, math.ceil(math.log(1 - found) / math.log1p(-agree))) if agree < 1 else 1
+    rng = np.random.default_rng(SEED + 1)
+    masks = np.zeros((number, BITS // 64), dtype=np.uint64)
+    for band in masks:
+        for bit in rng.choice(BITS, size, replace=False).tolist():
+            band[bit // 64] |= np.uint64(1 << (bit % 64))
+    return masks.view(np.int64)
+
+
+def near_copies(members: DataFrame, least: float = LIKENESS) -> DataFrame:
+    """``members(doc_id, fingerprint)`` to ``(f, near_id)``: each fingerprint's hash and the smallest doc_id reachable over links.
 
-    Fingerprints are classes: documents with equal ones are not compared. Each band is a fixed sample of bits;
-    two fingerprints that agree in a band are verified over all bits inside the join, so it emits true links
-    only. Returns ``(fingerprint, fingerprint_2, likeness)`` and ``(doc_id, n_chars, fingerprint)``.
+    Fingerprints that are at least ``least`` alike are linked if they agree in a band (a pair that is just so alike
+    does with a probability of ``FOUND``). Equal fingerprints are one class, so repeated rows and ties need no order.
+    A class whose ids are all null has a null near_id unless it is linked to others; a null fingerprint is left out;
+    an empty table gives no rows. Other columns are not read.
     """
-    members = fingerprints(docs)
-    classes = members.select("fingerprint").distinct()
-    rng = np.random.default_rng(SEED + 1)
     words = BITS // 64
-    masks = np.zeros((BANDS, words), dtype=np.int64)
-    for band in range(BANDS):
-        for bit in rng.choice(BITS, BAND_BITS, replace=False).tolist():
-            masks[band, bit // 64] |= np.int64(np.uint64(1 << (bit % 64)).view(np.int64))
-    longs = [F.conv(F.substring("fingerprint", 16 * i + 1, 16), 16, -10).cast("long").alias(f"w{i}") for i in range(words)]
-    wide = classes.select("fingerprint", *longs)
-    keys = F.array(*(F.struct(F.lit(b).alias("band"), F.xxhash64(F.lit(b), *(F.col(f"w{i}").bitwiseAND(F.lit(int(masks[b, i]))) for i in range(words))).alias("key")) for b in range(BANDS)))
-    one = wide.select("*", F.inline(keys))
-    two = one.select(*(F.col(c).alias(f"{c}_2") for c in one.columns))
-    differ = sum((F.bit_count(F.col(f"w{i}").bitwiseXOR(F.col(f"w{i}_2"))) for i in range(words)), F.lit(0))
-    alike = 1.0 - 2.0 * differ / BITS
-    meet = (F.col("band") == F.col("band_2")) & (F.col("key") == F.col("key_2")) & (F.col("fingerprint") < F.col("fingerprint_2"))
-    links = one.join(two, meet & (alike >= least)).select("fingerprint", "fingerprint_2", alike.alias("likeness")).distinct()
-    return links, members
+    wide = [f"w{i}" for i in range(words)]
+    longs = [F.conv(F.substring("fingerprint", 16 * i + 1, 16), 16, -10).cast("long").alias(w) for i, w in enumerate(wide)]
+    classes = members.where("fingerprint is not null").groupBy("fingerprint").agg(F.min("doc_id").alias("first"))
+    classes, _ = materialize(classes.select(F.xxhash64("fingerprint").alias("f"), "first", *longs), "fingerprint-classes")
+    masks = bands(classes.count(), least)
+
+    own = F.array(*(F.xxhash64(F.lit(b), *(F.col(w).bitwiseAND(F.lit(int(mask[i]))) for i, w in enumerate(wide) if mask[i])) for b, mask in enumerate(masks)))
+    keys = classes.select("f", F.explode(own).alias("key"))
+    pivots, _ = materialize(keys.groupBy("key").agg(F.min("f").alias("pivot"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "band-pivots")
+    met, _ = materialize(keys.join(pivots, "key"), "bands")
+
+    other = classes.select(*(F.col(c).alias(f"{c}_2") for c in ("f", *wide)))
+    alike = sum((F.bit_count(F.col(w).bitwiseXOR(F.col(f"{w}_2"))) for w in wide), F.lit(0)) <= int((1 - least) / 2 * BITS + 1e-9)
+    pairs = met.where("f <> pivot").select("f", F.col("pivot").alias("f_2")).distinct()
+    links, _ = materialize(pairs.join(classes.drop("first"), "f").join(other, "f_2").where(alike).select(F.col("f").alias("a"), F.col("f_2").alias("b")), "near-links")
+
+    named, _ = materialize(components(links), "near-components")
+    now, _ = materialize(met.drop("pivot").join(named, met["f"] == named["vertex"], "left").select("key", "f", F.coalesce("component", "f").alias("label")), "labelled-bands")
+    main = now.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count(F.lit(1)).alias("labels"))
+    main, _ = materialize(main.where("labels > 1").drop("labels"), "band-groups")
+    now, _ = materialize(now.join(main, "key").join(classes.drop("first"), "f"), "open-bands")
+    second = now.drop("main").select("key", *(F.col(c).alias(f"{c}_2") for c in ("f", "label", *wide)))
+    across = (F.col("label") != F.col("label_2")) & ((F.col("label_2") == F.col("main")) | (F.col("f") < F.col("f_2")))
+    more = now.where("label <> main").join(second, "key").where(across & alike).select(F.col("f").alias("a"), F.col("f_2").alias("b"))
+    more, _ = materialize(more.distinct(), "near-links")
+
+    named, _ = materialize(components(links.union(more)), "near-components")
+    linked = classes.select("f", "first").join(named, classes["f"] == named["vertex"]).select("f", "first", "component")
+    smallest, _ = materialize(linked.groupBy("component").agg(F.min("first").alias("least")), "near-least")
+    moved, _ = materialize(linked.join(smallest, "component").select("f", "least"), "near-named")
+    return classes.select("f", "first").join(moved, "f", "left").select("f", F.coalesce("least", "first").alias("near_id"))
+
+
+def _packed(texts: pd.Series) -> pd.Series:
+    return pd.Series([zstandard.compress(t.encode("utf-8", "surrogatepass"), 1) for t in texts], dtype=object)
+
+
+def _unpacked(raw: bytes) -> str:
+    return zstandard.decompress(raw).decode("utf-8", "surrogatepass")
 
 
 def with_next(docs: DataFrame, number: int) -> DataFrame:
-    """Rows dealt by ranges of doc_id, each range sorted and closed by the row that follows it (``halo`` = 1).
+    """Rows dealt by ranges of doc_id, each range sorted and closed by the row that follows it (``halo`` = 1); texts are packed.
 
-    The row after the last one is the first one. Null ids come before all others, equal ids are ordered by
-    text. Texts are shuffled once; what is broadcast or collected has at most ``number`` rows.
+    The row after the last one is the first one. Null ids come before all others; rows of one id are ordered by
+    a hash of their texts, and an id with more than a range's share of rows is cut by that hash. Texts are shuffled
+    once; what is broadcast or collected has a few rows for each of ``number`` ranges.
     """
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).cast("string").alias("text")).withColumn("k", F.coalesce("doc_id", F.lit(-(1 << 63)).cast("long")))
+    least = -(1 << 63)
+    id_ = F.col("doc_id").cast("long")
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    ids = docs.select(F.coalesce(id_, F.lit(least).cast("long")).alias("k"))
     shares = [i / number for i in range(1, number)]
-    cuts = np.array(sorted(set((keyed.agg(F.percentile_approx("k", shares, 20 * number)).first()[0] if shares else None) or [])), dtype=np.int64)
+    cuts = sorted(set((ids.agg(F.percentile_approx("k", shares, 20 * number)).first()[0] if shares else None) or []))
+    cuts = [(k, least) for k in cuts]  # ranges begin with (k, hash)
+    keyed = docs.select(id_.alias("doc_id"), text.alias("text"), F.coalesce(id_, F.lit(least).cast("long")).alias("k"), F.xxhash64(text).alias("h"))
+    if shares:
+        total = ids.count()
+        for r in ids.groupBy("k").count().where(F.col("count") * number > 2 * total).collect():  # fewer than ``number`` ids
+            parts = -(-r["count"] * number // total)
+            inside = keyed.where(F.col("k") == r.k).agg(F.percentile_approx("h", [i / parts for i in range(1, parts)], 20 * parts)).first()[0]
+            cuts += [(r.k, h) for h in inside]
+    cuts = sorted(set(cuts))
+    ck, ch = (np.array([c[i] for c in cuts], dtype=np.int64) for i in range(2))
 
     @pandas_udf("int")
-    def range_of(k: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(cuts, k.to_numpy(), side="right").astype(np.int32))
-
-    firsts = sorted((r.r, r.first) for r in keyed.select("k").groupBy(range_of("k").alias("r")).agg(F.min("k").alias("first")).collect())
+    def range_of(k: pd.Series, h: pd.Series) -> pd.Series:
+        k, h = k.to_numpy(), h.to_numpy()
+        out = np.searchsorted(ck, k, side="right")  # past all cuts of the same id
+        for same in np.unique(ck[1:][ck[1:] == ck[:-1]]):  # ids that are cut inside
+            at, a, b = k == same, np.searchsorted(ck, same), np.searchsorted(ck, same, side="right")
+            out[at] = a + np.searchsorted(ch[a:b], h[at], side="right")
+        return pd.Series(out.astype(np.int32))
+
+    pack = pandas_udf(_packed, "binary")
+    firsts = sorted((r.r, r["first"]) for r in keyed.select("k", "h").groupBy(range_of("k", "h").alias("r")).agg(F.min(F.struct("k", "h")).alias("first")).collect())
     before = [firsts[i - 1][0] for i in range(len(firsts))]
-    edges = docs.sparkSession.createDataFrame([(r, first, b) for (r, first), b in zip(firsts, before)], "edge int, first long, before int")
-    ranged = keyed.withColumn("r", range_of("k")).join(F.broadcast(edges), F.col("r") == F.col("edge"), "left")
+    edges = docs.sparkSession.createDataFrame([(r, first["k"], first["h"], b) for (r, first), b in zip(firsts, before)], "edge int, first_k long, first_h long, before int")
+    ranged = keyed.select("doc_id", "k", "h", range_of("k", "h").alias("r"), pack("text").alias("packed")).join(F.broadcast(edges), F.col("r") == F.col("edge"), "left")
     own = F.struct(F.col("r").alias("range"), F.lit(0).alias("halo"))
-    both = F.when(F.col("k") == F.col("first"), F.array(own, F.struct(F.col("before").alias("range"), F.lit(1).alias("halo")))).otherwise(F.array(own))
-    return ranged.select("doc_id", "text", "k", F.inline(both)).repartitionById(len(cuts) + 1, F.col("range")).sortWithinPartitions("range", "halo", "k", "text")
+    both = F.when((F.col("k") == F.col("first_k")) & (F.col("h") == F.col("first_h")), F.array(own, F.struct(F.col("before").alias("range"), F.lit(1).alias("halo")))).otherwise(F.array(own))
+    dealt = ranged.select("doc_id", "packed", "k", "h", F.inline(both))
+    return dealt.repartitionById(len(cuts) + 1, F.col("range")).sortWithinPartitions("range", "halo", "k", "h", "packed")
 
 
 RESULT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
@@ -232,7 +299,7 @@ def against_edits(docs: DataFrame) -> DataFrame:
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: tuple | None = None
         for pdf in parts:
-            new = list(zip(pdf["doc_id"].astype("Int64"), pdf["text"], pdf["halo"]))
+            new = list(zip(pdf["doc_id"].astype("Int64"), map(_unpacked, pdf["packed"]), pdf["halo"]))
             row = [held, *new] if held is not None else new
             texts = [x[1] for x in row]
             for a, b in _chunks(texts[:-1], BATCH_CHARS // 2):
@@ -257,9 +324,16 @@ def against_edits(docs: DataFrame) -> DataFrame:
             }
         )
 
-    return rows.select("doc_id", "text", "halo").mapInPandas(lean(run), RESULT)
+    return rows.select("doc_id", "packed", "halo").mapInPandas(lean(run), RESULT)
+
+
+def with_near_copies(rows: DataFrame) -> DataFrame:
+    """Rows with a fingerprint, and near_id of their class; see :func:`near_copies`."""
+    rows, _ = materialize(rows, "fingerprints")
+    named, _ = materialize(near_copies(rows).select("f", "near_id"), "near-ids")
+    return rows.join(named, F.xxhash64(rows["fingerprint"]) == named["f"]).select(*rows.columns, "near_id")
 
 
 def op1_fingerprints(spark, sf_dir: str) -> DataFrame:
-    """Whole table ``documents``; see :func:`against_edits`."""
-    return against_edits(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    """Whole table ``documents``; see :func:`against_edits`; near_id is the smallest doc_id among near copies, see :func:`near_copies`."""
+    return with_near_copies(against_edits(spark.read.parquet(f"{sf_dir}/documents.parquet")))
