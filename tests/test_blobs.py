@@ -80,3 +80,28 @@ def test_source_and_distributed_writer(spark, tmp_path):
     damaged = bytearray(tar.header("a", 1))
     damaged[0] ^= 1
     assert tar.parse(bytes(damaged)) is None and tar.parse(bytes(512)) is None
+
+
+def test_rebuild_is_one_commit_and_nothing_stays_pinned(blobs, monkeypatch):
+    before = blobs.store.version
+    assert blobs.rebuild_index() == 20 and blobs.store.version == before + 1
+
+    def fails(*args, **more):
+        raise RuntimeError
+
+    monkeypatch.setattr(type(blobs.store), "publish", fails)
+    with pytest.raises(RuntimeError):
+        blobs.rebuild_index(lambda names: names.str[:1].str.encode("utf-8"))
+    monkeypatch.undo()
+    assert blobs.index().count() == 20  # a failure leaves the old index
+    blobs.get(b"00000003.bin"), blobs.find_many([b"x"]), blobs.verify().count(), blobs.for_each_key(lambda k: True)
+    assert blobs.store.pins() == {}
+
+
+def test_large_archives_are_split_at_headers(spark, blobs):
+    inner = tar.header("inside.bin", 3) + b"abc".ljust(512, b"\0")  # a payload that looks like a member
+    blobs.put(b"tar", "nested.tar", inner)
+    whole = tar.members(spark, blobs.archive)
+    split = tar.members(spark, blobs.archive, split=2000)
+    assert split.rdd.getNumPartitions() > 5 and whole.rdd.getNumPartitions() == 1
+    assert sorted(map(repr, split.collect())) == sorted(map(repr, whole.collect())) and split.where("name = 'inside.bin'").count() == 0

@@ -81,3 +81,47 @@ def test_large_bodies_go_to_the_archive(spark, tmp_path):
     mq.send_many([b"small", b"x" * 500])
     got = mq.receive(2)
     assert [m.body for m in got] == [b"small", b"x" * 500] and blobs.index().count() == 1
+
+
+def test_tokens_are_not_given_twice_after_an_abort(mq):
+    mq.send_many([b"x"])
+    with pytest.raises(ZeroDivisionError), mq.store.write() as t:
+        lost = mq.receive(1, t)[0]
+        1 / 0
+    again = mq.receive(1)[0]
+    assert again.receipt.token > lost.receipt.token
+    assert mq.ack([lost.receipt]) == 0 and mq.counts()["leased"] == 1  # the dropped delivery settles nothing
+    assert mq.ack([again.receipt]) == 1
+
+
+def test_receipts_are_of_one_queue(mq):
+    other = MessageQueue(mq.store, "other")
+    mq.send_many([b"x"]), other.send_many([b"y"])
+    mine, foreign = mq.receive(1)[0].receipt, other.receive(1)[0].receipt
+    assert (mine.seq, mine.token) == (foreign.seq, foreign.token)
+    for call in (lambda: mq.ack([foreign]), lambda: mq.nack([foreign])):
+        with pytest.raises(StoreError, match="BadTransaction"):
+            call()
+    assert mq.counts()["leased"] == 1 and MessageQueue(mq.store, "jobs").ack([mine]) == 1
+
+
+def test_nothing_stays_pinned(mq):
+    mq.send_many([b"x", b"y"])
+    mq.peek(), mq.counts(), mq.dead_letters().count(), mq.wait(0.01), mq.sweep(), mq.purge()
+    assert mq.store.pins() == {}
+
+
+def test_writer_shares_commits(mq):
+    from tidemark.plans.mq import QueueWriter
+
+    w = QueueWriter(mq, most=16, linger=0.3, max_bytes=100)
+    before = mq.store.version
+    numbers = [w.submit(b"m%02d" % i) for i in range(16)]
+    assert sorted(n.result(60) for n in numbers) == list(range(1, 17)) and mq.store.version == before + 1
+    with pytest.raises(StoreError, match="Busy"):
+        w.submit(b"x" * 101)
+    last = w.submit(b"end")
+    w.close()
+    assert last.result(0) == 17
+    with pytest.raises(StoreError, match="BadTransaction"):
+        w.submit(b"late")

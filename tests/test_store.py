@@ -239,3 +239,34 @@ def test_open_options(spark, tmp_path, store):
         t.db("a"), t.db("b")
     assert inspect.stats(store)["version"] == store.version
     assert inspect.trees(store).count() == 1 and inspect.metas(store).count() >= 1
+
+
+def test_check_reads_the_order_inside_files(spark, tmp_path):
+    import pyarrow.parquet as pq
+
+    from tidemark.plans import inspect
+    from tidemark.plans.store import digest_of
+
+    with Store.open(spark, str(tmp_path / "s")) as s:
+        with s.write() as t:
+            t.put_many([(b"k%02d" % i, b"v") for i in range(20)])
+        groups = inspect.row_groups(s).collect()
+        assert sum(r.rows for r in groups) == 20 and all(r.bytes > 0 for r in groups)
+        (f,) = s.manifest.main.files
+        table = pq.read_table(f"{s.path}/{f.path}")
+        pq.write_table(table.take([1, 0, *range(2, 20)]), f"{s.path}/{f.path}")
+        f.digest = digest_of(f"{s.path}/{f.path}")
+        assert any("not above" in x for x in inspect.check(s))
+
+
+def test_reader_lag_is_told_at_commit(spark, tmp_path):
+    told = []
+    with Store.open(spark, str(tmp_path / "s"), on_reader_lag=lambda oldest, now: told.append((oldest, now))) as s:
+        with s.write() as t:
+            t.put(b"a", b"1")
+        assert not told
+        snap = s.snapshot()
+        with s.write() as t:
+            t.put(b"a", b"2")
+        assert told == [(snap.id, s.version)]
+        snap.close()

@@ -26,14 +26,15 @@ def conflicts(touched: DataFrame, log: DataFrame) -> DataFrame:
     """Transactions that must retry: ``touched(txn, snapshot, db, key)`` against ``log(commit_txn, db, key, unknown)``.
 
     A commit after the snapshot conflicts if it wrote the same key, if either side names a whole database (null
-    key: a scan, or a cleared one), or if what it wrote is unknown. Point and whole-database cases are separate
-    equi-joins; none is a join on inequality alone.
+    key: a scan, or a cleared one), or if what it wrote is unknown. Only the newest write of each key and of each
+    database decides, so both are aggregated before the join: a touched row meets one row at most.
     """
     newer = F.col("commit_txn") > F.col("snapshot")
     writes = log.where(~F.col("unknown"))
-    points = touched.where("key is not null").join(writes.where("key is not null"), ["db", "key"]).where(newer)
-    scans = touched.where("key is null").select("txn", "snapshot", "db").join(writes.select("commit_txn", "db"), "db").where(newer)
-    cleared = touched.where("key is not null").select("txn", "snapshot", "db").join(writes.where("key is null").select("commit_txn", "db"), "db").where(newer)
+    newest = F.max("commit_txn").alias("commit_txn")
+    points = touched.where("key is not null").join(writes.where("key is not null").groupBy("db", "key").agg(newest), ["db", "key"]).where(newer)
+    scans = touched.where("key is null").select("txn", "snapshot", "db").join(writes.groupBy("db").agg(newest), "db").where(newer)
+    cleared = touched.where("key is not null").select("txn", "snapshot", "db").join(writes.where("key is null").groupBy("db").agg(newest), "db").where(newer)
     last_unknown = log.where("unknown").agg(F.max("commit_txn").alias("commit_txn"))  # one row
     any_of = touched.select("txn", "snapshot").join(F.broadcast(last_unknown), newer)
     return points.select("txn").union(scans.select("txn")).union(cleared.select("txn")).union(any_of.select("txn")).distinct()

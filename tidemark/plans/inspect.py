@@ -4,27 +4,69 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pandas as pd
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators.shapes import runs
 from tidemark.plans import manifest as mf
 
 FILES = "tree string, position int, path string, lo string, hi string, entries long, bytes long, digest string"
 
 
-def file_digests(spark: SparkSession, root: str, paths: list[str]) -> DataFrame:
-    """``(path, digest)``: XXH3-64 of each file, streamed by the executors."""
+def _over_files(spark: SparkSession, paths: list[str]) -> DataFrame:
+    rows = spark.createDataFrame([(p,) for p in paths], "path string")
+    return rows.repartition(max(1, min(len(paths), spark.sparkContext.defaultParallelism)))
+
+
+def file_digests(spark: SparkSession, root: str, paths: list[str], sync: bool = False) -> DataFrame:
+    """``(path, digest)``: XXH3-64 of each file, streamed by the executors; with ``sync`` files are on disk afterwards."""
     from tidemark.plans.store import digest_of
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
-            yield pd.DataFrame({"path": pdf["path"], "digest": [digest_of(f"{root}/{p}") if os.path.exists(f"{root}/{p}") else None for p in pdf["path"]]})
+            yield pd.DataFrame({"path": pdf["path"], "digest": [digest_of(f"{root}/{p}", sync) if os.path.exists(f"{root}/{p}") else None for p in pdf["path"]]})
 
-    rows = spark.createDataFrame([(p,) for p in paths], "path string")
-    return rows.repartition(max(1, min(len(paths), spark.sparkContext.defaultParallelism))).mapInPandas(run, "path string, digest string")
+    return _over_files(spark, paths).mapInPandas(run, "path string, digest string")
+
+
+def key_order(spark: SparkSession, root: str, paths: list[str]) -> DataFrame:
+    """``(path, n, lo, hi, bad)``: rows and bounds of each file, and how many keys are not above the one before them."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for path in (p for pdf in parts for p in pdf["path"]):
+            n, bad, lo, hi, last = 0, 0, None, None, None
+            with pq.ParquetFile(f"{root}/{path}") as f:
+                for batch in f.iter_batches(columns=["okey"]):
+                    for key in batch.column(0).to_pylist():
+                        bad += last is not None and key <= last
+                        lo, hi, last = key if lo is None else min(lo, key), key if hi is None else max(hi, key), key
+                    n += batch.num_rows
+            yield pd.DataFrame({"path": [path], "n": [n], "lo": [lo], "hi": [hi], "bad": [int(bad)]})
+
+    return _over_files(spark, paths).mapInPandas(run, "path string, n long, lo binary, hi binary, bad long")
+
+
+def row_groups(store, m: mf.Manifest | None = None) -> DataFrame:
+    """What the footers of the files say: ``(tree, path, row_group, rows, bytes, compressed, lo, hi)``, bounds of okey as far as statistics have them."""
+    root, listed = store.path, files(store, m)
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in parts:
+            for tree, path in zip(pdf["tree"], pdf["path"]):
+                with pq.ParquetFile(f"{root}/{path}") as f:
+                    at, rows = f.schema_arrow.names.index("okey"), []
+                    for i in range(f.metadata.num_row_groups):
+                        group = f.metadata.row_group(i)
+                        columns = [group.column(c) for c in range(group.num_columns)]
+                        stats = columns[at].statistics
+                        lo, hi = (stats.min, stats.max) if stats is not None and stats.has_min_max else (None, None)
+                        rows.append((tree, path, i, group.num_rows, group.total_byte_size, sum(c.total_compressed_size for c in columns), lo, hi))
+                yield pd.DataFrame(rows, columns=["tree", "path", "row_group", "rows", "bytes", "compressed", "lo", "hi"])
+
+    return listed.select("tree", "path").mapInPandas(run, "tree string, path string, row_group int, rows long, bytes long, compressed long, lo binary, hi binary")
 
 
 def files(store, m: mf.Manifest | None = None) -> DataFrame:
@@ -74,9 +116,13 @@ def free_list(store) -> DataFrame:
 
 
 def file_map(store) -> DataFrame:
-    """Runs of files by tree, in the order of the manifest."""
-    rows = files(store).select(F.lit("store").alias("part"), F.monotonically_increasing_id().alias("at"), "tree")
-    return runs(rows, "part", "at", "tree").drop("part")
+    """Runs of files by tree, in the order of the manifest: ``(tree, first, last, n)``.
+
+    The manifest lists trees one after the other, so a tree's files are one run; only trees are numbered over all.
+    """
+    rows = [(name or "", t) for name, t in store.manifest.all_trees().items() if t.files]
+    ends = list(accumulate(len(t.files) for _, t in rows))
+    return store.spark.createDataFrame([(name, end - len(t.files), end - 1, len(t.files)) for (name, t), end in zip(rows, ends)], "tree string, first long, last long, n long")
 
 
 def preview(store, path: str, n: int = 10) -> DataFrame:
@@ -89,8 +135,6 @@ def check(store, digests: bool = True) -> list[str]:
     Keys ascend within files and are unique, files' ranges are disjoint and hold their rows, counts are right,
     every file is there unchanged and belongs to one tree.
     """
-    from tidemark.plans.store import ENTRY
-
     m, wrong = store.manifest, []
     owners: dict[str, str] = {}
     for name, t in m.all_trees().items():
@@ -111,15 +155,12 @@ def check(store, digests: bool = True) -> list[str]:
         if wrong:
             return wrong
     if there:
-        rows = store.spark.read.schema(ENTRY).parquet(*(f"{store.path}/{p}" for p in sorted(there)))
-        tail = F.concat_ws("/", F.slice(F.split(F.input_file_name(), "/"), -3, 3)).alias("path")
-        found = rows.select(tail, "okey").groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("okey").alias("keys"), F.min("okey").alias("lo"), F.max("okey").alias("hi"))
-        seen = {r.path: r for r in found.collect()}  # a row for each file
+        seen = {r.path: r for r in key_order(store.spark, store.path, sorted(there)).collect()}  # a row for each file
         for t in m.all_trees().values():
             for f in t.files:
                 r = seen.get(f.path)
                 if r is None or (r.n, bytes(r.lo).hex(), bytes(r.hi).hex()) != (f.entries, f.lo, f.hi):
                     wrong.append(f"{f.path}: rows are not what the manifest says")
-                elif r.keys != r.n:
-                    wrong.append(f"{f.path}: a key is there twice")
+                elif r.bad:
+                    wrong.append(f"{f.path}: {r.bad} keys are not above the one before them")
     return wrong

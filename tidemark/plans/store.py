@@ -31,12 +31,15 @@ from tidemark.functions import order as ord_
 from tidemark.operators import mutate, relate
 from tidemark.plans import manifest as mf
 from tidemark.plans.manifest import File, Manifest, Tree
+from tidemark.session import drop_folder, materialize
 
 ENTRY = "okey binary, key binary, value binary"
 OPS = "seq long, op string, okey binary, key binary, value binary"
 SAFE, NO_META_SYNC, LAZY, NONE = "safe", "no_meta_sync", "lazy", "none"
-#: A manifest records the keys that a commit wrote up to this many; a larger one conflicts with all readers.
+#: Keys that a commit wrote are recorded up to this many; a larger one conflicts with all readers.
 LOGGED_KEYS = 1 << 20
+#: Keys of a batch up to this many stand in the manifest, those of a larger one in files beside it.
+INLINE_KEYS = 1024
 
 
 @dataclass
@@ -216,12 +219,15 @@ class Store:
         if self.options.sync in (LAZY, NONE):
             if self._unsynced is not None:  # versions that are never written: the next one answers for them
                 m.wrote = None if m.wrote is None or self._unsynced.wrote is None else self._unsynced.wrote + m.wrote
+                m.logs = self._unsynced.logs + m.logs
             self._unsynced = self._manifest = m.sealed()
             if self.options.sync == LAZY and time.monotonic() - self._synced_at >= self.options.sync_interval:
                 self.sync()
             return
         mf.publish(self.path, m)
         self._manifest = m
+        if self.options.on_reader_lag and (pinned := self.pins()) and min(pinned) < m.version:
+            self.options.on_reader_lag(min(pinned), m.version)
 
     def sync(self) -> None:
         """Make commits that wait (LAZY, NONE) durable; several become one version of the chain."""
@@ -256,7 +262,11 @@ class Store:
 
         written = self.spark.read.schema(ENTRY).parquet(f"{self.path}/{folder}")
         stats = written.groupBy(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("name")).agg(F.min("okey").alias("lo"), F.max("okey").alias("hi"), F.count(F.lit(1)).alias("n")).collect()
-        digests = {r.path: r.digest for r in file_digests(self.spark, self.path, [f"{folder}/{r.name}" for r in stats]).collect()}
+        safe = self.options.sync in (SAFE, NO_META_SYNC)  # files are on disk before a manifest names them
+        digests = {r.path: r.digest for r in file_digests(self.spark, self.path, [f"{folder}/{r.name}" for r in stats], safe).collect()}
+        if safe:
+            mf.sync_folder(f"{self.path}/{folder}")
+            mf.sync_folder(f"{self.path}/data")
         files = [File(p := f"{folder}/{r.name}", bytes(r.lo).hex(), bytes(r.hi).hex(), r.n, os.path.getsize(f"{self.path}/{p}"), digests[p]) for r in stats]
         return sorted(files, key=lambda f: f.bounds)
 
@@ -287,8 +297,6 @@ class Store:
         """Delete what is reclaimable; returns bytes freed. Staged files of a running writer are not touched: it holds the writer's place."""
         with self.writer():
             old, files = self.reclaimable(retain)
-            if self.options.on_reader_lag and (pinned := self.pins()) and min(pinned) < self.version:
-                self.options.on_reader_lag(min(pinned), self.version)
             freed = sum(os.path.getsize(f"{self.path}/{p}") for p in files)
             for v in old:
                 mf.remove(self.path, v)
@@ -497,8 +505,11 @@ class Layer:
     """Staged operations of one (nested) transaction: batches by tree, cleared trees, manifest edits."""
 
     batches: dict[str | None, list[DataFrame]] = field(default_factory=dict)
+    rows: dict[str | None, list[int]] = field(default_factory=dict)
     manifest: Manifest = None  # type: ignore[assignment]
     wrote: list[list[str | None]] | None = field(default_factory=list)
+    #: Batches whose keys are too many for the manifest: tree, rows with the keys, number of operations.
+    logged: list[tuple[str | None, DataFrame, int]] = field(default_factory=list)
 
 
 class WriteTxn(View):
@@ -509,6 +520,7 @@ class WriteTxn(View):
         self.layers = [Layer(manifest=base.child())]
         self.done = self.broken = False
         self._seq = 0
+        self._staged_in: list[str] = []
 
     @property
     def manifest(self) -> Manifest:
@@ -549,6 +561,7 @@ class WriteTxn(View):
         tree.files = []
         for layer in self.layers:  # what was staged before is gone with the rest
             layer.batches.pop(db, None)
+            layer.rows.pop(db, None)
         self._note(db, None)
 
     def drop(self, db: str | None) -> None:
@@ -564,7 +577,7 @@ class WriteTxn(View):
         if layer.wrote is None:
             return
         layer.wrote += [[db or "", None]] if keys is None else [[db or "", k.hex()] for k in keys]
-        if len(layer.wrote) > LOGGED_KEYS:
+        if len(layer.wrote) + sum(n for *_, n in layer.logged) > LOGGED_KEYS:
             layer.wrote = None
 
     def _fail(self, code: Code, message: str) -> None:
@@ -575,9 +588,15 @@ class WriteTxn(View):
         """Stage ``ops(seq, op, key, value)``, in the order of seq, after what was staged before.
 
         op is one of upsert, insert_unique, update_only, erase. Null or oversized keys and values break the
-        transaction, as a failing write does.
+        transaction, as a failing write does. The batch is written aside first, so ``ops`` runs once.
         """
         self._check()
+        ops, folder = materialize(ops.select("seq", "op", "key", "value"), "staged")
+        self._staged_in.append(folder)
+        self._stage(ops, db)
+
+    def _stage(self, ops: DataFrame, db: str | None) -> None:
+        """Stage a batch that gives the same rows whenever it is read."""
         tree = self.manifest.tree(db)
         width = ord_.WIDTH.get(tree.order)
         n = F.octet_length("key")
@@ -593,15 +612,14 @@ class WriteTxn(View):
         shifted = ops.select((F.col("seq") - seen.first + self._seq).alias("seq"), "op", ord_.encode(F.col("key"), tree.order).alias("okey"), "key", "value")
         self._seq += seen.last - seen.first + 1
         self.layers[-1].batches.setdefault(db, []).append(shifted)
+        self.layers[-1].rows.setdefault(db, []).append(seen.n)
         if width and tree.width is None:
             tree.width = width
-        if self.layers[-1].wrote is not None:
-            keys = ops.select("key").distinct().limit(LOGGED_KEYS + 1)
-            found = [bytes(r.key) for r in keys.collect()] if seen.n <= LOGGED_KEYS else None
-            if found is None:
-                self.layers[-1].wrote = None
-            else:
-                self._note(db, found)
+        if seen.n > INLINE_KEYS:
+            self.layers[-1].logged.append((db, shifted.select("key"), seen.n))
+            self._note(db, [])
+        elif self.layers[-1].wrote is not None:
+            self._note(db, {bytes(r.key) for r in ops.select("key").collect()})
 
     def _ops(self, rows: list[tuple[str, bytes, bytes | None]]) -> DataFrame:
         return self.store.spark.createDataFrame([(i, op, bytes(k), None if v is None else bytes(v)) for i, (op, k, v) in enumerate(rows)], "seq long, op string, key binary, value binary")
@@ -619,7 +637,7 @@ class WriteTxn(View):
         ops = self._ops(rows)
         base = self.entries(db).select(F.col("key").alias("key"))
         done = mutate.outcomes(base, ops, "key").orderBy("seq").select("done").collect()
-        self.stage(ops, db)
+        self._stage(ops, db)
         return [r.done for r in done]
 
     def put(self, key: bytes, value: bytes, db: str | None = None, mode: str = "upsert") -> bool:
@@ -682,10 +700,14 @@ class WriteTxn(View):
         base = self.store.spark.read.schema(ENTRY).parquet(*(f"{self.store.path}/{f.path}" for f in touched)) if touched else self.store.spark.createDataFrame([], ENTRY)
         merged = mutate.fold(base.select("okey", "value"), ops, "okey", "value").select("okey", ord_.encode(F.col("okey"), tree.order).alias("key"), "value")
         # each touched file's stretch is written by itself, so that ranges stay disjoint from those of kept files
-        new = self.store.write_files(merged, sum(f.entries for f in touched) + ops.count(), [f.bounds[0] for f in touched])
+        new = self.store.write_files(merged, sum(f.entries for f in touched) + self._count_staged(name), [f.bounds[0] for f in touched])
         tree.files = sorted([f for f in tree.files if f not in touched] + new, key=lambda f: f.bounds)
         for layer in self.layers:
             layer.batches.pop(name, None)
+            layer.rows.pop(name, None)
+
+    def _count_staged(self, name: str | None) -> int:
+        return sum(n for layer in self.layers for n in layer.rows.get(name, []))
 
     def _touched(self, tree: Tree, ops: DataFrame) -> list[File]:
         """Files in whose stretch (from their first key to the next file's) some operation falls."""
@@ -720,18 +742,20 @@ class WriteTxn(View):
         depth = len(self.layers)
         parent = self.manifest
         copy = mf.parse(parent.body())
-        held = [{k: list(v) for k, v in layer.batches.items()} for layer in self.layers]
+        held = [({k: list(v) for k, v in layer.batches.items()}, {k: list(v) for k, v in layer.rows.items()}) for layer in self.layers]
         self.layers.append(Layer(manifest=copy, wrote=None if self.layers[-1].wrote is None else []))
         try:
             yield self
         except BaseException:
             del self.layers[depth:]
-            for layer, batches in zip(self.layers, held):
-                layer.batches = batches
+            for layer, (batches, rows) in zip(self.layers, held):
+                layer.batches, layer.rows = batches, rows
             raise
         child = self.layers.pop()
+        self.layers[-1].logged += child.logged
         for name, batches in child.batches.items():
             self.layers[-1].batches.setdefault(name, []).extend(batches)
+            self.layers[-1].rows.setdefault(name, []).extend(child.rows[name])
         self.layers[-1].manifest = child.manifest
         if child.wrote is None or self.layers[-1].wrote is None:
             self.layers[-1].wrote = None
@@ -746,15 +770,26 @@ class WriteTxn(View):
                 self._flush(name)
         m = self.manifest
         m.wrote = self.layers[-1].wrote
-        self.done = True
-        if m.all_trees() != self.base.all_trees():
-            self.store.publish(m)
-            return m.version
-        return self.base.version  # nothing changed: no new version
+        if m.all_trees() == self.base.all_trees():
+            self.abort()
+            return self.base.version  # nothing changed: no new version
+        if m.wrote is not None:
+            m.logs = [self._log_keys(*x) for x in self.layers[-1].logged]
+        self.store.publish(m)
+        self.abort()
+        return m.version
+
+    def _log_keys(self, db: str | None, keys: DataFrame, n: int) -> list:
+        folder = f"logs/{uuid.uuid4().hex}"
+        keys.distinct().write.parquet(f"{self.store.path}/{folder}")
+        return [db or "", folder, n]
 
     def abort(self) -> None:
         """Drop what is staged; files written meanwhile are reclaimable."""
         self.done = True
+        for folder in self._staged_in:
+            drop_folder(self.store.spark, folder)
+        self._staged_in = []
 
 
 def stretch_of(firsts: list[bytes]):
@@ -767,9 +802,11 @@ def stretch_of(firsts: list[bytes]):
     return number
 
 
-def digest_of(path: str) -> str:
+def digest_of(path: str, sync: bool = False) -> str:
     h = xxhash.xxh3_64()
     with open(path, "rb") as f:
+        if sync:
+            os.fsync(f.fileno())
         while part := f.read(1 << 20):
             h.update(part)
     return h.hexdigest()

@@ -1,7 +1,8 @@
 """The folder that driver and executors share, and tables written there.
 
 Everything that must outlive a task (cut lineage, model files, archives) goes under the folder that the
-session names in ``spark.checkpoint.dir``. Only where that is unset, as in tests, a folder is chosen here.
+session names in ``spark.checkpoint.dir``. Only where that is unset and all runs in one process, as in tests, a
+folder is chosen here; on a cluster executors would each write to a disk of their own, so that is refused.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ def shared_dir(spark: SparkSession) -> str:
     """URI of the shared folder."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("name a folder that driver and executors share in spark.checkpoint.dir")
         base = UNSET_DIR
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")

@@ -20,6 +20,7 @@ from tidemark.errors import Code, StoreError
 from tidemark.functions.order import BYTES
 from tidemark.operators.mutate import last_writers
 from tidemark.plans.store import Store
+from tidemark.session import materialize
 from tidemark.sources import tar
 
 MARK = b"indexed_up_to"
@@ -31,23 +32,26 @@ class BlobStorage:
         self.store, self.archive, self.db, self.meta = store, archive, name, f"{name}/meta"
         if not os.path.exists(archive):
             open(archive, "wb").close()
-        if not store.snapshot().has_db(self.db):
+        with store.read() as s:
+            there = s.has_db(self.db)
+        if not there:
             with store.write() as t:
                 t.db(self.db, BYTES), t.db(self.meta, BYTES)
                 t.put(MARK, b"0", self.meta)
         self._repair()
 
     # --- the archive's end --------------------------------------------------------------------------------------------
-    def _end(self) -> int:
-        """Where the next header goes."""
-        end = 0
-        for m in tar.walk(self.archive):
+    def _end(self, start: int = 0) -> int:
+        """Where the next header goes, walking from a header's place."""
+        end = start
+        for m in tar.walk(self.archive, start):
             end = m.offset + tar.padded(m.size)
         return end
 
     @property
     def mark(self) -> int:
-        return int(self.store.snapshot().at(MARK, self.meta))
+        with self.store.read() as s:
+            return int(s.at(MARK, self.meta))
 
     def _repair(self) -> None:
         """Cut off a torn tail; an archive that ends before what is indexed is damaged."""
@@ -60,9 +64,10 @@ class BlobStorage:
     # --- writing --------------------------------------------------------------------------------------------------------
     def put_many(self, blobs: list[tuple[bytes, str, bytes]]) -> None:
         """Append ``(key, member name, payload)`` and index them; payloads are on disk before the index names them."""
-        if self._end() > self.mark:
+        mark = self.mark
+        at, rows = self._end(mark), []
+        if at > mark:
             self.catch_up()  # members of a writer that did not get to index them
-        at, rows = self._end(), []
         with open(self.archive, "r+b") as f:
             f.seek(at)
             f.truncate()
@@ -85,7 +90,7 @@ class BlobStorage:
 
     def finalize(self) -> None:
         """End the archive as other tools expect it; later puts overwrite the end."""
-        end = self._end()
+        end = self._end(self.mark)
         with open(self.archive, "r+b") as f:
             f.seek(end)
             tar.finish(f)
@@ -97,7 +102,8 @@ class BlobStorage:
 
     # --- reading --------------------------------------------------------------------------------------------------------
     def find(self, key: bytes) -> dict | None:
-        raw = self.store.snapshot().get(key, self.db)
+        with self.store.read() as s:
+            raw = s.get(key, self.db)
         return None if raw is None else json.loads(raw)
 
     def contains(self, key: bytes) -> bool:
@@ -114,19 +120,23 @@ class BlobStorage:
         return tar.read_at(self.archive, e["offset"], e["size"])
 
     def find_many(self, keys: list[bytes]) -> list[dict | None]:
-        return [None if v is None else json.loads(v) for v in self.store.snapshot().find_many(keys, self.db)]
+        with self.store.read() as s:
+            return [None if v is None else json.loads(v) for v in s.find_many(keys, self.db)]
 
     def index(self) -> DataFrame:
-        entries = self.store.snapshot().entries(self.db)
-        return entries.select("key", F.from_json(F.decode("value", "UTF-8"), ENTRY).alias("e")).select("key", "e.*")
+        """The index as of now, written aside, so that it outlives the version it was read from."""
+        with self.store.read() as s:
+            entries = s.entries(self.db).select("key", F.from_json(F.decode("value", "UTF-8"), ENTRY).alias("e"))
+            return materialize(entries.select("key", "e.*"), "blob-index")[0]
 
     def for_each_key(self, fn: Callable[[bytes], bool], prefix: bytes = b"") -> int:
         """Call ``fn`` with keys in order until it says False; returns how many were visited."""
         n = 0
-        for r in self.store.snapshot().prefix(prefix, self.db).select("key").toLocalIterator():
-            n += 1
-            if fn(bytes(r.key)) is False:
-                break
+        with self.store.read() as s:
+            for r in s.prefix(prefix, self.db).select("key").toLocalIterator():
+                n += 1
+                if fn(bytes(r.key)) is False:
+                    break
         return n
 
     def list(self) -> DataFrame:
@@ -149,23 +159,22 @@ class BlobStorage:
         """Index members past the mark under their names, digest unknown; returns how many."""
         start = self.mark
         new = tar.members(self.store.spark, self.archive, payload=False, start=start)
-        n = self._index(new, F.encode("name", "UTF-8"))
-        return n
+        return self._index(new, F.encode("name", "UTF-8"), start)
 
     def rebuild_index(self, key_of: Callable[[pd.Series], pd.Series] | None = None) -> int:
         """Index all members anew: keys from ``key_of`` (names to BINARY, an Arrow function) or the names; of equal keys the later member counts."""
-        with self.store.write() as t:
-            t.clear(self.db)
         every = tar.members(self.store.spark, self.archive, payload=False)
         key = F.encode("name", "UTF-8") if key_of is None else F.pandas_udf(key_of, "binary")(F.col("name"))
         return self._index(every, key)
 
-    def _index(self, found: DataFrame, key) -> int:
+    def _index(self, found: DataFrame, key, start: int | None = None) -> int:
+        """Enter members; without a start in place of all that was entered, in the same commit."""
         latest = last_writers(found.select(key.alias("key"), "name", "offset", "size"), "key", "offset")
         value = F.encode(F.to_json(F.struct("offset", "size", "name", F.lit(False).alias("known"))), "UTF-8")
-        ops = latest.select(F.col("offset").alias("seq"), F.lit("upsert").alias("op"), "key", value.alias("value"))
-        n = ops.count()
+        ops, _ = materialize(latest.select(F.col("offset").alias("seq"), F.lit("upsert").alias("op"), "key", value.alias("value")), "blob-entries")
         with self.store.write() as t:
+            if start is None:
+                t.clear(self.db)
             t.stage(ops, self.db)
-            t.put(MARK, str(self._end()).encode(), self.meta)
-        return n
+            t.put(MARK, str(self._end(start or 0)).encode(), self.meta)
+        return ops.count()

@@ -1,7 +1,7 @@
 """ustar archives: a batch data source of members, writers, and the header format.
 
 ``spark.read.format("ustar").load(folder_or_file)`` gives ``(archive, name, offset, size, payload)`` for regular
-members; a partition is one archive. Reading stops at a zero block, a header whose checksum or size is wrong, or a
+members; a partition is at most ``split`` bytes of one archive (option, 128 MB unless given). Reading stops at a zero block, a header whose checksum or size is wrong, or a
 payload that is cut short. Columns that are not asked for cost no reading: option ``payload=false`` leaves them null.
 """
 
@@ -66,20 +66,25 @@ class Member:
     size: int
 
 
-def walk(path: str, start: int = 0) -> Iterator[Member]:
-    """Regular members from a header position on; see the module on where it stops."""
+def headers(path: str, start: int = 0, end: int | None = None) -> Iterator[tuple[int, str, int, bytes]]:
+    """Place, name, size and kind of members of any kind whose headers lie in [start, end); ``start`` is a header's place."""
     total = os.path.getsize(path)
     with open(path, "rb") as f:
         at = start
-        while at + BLOCK <= total:
+        while at + BLOCK <= total and (end is None or at < end):
             f.seek(at)
             found = parse(f.read(BLOCK))
             if found is None or at + BLOCK + found[1] > total:
                 return
-            name, size, kind = found
-            if kind in (b"0", b"\0"):
-                yield Member(name, at + BLOCK, size)
-            at += BLOCK + padded(size)
+            yield at, *found
+            at += BLOCK + padded(found[1])
+
+
+def walk(path: str, start: int = 0, end: int | None = None) -> Iterator[Member]:
+    """Regular members from a header position on; see the module on where it stops."""
+    for at, name, size, kind in headers(path, start, end):
+        if kind in (b"0", b"\0"):
+            yield Member(name, at + BLOCK, size)
 
 
 def read_at(path: str, offset: int, size: int) -> bytes:
@@ -89,19 +94,28 @@ def read_at(path: str, offset: int, size: int) -> bytes:
 
 
 class _Archive(InputPartition):
-    def __init__(self, path: str):
-        self.path = path
+    def __init__(self, path: str, start: int, end: int | None):
+        self.path, self.start, self.end = path, start, end
 
 
 class _Reader(DataSourceReader):
-    def __init__(self, paths: list[str], start: int, payload: bool):
-        self.paths, self.start, self.payload = paths, start, payload
+    def __init__(self, paths: list[str], start: int, payload: bool, split: int):
+        self.paths, self.start, self.payload, self.split = paths, start, payload, split
 
     def partitions(self) -> list[InputPartition]:
-        return [_Archive(p) for p in self.paths]
+        """An archive that is longer than ``split`` is cut at headers, which only a walk can tell from payloads."""
+        out: list[InputPartition] = []
+        for p in self.paths:
+            cuts = [self.start]
+            if os.path.getsize(p) - self.start > self.split:
+                for at, *_ in headers(p, self.start):
+                    if at - cuts[-1] >= self.split:
+                        cuts.append(at)
+            out += [_Archive(p, a, b) for a, b in zip(cuts, [*cuts[1:], None])]
+        return out
 
     def read(self, partition: _Archive) -> Iterator[tuple]:
-        for m in walk(partition.path, self.start):
+        for m in walk(partition.path, partition.start, partition.end):
             yield partition.path, m.name, m.offset, m.size, read_at(partition.path, m.offset, m.size) if self.payload else None
 
 
@@ -116,12 +130,12 @@ class TarSource(DataSource):
     def reader(self, schema) -> DataSourceReader:
         path = self.options.get("path", "").removeprefix("file://")
         paths = sorted(f"{path}/{n}" for n in os.listdir(path) if n.endswith(".tar")) if os.path.isdir(path) else [path]
-        return _Reader(paths, int(self.options.get("start", 0)), self.options.get("payload", "true").lower() != "false")
+        return _Reader(paths, int(self.options.get("start", 0)), self.options.get("payload", "true").lower() != "false", int(self.options.get("split", 128 << 20)))
 
 
-def members(spark: SparkSession, path: str, payload: bool = True, start: int = 0) -> DataFrame:
+def members(spark: SparkSession, path: str, payload: bool = True, start: int = 0, split: int = 128 << 20) -> DataFrame:
     spark.dataSource.register(TarSource)
-    return spark.read.format("ustar").option("payload", str(payload)).option("start", start).load(path)
+    return spark.read.format("ustar").option("payload", str(payload)).option("start", start).option("split", split).load(path)
 
 
 def write_archives(df: DataFrame, folder: str) -> DataFrame:

@@ -1,7 +1,8 @@
 """A stream of a store's commits: one row for each version, offset = version.
 
 ``spark.readStream.format("tidemark_versions").load(path)`` gives ``(version, commit_id, parent_id, entries, wrote)``
-with ``wrote`` as ``array<struct<db string, key binary>>``, null if unknown.
+with ``wrote`` as ``array<struct<db string, key binary>>``, null if unknown. Keys of large batches are not listed: such a
+batch shows as its database with a null key, as a cleared one does.
 """
 
 from __future__ import annotations
@@ -38,7 +39,7 @@ class _Stream(SimpleDataSourceStreamReader):
                 m = mf.load(self.path, v)
             except StoreError:
                 continue  # vacuumed meanwhile
-            wrote = None if m.wrote is None else [(db, None if k is None else bytes.fromhex(k)) for db, k in m.wrote]
+            wrote = None if m.wrote is None else [(db, None if k is None else bytes.fromhex(k)) for db, k in m.wrote] + [(db, None) for db, *_ in m.logs]
             yield v, m.commit_id, m.parent_id, sum(t.entries for t in m.all_trees().values()), wrote
 
     def commit(self, end: dict) -> None:
