@@ -9,7 +9,10 @@ from __future__ import annotations
 
 import atexit
 import os
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 #: Used where the session names no folder (one machine, as in tests).
 UNSET_DIR = "file:///tmp/checkpoints/tidemark"
 _OWN: dict[str, SparkSession] = {}
+_OPEN = threading.local()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -41,6 +45,8 @@ def new_folder(spark: SparkSession, label: str) -> str:
     path, fs = _fs(spark, uri)
     fs.mkdirs(path)
     _OWN[uri] = spark
+    if getattr(_OPEN, "scratch", None) is not None:
+        _OPEN.scratch.append(uri)
     return uri
 
 
@@ -51,6 +57,24 @@ def drop_folder(spark: SparkSession, uri: str) -> None:
     _OWN.pop(uri, None)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[list[str]]:
+    """Folders that this thread makes inside are removed at the end, but for those entered in the list that is given."""
+    outer, made = getattr(_OPEN, "scratch", None), []
+    kept: list[str] = []
+    _OPEN.scratch = made
+    try:
+        yield kept
+    finally:
+        _OPEN.scratch = outer
+        for uri in made:
+            if uri in kept:
+                if outer is not None:
+                    outer.append(uri)
+            elif uri in _OWN:
+                drop_folder(spark, uri)
+
+
 @atexit.register
 def _sweep() -> None:
     for uri, spark in list(_OWN.items()):
