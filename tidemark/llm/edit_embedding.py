@@ -36,7 +36,7 @@ from pyspark.sql.functions import pandas_udf
 
 from tidemark.llm.components import components
 from tidemark.llm.memory import lean
-from tidemark.session import materialize
+from tidemark.session import materialize, scratch
 
 BITS, WALKS, SEED = 512, 2, 20240229
 #: Characters that are walked side by side, and texts below which each is walked alone.
@@ -329,8 +329,10 @@ def against_edits(docs: DataFrame) -> DataFrame:
 
 def with_near_copies(rows: DataFrame) -> DataFrame:
     """Rows with a fingerprint, and near_id of their class; see :func:`near_copies`."""
-    rows, _ = materialize(rows, "fingerprints")
-    named, _ = materialize(near_copies(rows).select("f", "near_id"), "near-ids")
+    with scratch(rows.sparkSession) as kept:
+        rows, uri = materialize(rows, "fingerprints")
+        named, named_uri = materialize(near_copies(rows).select("f", "near_id"), "near-ids")
+        kept += [uri, named_uri]
     return rows.join(named, F.xxhash64(rows["fingerprint"]) == named["f"]).select(*rows.columns, "near_id")
 
 

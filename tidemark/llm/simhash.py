@@ -27,7 +27,7 @@ from xxhash import xxh64_intdigest
 
 from tidemark.llm.components import components
 from tidemark.llm.memory import lean
-from tidemark.session import materialize
+from tidemark.session import materialize, scratch
 
 SHINGLE, MAX_BITS, SEED = 3, 3, 42
 #: Fingerprints from which candidate counts are estimated.
@@ -175,14 +175,16 @@ def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS, words_each: int =
     are all null have a null component_id unless linked to others. Null and empty texts have fingerprint zero
     and are linked like any other. Rows that repeat a doc_id are each fingerprinted. Extra columns are ignored.
     """
-    fps, _ = materialize(fingerprints(docs, words_each), "simhash")
-    classes, _ = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-classes")
-    named = components(links(classes, max_bits).select(F.col("fp").alias("a"), F.col("fp_2").alias("b")))
-    linked = classes.join(named, classes["fp"] == named["vertex"])  # only classes with a link
-    least = linked.groupBy("component").agg(F.min("first").alias("least"))
-    moved = linked.join(least, "component").select("fp", "least")
-    # written, so that both sides of the last join are plain exchanges, whose hot partitions Spark splits
-    named_all, _ = materialize(classes.join(moved, "fp", "left").select("fp", F.coalesce("least", "first").alias("component_id")), "simhash-named")
+    with scratch(docs.sparkSession) as kept:
+        fps, fps_uri = materialize(fingerprints(docs, words_each), "simhash")
+        classes, _ = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-classes")
+        named = components(links(classes, max_bits).select(F.col("fp").alias("a"), F.col("fp_2").alias("b")))
+        linked = classes.join(named, classes["fp"] == named["vertex"])  # only classes with a link
+        # aggregates are written before they are joined: both sides are then plain exchanges, whose hot partitions Spark splits
+        least, _ = materialize(linked.groupBy("component").agg(F.min("first").alias("least")), "simhash-least")
+        moved = linked.join(least, "component").select("fp", "least")
+        named_all, named_uri = materialize(classes.join(moved, "fp", "left").select("fp", F.coalesce("least", "first").alias("component_id")), "simhash-named")
+        kept += [fps_uri, named_uri]
     return fps.join(named_all, "fp").select("doc_id", "fp", "component_id")
 
 

@@ -32,7 +32,7 @@ from xxhash import xxh3_64_intdigest, xxh64_intdigest
 from tidemark.llm import simhash
 from tidemark.llm.components import components
 from tidemark.llm.memory import lean
-from tidemark.session import materialize
+from tidemark.session import materialize, scratch
 
 #: Words of a shingle, and the least similarity as a fraction (numerator, denominator).
 WORDS, SHARE = 5, (4, 5)
@@ -101,8 +101,8 @@ def prefix(hashes: np.ndarray, frequent: tuple[np.ndarray, np.ndarray], share: t
     return hashes[np.lexsort((hashes, place))][: n - -(-share[0] * n // share[1]) + 1]
 
 
-def _classes(texts: DataFrame, words_each: int, share: tuple[int, int]) -> DataFrame:
-    """``(cls, n, rep, h, fp, bits, tokens)``: one row for each distinct set.
+def _classes(texts: DataFrame, words_each: int, share: tuple[int, int]) -> tuple[DataFrame, DataFrame]:
+    """``(cls, n, rep, h, fp, bits, tokens)``, one row for each distinct set, and ``(doc_id, h, cls)``, one for each row.
 
     rep is the smallest (doc_id, hash of its text) of the class, null if all ids are null; h the hash of one text.
     """
@@ -118,10 +118,9 @@ def _classes(texts: DataFrame, words_each: int, share: tuple[int, int]) -> DataF
 
     rows, _ = materialize(texts.mapInPandas(lean(run), "doc_id long, h long, cls long, n int, fp long, bits array<long>, tokens array<long>"), "shingles")
     rep = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "h"))).alias("rep")
-    classes, _ = materialize(rows.groupBy("cls").agg(rep, F.min("h").alias("h")), "shingle-sets")
-    # the row that stands for a class; rows with its text have its tokens too
-    one = rows.select("cls", "h", "n", "fp", "bits", "tokens").join(classes, ["cls", "h"]).dropDuplicates(["cls"])
-    return materialize(one.select("cls", "n", "rep", "h", "fp", "bits", "tokens"), "shingle-classes")[0]
+    # size, bitmap and tokens follow from the set: any row of the class has them
+    classes = rows.groupBy("cls").agg(F.first("n").alias("n"), rep, F.min("h").alias("h"), F.min("fp").alias("fp"), F.first("bits").alias("bits"), F.first("tokens").alias("tokens"))
+    return materialize(classes, "shingle-classes")[0], rows.select("doc_id", "h", "cls")
 
 
 def _by_fingerprint(classes: DataFrame) -> DataFrame:
@@ -150,7 +149,7 @@ def _verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, words_each
     sizes = classes.select("cls", "n", "bits")
     other = sizes.select(*(F.col(c).alias(f"{c}_2") for c in sizes.columns))
     pairs, _ = materialize(pairs.join(sizes, "cls").join(other, "cls_2").where(_may(share, PARITY, "bits", "bits_2")).select("cls", "cls_2"), "similar-pairs")
-    needed = pairs.select("cls").union(pairs.select("cls_2")).distinct().join(classes.select("cls", "h"), "cls")
+    needed, _ = materialize(pairs.select("cls").union(pairs.select("cls_2")).distinct().join(classes.select("cls", "h"), "cls"), "similar-needed")
     own, _ = materialize(texts.select("h", "text").join(needed, "h").select("cls", "text").dropDuplicates(["cls"]), "similar-texts")
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -171,14 +170,14 @@ def _verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, words_each
     return materialize(met.select("a", "b", "text", "text_2").mapInPandas(lean(run), "a long, b long"), "similar-links")[0]
 
 
-def groups(docs: DataFrame, words_each: int = WORDS, share: tuple[int, int] = SHARE) -> DataFrame:
-    """``docs(doc_id, text, ...)`` to ``(cls, rep)``: each distinct set, and the smallest (doc_id, hash of its text) reachable over links.
+def groups(docs: DataFrame, words_each: int = WORDS, share: tuple[int, int] = SHARE) -> tuple[DataFrame, DataFrame]:
+    """``docs(doc_id, text, ...)`` to ``(cls, rep)``, each distinct set and the smallest (doc_id, hash of its text) reachable over links, and ``(doc_id, h, cls)`` of all rows.
 
     Texts without words have the empty set and are copies of each other. A component whose ids are all null has
     a null rep. Extra columns are ignored; an empty table gives none.
     """
     texts = _text(docs)
-    classes = _classes(texts, words_each, share)
+    classes, rows = _classes(texts, words_each, share)
     postings = classes.select("cls", "n", F.posexplode("tokens").alias("pos", "token"))
     pivots = postings.groupBy("token").agg(F.count(F.lit(1)).alias("k"), F.min("cls").alias("pivot")).where("k > 1").drop("k")
     pivots, _ = materialize(pivots, "pivots")
@@ -209,7 +208,7 @@ def groups(docs: DataFrame, words_each: int = WORDS, share: tuple[int, int] = SH
     linked = classes.select("cls", "rep").join(named, classes["cls"] == named["vertex"]).select("cls", "rep", "component")
     least, _ = materialize(linked.groupBy("component").agg(F.min("rep").alias("least")), "similar-least")
     moved, _ = materialize(linked.join(least, "component").select("cls", "least"), "similar-named")
-    return classes.select("cls", "rep").join(moved, "cls", "left").select("cls", F.coalesce("least", "rep").alias("rep"))
+    return classes.select("cls", "rep").join(moved, "cls", "left").select("cls", F.coalesce("least", "rep").alias("rep")), rows
 
 
 def keep_one_of_similar(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -219,10 +218,18 @@ def keep_one_of_similar(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     repeat a doc_id and a text are one document, of which the row with the smallest columns stays. Rows without a
     doc_id cannot be named as kept or dropped; they stay. Null texts are without words.
     """
-    kept = groups(docs).where("rep is not null").select(F.col("rep.doc_id").alias("_kept_id"), F.col("rep.h").alias("_kept_h")).distinct()
-    h = F.xxhash64(F.col("text").cast("string"))
-    same = (docs["doc_id"].cast("long") == kept["_kept_id"]) & (h == kept["_kept_h"])
-    # rows of one kept document lie together: the join has dealt them by doc_id and hash
-    named = docs.where("doc_id is not null").join(kept, same, "left_semi")
-    once = named.groupBy(F.col("doc_id").cast("long").alias("_id"), h.alias("_h")).agg(F.min(F.struct(*docs.columns)).alias("_row"))
-    return once.select("_row.*").union(docs.where("doc_id is null"))
+    with scratch(spark) as kept:
+        named, rows = groups(docs)
+        named, _ = materialize(named, "similar-reps")
+        own = F.struct("doc_id", "h")
+        gone = rows.where("doc_id is not null").join(named, "cls").where(own != F.col("rep"))
+        gone, gone_uri = materialize(gone.select(F.col("doc_id").alias("_id"), F.col("h").alias("_h")).distinct(), "similar-gone")
+        again, again_uri = materialize(rows.where("doc_id is not null").groupBy(F.col("doc_id").alias("_id"), F.col("h").alias("_h")).count().where("count > 1").select("_id", "_h"), "similar-again")
+        kept += [gone_uri, again_uri]
+        id_, h = docs["doc_id"].cast("long"), F.xxhash64(docs["text"].cast("string"))
+        left = docs.join(gone, (id_ == gone["_id"]) & (h == gone["_h"]), "left_anti")
+        if again.isEmpty():
+            return left
+        same = (id_ == again["_id"]) & (h == again["_h"])
+        once = left.join(again, same, "left_semi").groupBy(id_.alias("_id"), h.alias("_h")).agg(F.min(F.struct(*docs.columns)).alias("_row"))
+        return left.join(again, same, "left_anti").select(*docs.columns).union(once.select("_row.*"))
