@@ -18,6 +18,11 @@ def last(df: DataFrame, key: str, n: int = 1) -> DataFrame:
     return df.orderBy(F.desc(key)).limit(n)
 
 
+def bounds(df: DataFrame, key: str) -> DataFrame:
+    """One row: the smallest key ``lo`` and the largest ``hi``, null if there is none."""
+    return df.agg(F.min(key).alias("lo"), F.max(key).alias("hi"))
+
+
 def seek(df: DataFrame, key: str, k) -> DataFrame:
     """The first row with a key not below k."""
     return first(between(df, key, k), key)
