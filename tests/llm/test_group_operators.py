@@ -303,7 +303,7 @@ def test_kneser_ney_brute(spark, monkeypatch, fan, mapped):
     monkeypatch.setattr(ngram_lm, "SHARD_BYTES", 2000)  # several shards
     monkeypatch.setattr(ngram_lm, "FAN", fan)  # dealt at once, or in two steps
     monkeypatch.setattr(ngram_lm, "MAPPED", mapped)
-    monkeypatch.setattr(ngram_lm, "WORD_ROWS", 20)
+    monkeypatch.setattr(ngram_lm, "PAIRS_A_WORD", 1)
     monkeypatch.setattr(ngram_lm, "CHUNK", 500)
     rows = [(i, words(i, 40 + i) + (" Zeta\x0bÉ" if i % 3 else "")) for i in range(60)] + [(70, None), (71, ""), (72, "unseen words only here"), (3, words(3, 43)), (None, "alpha beta")]
     table = docs(spark, rows)
@@ -355,15 +355,17 @@ def test_kneser_ney_brute(spark, monkeypatch, fan, mapped):
     assert len(empty) == len(rows) and all(r.score == 0 and r.train_tokens == 0 for r in empty)
 
 
-def test_pairs_are_packed_whole():
+def test_pairs_and_sums_are_packed_whole():
     rng = np.random.default_rng(2)
     u, v = (np.sort(rng.integers(0, 1 << 63, 300, dtype=np.uint64))[rng.integers(0, 300, 5000)] for _ in range(2))
     u, v, n = ngram_lm._counted([u], [v])
     n = n * rng.integers(1, 1 << 30, len(n))
-    blocks = list(ngram_lm._blocks(u, v, n, 7))
-    back = [np.concatenate(x) for x in zip(*(ngram_lm._unpack(raw) for _, raw in blocks))]
-    assert sorted(zip(*(x.tolist() for x in back))) == sorted(zip(u.tolist(), v.tolist(), n.tolist()))
-    assert all((ngram_lm.shard_of(ngram_lm.pair_hash(*ngram_lm._unpack(raw)[:2]), 7) == s).all() for s, raw in blocks)
+    cuts = list(ngram_lm._cuts(ngram_lm.pair_hash(u, v), 7))
+    back = [ngram_lm._unpack(ngram_lm._pack(u[part], v[part], n[part])) for _, part in cuts]
+    assert sorted(zip(*(np.concatenate(x).tolist() for x in zip(*back)))) == sorted(zip(u.tolist(), v.tolist(), n.tolist()))
+    assert all((ngram_lm.shard_of(ngram_lm.pair_hash(*x[:2]), 7) == s).all() for (s, _), x in zip(cuts, back))
+    sums = rng.integers(-(1 << 62), 1 << 62, (7, 900))
+    assert (ngram_lm._unpack_sums(ngram_lm._pack_sums(sums)) == sums).all()
 
 
 # --- pipeline -------------------------------------------------------------------------------------------------------

@@ -1,13 +1,12 @@
 """Interpolated modified Kneser-Ney bigram model: counted in Spark, stored as sorted hash arrays, memory-mapped to score.
 
 Counting: each task turns its texts into 64-bit word hashes, counts the pairs of ``CHUNK`` tokens at a time and
-sends each distinct pair once to the shard of its pair hash, with a dictionary of the words in each block sent.
-Shards are ranges of pair hashes, so a word that follows or precedes a third of all words is spread over all of
+sends each distinct pair once to the shard of its pair hash. Shards are ranges of pair hashes, so a word that follows or precedes a third of all words is spread over all of
 them; their number follows the corpus (``SHARD_BYTES`` of text each). Beyond ``FAN`` shards pairs are dealt in two
 steps, first to groups of shards, so that a chunk never makes more than ``FAN`` blocks. A shard's task merges its
-counts and writes one file: pair hashes in order and their counts. It passes on a row of sums for each word (how
-often it follows how many different words; how many of its followers occur once, twice, more often); these rows are
-dealt by ranges of word hashes, about ``WORD_ROWS`` to a shard, whose tasks write the word files. Nothing by word,
+counts and writes one file: pair hashes in order and their counts. It passes on sums for each word (how often it
+follows how many different words; how many of its followers occur once, twice, more often), dealt in the same way to
+ranges of word hashes, one for ``PAIRS_A_WORD`` shards of pairs, whose tasks write the word files. Nothing by word,
 pair or shard goes to the driver, only a dozen totals do.
 
 Files are written under a temporary name and moved into place, so a repeated task replaces equal content. Every
@@ -35,8 +34,8 @@ from tidemark.session import materialize, move_shared, new_folder, open_shared
 
 #: Tokens that a task counts or scores at a time, and bytes of text for each shard.
 CHUNK, SCORED, SHARD_BYTES = 2_500_000, 300_000, 12 << 20
-#: Most shards that a chunk is dealt to at once, rows of word sums for each word shard, and files that a worker maps.
-FAN, WORD_ROWS, MAPPED = 1024, 1_500_000, 256
+#: Most shards that a chunk is dealt to at once, shards of pairs for each one of words, and files that a worker maps.
+FAN, PAIRS_A_WORD, MAPPED = 1024, 4, 256
 START, END = np.uint64(0x5354415254), np.uint64(0x454E44)
 HELD_OUT, HELD_OUT_REST = 7, 2
 
@@ -81,32 +80,51 @@ def _counted(us: list, vs: list, ns: list | None = None) -> tuple[np.ndarray, np
     return u[order], v[order], n
 
 
-def _blocks(u: np.ndarray, v: np.ndarray, n: np.ndarray, shards: int) -> Iterator[tuple[int, bytes]]:
-    """Pairs in the order of their hashes, with counts, as a packed block for each shard that has any."""
-    words, at = np.unique(np.concatenate([u, v]), return_inverse=True)
-    at = at.astype(np.int32)
-    first, second = at[: len(u)], at[len(u) :]
-    edges = np.searchsorted(shard_of(pair_hash(u, v), shards), np.arange(shards + 1))
+def _cuts(keys: np.ndarray, shards: int) -> Iterator[tuple[int, slice]]:
+    """Of hashes in order, the part of each shard that has any."""
+    edges = np.searchsorted(shard_of(keys, shards), np.arange(shards + 1))
     for shard in np.flatnonzero(np.diff(edges)).tolist():
-        part = slice(edges[shard], edges[shard + 1])
-        a, b, times = first[part], second[part], n[part]
-        used = np.zeros(len(words), dtype=bool)
-        used[a] = used[b] = True
-        place = np.cumsum(used, dtype=np.int32) - 1
-        order = np.lexsort((b, a))
-        a, b, times = place[a[order]], place[b[order]], times[order]
-        step = np.diff(b, prepend=0)  # small within the run of a first word
-        own = words[used]
-        small = zlib.compress(np.bincount(a, minlength=len(own)).astype("<u4").tobytes() + step.astype("<i4").view(np.uint8).reshape(-1, 4).T.tobytes() + times.astype("<u4").tobytes(), 1)
-        yield shard, np.array([len(own), len(a)], dtype="<u8").tobytes() + own.tobytes() + small
+        yield shard, slice(int(edges[shard]), int(edges[shard + 1]))
+
+
+def _pack(u: np.ndarray, v: np.ndarray, n: np.ndarray) -> bytes:
+    """Pairs with counts; each first word once."""
+    order = np.argsort(u, kind="stable")
+    u, v, n = u[order], v[order], n[order]
+    first = np.flatnonzero(np.concatenate([[True], u[1:] != u[:-1]]))
+    runs = np.diff(np.append(first, len(u))).astype("<u4")
+    small = zlib.compress(runs.tobytes() + n.astype("<u4").tobytes(), 1)
+    return np.array([len(first), len(u)], dtype="<u8").tobytes() + u[first].tobytes() + v.tobytes() + small
 
 
 def _unpack(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     k, n = (int(x) for x in np.frombuffer(raw, "<u8", 2))
-    words, small = np.frombuffer(raw, "<u8", k, 16), zlib.decompress(raw[16 + 8 * k :])
-    runs, times = np.frombuffer(small, "<u4", k), np.frombuffer(small, "<u4", n, 4 * k + 4 * n)
-    step = np.ascontiguousarray(np.frombuffer(small, np.uint8, 4 * n, 4 * k).reshape(4, n).T).view("<i4").ravel()
-    return np.repeat(words, runs), words[np.cumsum(step)], times.astype(np.int64)
+    first, v = np.frombuffer(raw, "<u8", k, 16), np.frombuffer(raw, "<u8", n, 16 + 8 * k)
+    small = np.frombuffer(zlib.decompress(raw[16 + 8 * k + 8 * n :]), "<u4")
+    return np.repeat(first, small[:k]), v, small[k:].astype(np.int64)
+
+
+def _pack_sums(sums: np.ndarray) -> bytes:
+    """Columns of a word hash and six counts; the counts, mostly small, byte by byte."""
+    counts = np.ascontiguousarray(sums[1:]).astype("<i8").view(np.uint8).reshape(6, -1, 8)
+    return np.array([sums.shape[1]], "<u8").tobytes() + sums[0].astype("<i8").tobytes() + zlib.compress(counts.transpose(0, 2, 1).tobytes(), 1)
+
+
+def _unpack_sums(raw: bytes) -> np.ndarray:
+    n = int(np.frombuffer(raw, "<u8", 1)[0])
+    counts = np.frombuffer(zlib.decompress(raw[8 + 8 * n :]), np.uint8).reshape(6, 8, n)
+    return np.concatenate([np.frombuffer(raw, "<i8", n, 8)[None], np.ascontiguousarray(counts.transpose(0, 2, 1)).view("<i8")[:, :, 0]])
+
+
+def _summed(held: list[np.ndarray]) -> np.ndarray:
+    """One column for each word, in the order of the unsigned hashes; empties the list."""
+    every = np.concatenate(held, axis=1)
+    held.clear()
+    every = every[:, np.argsort(every[0].view(np.uint64), kind="stable")]
+    first = np.flatnonzero(np.concatenate([[True], every[0, 1:] != every[0, :-1]]))
+    out = np.add.reduceat(every, first, axis=1)
+    out[0] = every[0, first]
+    return out
 
 
 def _save(uri: str, arrays: list[np.ndarray]) -> None:
@@ -246,6 +264,9 @@ def train(docs: DataFrame) -> Model:
     shards = max(1, -(-size // SHARD_BYTES))
     groups = -(-shards // FAN)
     shards = groups * -(-shards // groups)  # each group has as many
+    word_shards = -(-shards // PAIRS_A_WORD)
+    word_groups = -(-word_shards // FAN)
+    word_shards = word_groups * -(-word_shards // word_groups)
     folder = new_folder(spark, "ngrams")
 
     def count(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -262,8 +283,9 @@ def train(docs: DataFrame) -> Model:
 
     def dealt(us: list, vs: list, number: int, ns: list | None = None) -> Iterator[pd.DataFrame]:
         """Distinct pairs of what the lists hold, by shard (or group of shards); the lists are emptied."""
-        for s, raw in _blocks(*_counted(us, vs, ns), number):
-            yield pd.DataFrame({"shard": [s], "raw": [raw]})
+        u, v, n = _counted(us, vs, ns)
+        for s, part in _cuts(pair_hash(u, v), number):
+            yield pd.DataFrame({"shard": [s], "raw": [_pack(u[part], v[part], n[part])]})
 
     def deal_again(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """A group's pairs, a chunk at a time, to its shards."""
@@ -307,58 +329,64 @@ def train(docs: DataFrame) -> Model:
         words, at = np.unique(np.concatenate([u, v]), return_inverse=True)
         first, second, k = at[: len(u)], at[len(u) :], len(words)
         total = lambda of, x: np.bincount(of, weights=x, minlength=k).astype(np.int64)  # noqa: E731  exact below 2**53
-        sums = {"before": np.bincount(second, minlength=k), "count": total(second, n), "m1": total(first, n == 1), "m2": total(first, n == 2), "m3": total(first, n >= 3), "starts": total(first, np.where(u == START, n, 0))}
-        times = [int((n == x).sum()) for x in (1, 2, 3, 4)]
-        yield pd.DataFrame({"word": [0], "before": [times[0]], "count": [times[1]], "m1": [times[2]], "m2": [times[3]], "m3": [int(n.sum())], "starts": [0], "total": [True]})
-        for a in range(0, k, 100_000):
-            yield pd.DataFrame({"word": words[a : a + 100_000].view(np.int64)} | {c: x[a : a + 100_000] for c, x in sums.items()} | {"total": False})
+        sums = np.stack([words.view(np.int64), np.bincount(second, minlength=k), total(second, n), total(first, n == 1), total(first, n == 2), total(first, n >= 3), total(first, np.where(u == START, n, 0))])
+        yield pd.DataFrame({"shard": [-1], "raw": [b""], "tokens": [int(n.sum())]} | {f"n{x}": [int((n == x).sum())] for x in (1, 2, 3, 4)})
+        for frame in dealt_sums(sums, word_groups if word_groups > 1 else word_shards):
+            yield frame.assign(tokens=0, n1=0, n2=0, n3=0, n4=0)
+
+    def dealt_sums(sums: np.ndarray, number: int) -> Iterator[pd.DataFrame]:
+        for s, part in _cuts(sums[0].view(np.uint64), number):
+            yield pd.DataFrame({"shard": [s], "raw": [_pack_sums(sums[:, part])]})
+
+    def deal_sums_again(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """A group's sums, a chunk at a time, to its shards."""
+        held, pending = [], 0
+        for pdf in parts:
+            for raw in pdf["raw"]:
+                held.append(_unpack_sums(raw))
+                pending += held[-1].shape[1]
+                if pending >= CHUNK // 2:
+                    yield from dealt_sums(_summed(held), word_shards)
+                    pending = 0
+        if held:
+            yield from dealt_sums(_summed(held), word_shards)
 
-    block, by_word = "shard int, raw binary", "word long, before long, count long, m1 long, m2 long, m3 long, starts long, total boolean"
+    block = "shard int, raw binary"
+    by_word = f"{block}, tokens long, n1 long, n2 long, n3 long, n4 long"
     pairs = texts.mapInPandas(lean(count), block)
     if groups > 1:
         pairs = pairs.repartitionById(groups, F.col("shard")).mapInPandas(lean(deal_again), block)
-    anchors = spark.range(shards).select(F.col("id").cast("int").alias("shard"), F.lit(None).cast("binary").alias("raw"))  # no shard without a file
-    sums, _ = materialize(pairs.union(anchors).repartitionById(shards, F.col("shard")).mapInPandas(lean(merge_pairs), by_word), "word-sums")
-    n1, n2, n3, n4, tokens = sums.where("total").agg(*(F.sum(c) for c in ("before", "count", "m1", "m2", "m3"))).first()
+    anchors = lambda n: spark.range(n).select(F.col("id").cast("int").alias("shard"), F.lit(None).cast("binary").alias("raw"))  # noqa: E731  no shard without a file
+    sums, _ = materialize(pairs.union(anchors(shards)).repartitionById(shards, F.col("shard")).mapInPandas(lean(merge_pairs), by_word), "word-sums")
+    n1, n2, n3, n4, tokens = sums.agg(*(F.sum(c) for c in ("n1", "n2", "n3", "n4", "tokens"))).first()
     if not tokens:
         return Model(folder, 0)
     discounts = _discounts([n1, n2, n3, n4])
-    word_shards = max(1, -(-sums.count() // WORD_ROWS))
 
     def store_words(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Sums of a range of words, held merged; a partition is one shard."""
         held, pending, shard = [], 0, None
         for pdf in parts:
-            shard = int(pdf["shard"].iloc[0])
-            own = pdf[~pdf["total"]]
-            if len(own):
-                held.append(np.stack([own[c].to_numpy(dtype=np.int64) for c in ("word", "before", "count", "m1", "m2", "m3", "starts")]))
-                pending += len(own)
+            for shard, raw in zip(pdf["shard"].tolist(), pdf["raw"]):
+                if raw is None:
+                    continue
+                held.append(_unpack_sums(raw))
+                pending += held[-1].shape[1]
                 if pending > max(1 << 18, held[0].shape[1]):
-                    held, pending = [summed(held)], 0
+                    held, pending = [_summed(held)], 0
         if shard is None:
             return
-        words, before, count, m1, m2, m3, starts = summed(held) if held else np.zeros((7, 0), dtype=np.int64)
+        words, before, count, m1, m2, m3, starts = _summed(held) if held else np.zeros((7, 0), dtype=np.int64)
         total = count + starts
         followed = m1 + m2 + m3 > 0
         backoff = np.where(followed, np.minimum((discounts[0] * m1 + discounts[1] * m2 + discounts[2] * m3) / np.maximum(total, 1), 1.0), 1.0)
         _save(f"{folder}/words-{shard:07d}", [words.view(np.uint64), total.astype("<u8"), before.astype("<u8"), backoff.astype("<f4")])
         yield pd.DataFrame({"distinct": [int((count > 0).sum())], "pairs": [int(before.sum())]} | {f"m{k}": [int((before == k).sum())] for k in (1, 2, 3, 4)})
 
-    def summed(held: list[np.ndarray]) -> np.ndarray:
-        """One column for each word, in the order of the unsigned hashes."""
-        every = np.concatenate(held, axis=1)
-        order = np.argsort(every[0].view(np.uint64), kind="stable")
-        every = every[:, order]
-        first = np.flatnonzero(np.concatenate([[True], every[0, 1:] != every[0, :-1]]))
-        out = np.add.reduceat(every, first, axis=1)
-        out[0] = every[0, first]
-        return out
-
-    # the range of the unsigned hash, as shard_of has it
-    word_shard = F.shiftright(F.shiftrightunsigned("word", 32) * word_shards, 32).cast("int").alias("shard")
-    dealt_words = sums.where("not total").select(word_shard, "*").union(spark.range(word_shards).select(F.col("id").cast("int"), *(F.lit(0).cast("long") for _ in range(7)), F.lit(True)))
-    words = dealt_words.repartitionById(word_shards, F.col("shard")).mapInPandas(lean(store_words), "distinct long, pairs long, m1 long, m2 long, m3 long, m4 long")
+    by_range = sums.where("shard >= 0").select("shard", "raw")
+    if word_groups > 1:
+        by_range = by_range.repartitionById(word_groups, F.col("shard")).mapInPandas(lean(deal_sums_again), block)
+    words = by_range.union(anchors(word_shards)).repartitionById(word_shards, F.col("shard")).mapInPandas(lean(store_words), "distinct long, pairs long, m1 long, m2 long, m3 long, m4 long")
     done, _ = materialize(words, "word-totals")
     m = done.agg(*(F.sum(c).alias(c) for c in ("distinct", "pairs", "m1", "m2", "m3", "m4"))).first()
     low = _discounts([m.m1, m.m2, m.m3, m.m4])
