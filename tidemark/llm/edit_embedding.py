@@ -15,8 +15,8 @@ Walks run side by side for a batch of texts, one vector operation a step; once o
 left, each is walked alone.
 
 Near copies come by banding: each band is a fixed sample of bits, two fingerprints that agree in one are verified
-over all bits. A band has two bits more than the count of fingerprints needs to keep chance meetings rare at any
-size, and there are as many bands as give a pair that is just like enough the chance ``FOUND``. Fingerprints are
+over all bits. A band has as many bits as keep chance meetings rare whatever the number of fingerprints, and there
+are as many bands as give a pair that is just like enough the chance ``FOUND``. Fingerprints are
 classes, so copies are one row; each band's key links its fingerprints to the first of them, and of the other pairs
 only those across the groups found so far are compared.
 """
@@ -44,7 +44,11 @@ BATCH_CHARS, ALONE = 8 << 20, 24
 #: Steps after which the shared random bits repeat.
 PERIOD = 4096
 #: Least likeness of near copies, and the chance to find a pair of just that likeness.
-LIKENESS, FOUND = 0.8, 0.95
+LIKENESS, FOUND = 0.8, 0.9
+#: Bits of information in a sampled bit (texts share frequent characters), and binary logarithm of the fingerprints for each chance meeting in a band.
+INFORMATION, RARE = 0.86, 4
+#: Level at which texts are packed to be shuffled.
+PACKED = 9
 
 
 class Walker:
@@ -183,7 +187,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
 def bands(count: int, least: float = LIKENESS, found: float = FOUND) -> np.ndarray:
     """For ``count`` fingerprints a row of ``BITS`` bits for each band, as 64-bit words."""
-    size = min(BITS, max(12, math.ceil(math.log2(max(count, 1))) + 2))
+    size = min(BITS, math.ceil((math.log2(max(count, 64)) - 1 + RARE) / INFORMATION))
     agree = (1 - (1 - least) / 2) ** size
     number = max(1, math.ceil(math.log(1 - found) / math.log1p(-agree))) if agree < 1 else 1
     rng = np.random.default_rng(SEED + 1)
@@ -237,7 +241,7 @@ def near_copies(members: DataFrame, least: float = LIKENESS) -> DataFrame:
 
 
 def _packed(texts: pd.Series) -> pd.Series:
-    return pd.Series([zstandard.compress(t.encode("utf-8", "surrogatepass"), 1) for t in texts], dtype=object)
+    return pd.Series([zstandard.compress(t.encode("utf-8", "surrogatepass"), PACKED) for t in texts], dtype=object)
 
 
 def _unpacked(raw: bytes) -> str:
@@ -297,14 +301,17 @@ def against_edits(docs: DataFrame) -> DataFrame:
     rows = with_next(docs, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: tuple | None = None
+        held: list[tuple] = []
+        size = 0
         for pdf in parts:
-            new = list(zip(pdf["doc_id"].astype("Int64"), map(_unpacked, pdf["packed"]), pdf["halo"]))
-            row = [held, *new] if held is not None else new
-            texts = [x[1] for x in row]
-            for a, b in _chunks(texts[:-1], BATCH_CHARS // 2):
-                yield compare(row[a:b], texts[a : b + 1])
-            held = row[-1]
+            for doc_id, packed, halo in zip(pdf["doc_id"].astype("Int64"), pdf["packed"], pdf["halo"]):
+                held.append((doc_id, _unpacked(packed), halo))
+                size += len(held[-1][1])
+                if size >= BATCH_CHARS // 4 and len(held) > 1:
+                    yield compare(held[:-1], [x[1] for x in held])
+                    held, size = held[-1:], len(held[-1][1])
+        if len(held) > 1:
+            yield compare(held[:-1], [x[1] for x in held])
 
     def compare(own: list[tuple], texts: list[str]) -> pd.DataFrame:
         keep = [i for i, x in enumerate(own) if x[2] == 0]
