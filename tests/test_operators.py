@@ -101,3 +101,18 @@ def test_conflicts(spark):
 def test_queue_options():
     with pytest.raises(StoreError):
         queue.check_options("x" * 49, 1, 0, 1)
+
+
+def test_outcomes_of_a_hot_key_run_in_chunks(spark, monkeypatch):
+    """A key with nearly all operations: chunk by chunk, as one by one."""
+    monkeypatch.setattr(mutate, "CHUNK", 16)
+    rng = random.Random(7)
+    ops = [(i, rng.choice(mutate.OPS), "hot" if i % 9 else rng.choice("abc")) for i in range(400)]
+    base = {"hot", "a"}
+    want, there = {}, set(base)
+    for i, op, k in ops:
+        want[i] = {"upsert": True, "insert_unique": k not in there, "update_only": k in there, "erase": k in there}[op]
+        there = there - {k} if op == "erase" else there | {k} if op in ("upsert", "insert_unique") else there
+    df = spark.createDataFrame(ops, "seq long, op string, k string")
+    got = mutate.outcomes(spark.createDataFrame([(k,) for k in base], "k string"), df, "k")
+    assert {r.seq: r.done for r in got.collect()} == want and got.columns == ["k", "seq", "op", "done"] or set(got.columns) == {"k", "seq", "op", "done"}

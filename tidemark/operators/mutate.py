@@ -133,15 +133,20 @@ def outcomes(base: DataFrame, ops: DataFrame, key: str, seq: str = "seq", op: st
     """``ops`` with ``done``: whether each operation of an ordered batch takes effect.
 
     Whether a key is there before an operation follows from running maxima: the last upsert or erase before it
-    decides, unless an insert came later still.
+    decides, unless an insert came later still. Maxima run within chunks of ``CHUNK`` sequence numbers and, a row for
+    each, over a key's chunks, so no task sorts all operations of a hot key.
     """
-    run = Window.partitionBy(key).orderBy(seq).rowsBetween(Window.unboundedPreceding, -1)
-    last_of = lambda *kinds: F.max(F.when(F.col(op).isin(*kinds), F.col(seq))).over(run)
-    joined = ops.join(base.select(key, F.lit(True).alias("_there")), key, "left")
-    joined = joined.withColumns({"_fixed": last_of("upsert", "erase"), "_up": last_of("upsert"), "_in": last_of("insert_unique")})
+    kinds = {"_fixed": ("upsert", "erase"), "_up": ("upsert",), "_in": ("insert_unique",)}
+    at = {c: F.when(F.col(op).isin(*of), F.col(seq)) for c, of in kinds.items()}
+    ops = ops.withColumn("_chunk", F.floor(F.col(seq) / CHUNK))
+    run = lambda *by: Window.partitionBy(*by[:-1]).orderBy(by[-1]).rowsBetween(Window.unboundedPreceding, -1)
+    chunks = ops.groupBy(key, "_chunk").agg(*(F.max(x).alias(c) for c, x in at.items()))
+    before = chunks.select(key, "_chunk", *(F.max(c).over(run(key, "_chunk")).alias(f"_b{c}") for c in kinds))
+    joined = ops.join(before, [key, "_chunk"], "left").join(base.select(key, F.lit(True).alias("_there")), key, "left")
+    joined = joined.withColumns({c: F.greatest(F.col(f"_b{c}"), F.max(x).over(run(key, "_chunk", seq))) for c, x in at.items()})
     there = F.when(F.col("_fixed").isNull(), F.coalesce("_there", F.lit(False)) | F.col("_in").isNotNull()).otherwise((F.col("_fixed") == F.coalesce("_up", F.lit(-1))) | (F.coalesce("_in", F.lit(-1)) > F.col("_fixed")))
     done = F.when(F.col(op) == "upsert", True).when(F.col(op) == "insert_unique", ~there).otherwise(there)
-    return joined.withColumn("done", done).drop("_there", "_fixed", "_up", "_in")
+    return joined.withColumn("done", done).drop("_there", "_chunk", *kinds, *(f"_b{c}" for c in kinds))
 
 
 def layered_fold(layers: DataFrame, key: str, layer: str, seq: str, outcome: str) -> DataFrame:

@@ -32,6 +32,23 @@ def file_digests(spark: SparkSession, root: str, paths: list[str], sync: bool =
     return _over_files(spark, paths).mapInPandas(run, "path string, digest string")
 
 
+def measure(spark: SparkSession, root: str, paths: list[str], sync: bool) -> DataFrame:
+    """``(path, n, lo, hi, bytes, digest)`` of sorted files, in one pass; with ``sync`` they are on disk afterwards."""
+    from tidemark.plans.store import digest_of
+
+    def end(f: pq.ParquetFile, group: int, place: int) -> bytes:
+        return f.read_row_group(group, columns=["okey"]).column(0)[place].as_py()
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for path in (p for pdf in parts for p in pdf["path"]):
+            with pq.ParquetFile(f"{root}/{path}") as f:
+                n = f.metadata.num_rows
+                lo, hi = (end(f, 0, 0), end(f, f.metadata.num_row_groups - 1, -1)) if n else (None, None)
+            yield pd.DataFrame({"path": [path], "n": [n], "lo": [lo], "hi": [hi], "bytes": [os.path.getsize(f"{root}/{path}")], "digest": [digest_of(f"{root}/{path}", sync)]})
+
+    return _over_files(spark, paths).mapInPandas(run, "path string, n long, lo binary, hi binary, bytes long, digest string")
+
+
 def key_order(spark: SparkSession, root: str, paths: list[str]) -> DataFrame:
     """``(path, n, lo, hi, bad)``: rows and bounds of each file, and how many keys are not above the one before them."""
 

@@ -257,18 +257,16 @@ class Store:
         return self._measured(folder)
 
     def _measured(self, folder: str) -> list[File]:
-        """Bounds and sizes of the files in a folder: one pass over keys, one row for each file."""
-        from tidemark.plans.inspect import file_digests
+        """Bounds, sizes and digests of the sorted files in a folder: one row for each file."""
+        from tidemark.plans.inspect import measure
 
-        written = self.spark.read.schema(ENTRY).parquet(f"{self.path}/{folder}")
-        stats = written.groupBy(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("name")).agg(F.min("okey").alias("lo"), F.max("okey").alias("hi"), F.count(F.lit(1)).alias("n")).collect()
+        names = [n for n in os.listdir(f"{self.path}/{folder}") if n.endswith(".parquet")]
         safe = self.options.sync in (SAFE, NO_META_SYNC)  # files are on disk before a manifest names them
-        digests = {r.path: r.digest for r in file_digests(self.spark, self.path, [f"{folder}/{r.name}" for r in stats], safe).collect()}
+        found = measure(self.spark, self.path, [f"{folder}/{n}" for n in names], safe).where("n > 0").collect()
         if safe:
             mf.sync_folder(f"{self.path}/{folder}")
             mf.sync_folder(f"{self.path}/data")
-        files = [File(p := f"{folder}/{r.name}", bytes(r.lo).hex(), bytes(r.hi).hex(), r.n, os.path.getsize(f"{self.path}/{p}"), digests[p]) for r in stats]
-        return sorted(files, key=lambda f: f.bounds)
+        return sorted((File(r.path, bytes(r.lo).hex(), bytes(r.hi).hex(), r.n, r.bytes, r.digest) for r in found), key=lambda f: f.bounds)
 
     # --- housekeeping -------------------------------------------------------------------------------------------------
     def pins(self) -> dict[int, int]:
