@@ -182,6 +182,33 @@ def test_bpe_on_all_characters(reference):
     assert e.encode(texts) == want
 
 
+def test_bpe_refuses_what_it_does_not_do():
+    import json
+
+    raw = bpe.read_vocabulary(bpe.vocabulary_path())
+    for change in (
+        lambda s: s.update(normalizer={"type": "NFC"}),
+        lambda s: s["pre_tokenizer"].update(add_prefix_space=True),
+        lambda s: s["model"].update(ignore_merges=True),
+        lambda s: s["model"].update(end_of_word_suffix="</w>"),
+        lambda s: s["added_tokens"][0].update(lstrip=True),
+        lambda s: s.update(decoder=None),
+    ):
+        spec = json.loads(raw)
+        change(spec)
+        with pytest.raises(ValueError):
+            bpe.Vocabulary(json.dumps(spec).encode())
+
+
+def test_bpe_memo_starts_anew(monkeypatch, reference):
+    monkeypatch.setattr(bpe, "MEMO", 5)
+    e = bpe.Encoder(bpe.Vocabulary(bpe.read_vocabulary(bpe.vocabulary_path())))
+    for k in range(8):
+        texts = [prose(10 * k + i, 12) for i in range(4)]
+        want = [np.array(x.ids, "<u4").tobytes() for x in reference.encode_batch(texts, add_special_tokens=False)]
+        assert e.encode(texts) == want == e.encode(texts)
+
+
 # --- op 3 -----------------------------------------------------------------------------------------------------------
 def test_quality_separates_held_out(spark):
     rows, labels = [], []

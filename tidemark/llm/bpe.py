@@ -46,11 +46,25 @@ def _byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def refuse_others(spec: dict) -> None:
+    """ValueError for a vocabulary file that asks for anything this module does not do."""
+    model, splitter = spec["model"], spec.get("pre_tokenizer") or {}
+    wrong = [x for x in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges") if model.get(x)]
+    wrong += ["model"] if model.get("type", "BPE") != "BPE" else []
+    wrong += ["normalizer"] if spec.get("normalizer") else []
+    wrong += ["pre_tokenizer"] if splitter.get("type") != "ByteLevel" or splitter.get("add_prefix_space") or not splitter.get("use_regex", True) else []
+    wrong += ["decoder"] if (spec.get("decoder") or {}).get("type") != "ByteLevel" else []
+    wrong += [f"added token with {x}" for x in ("single_word", "lstrip", "rstrip") if any(t.get(x) for t in spec.get("added_tokens", []))]
+    if wrong:
+        raise ValueError(f"vocabulary file with unsupported {', '.join(wrong)}")
+
+
 class Vocabulary:
-    """Parsed vocabulary file of the tokenizers library (byte-level BPE without normalizer)."""
+    """Parsed vocabulary file of the tokenizers library (byte-level BPE without normalizer); ValueError for any other."""
 
     def __init__(self, raw: bytes):
         spec = json.loads(raw)
+        refuse_others(spec)
         model, letters = spec["model"], _byte_letters()
         vocab = model["vocab"]
         self.added = {x["content"]: x["id"] for x in spec.get("added_tokens", [])}
