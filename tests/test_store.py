@@ -270,3 +270,19 @@ def test_reader_lag_is_told_at_commit(spark, tmp_path):
             t.put(b"a", b"2")
         assert told == [(snap.id, s.version)]
         snap.close()
+
+
+def test_lazy_commits_become_durable_in_the_background(spark, tmp_path):
+    import time
+
+    s = Store.open(spark, str(tmp_path / "s"), sync="lazy", sync_interval=1e9, background_sync=True)
+    s.options.sync_interval = 1.5
+    with s.write() as t:
+        t.put(b"a", b"1")
+    s._synced_at = time.monotonic()
+    assert manifest.versions(s.path) == [0] or manifest.versions(s.path) == [0, 1]
+    end = time.time() + 20
+    while manifest.versions(s.path) == [0] and time.time() < end:
+        time.sleep(0.1)
+    assert Store.open(spark, s.path).snapshot().get(b"a") == b"1"
+    s.close()

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import os
+import shutil
 from collections.abc import Iterator
 from itertools import accumulate
 
 import pandas as pd
 import pyarrow.parquet as pq
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,6 +34,21 @@ def file_digests(spark: SparkSession, root: str, paths: list[str], sync: bool =
     return _over_files(spark, paths).mapInPandas(run, "path string, digest string")
 
 
+def copy_files(spark: SparkSession, src: str, dst: str, paths: list[str]) -> None:
+    """Copy files below one folder to the same places below another, by the executors; a repeated task replaces its copies."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for path in (p for pdf in parts for p in pdf["path"]):
+            tmp = f"{dst}/{path}.{TaskContext.get().taskAttemptId()}.tmp"
+            os.makedirs(os.path.dirname(tmp), exist_ok=True)
+            shutil.copyfile(f"{src}/{path}", tmp)
+            os.replace(tmp, f"{dst}/{path}")
+            yield pd.DataFrame({"path": [path]})
+
+    if paths:
+        _over_files(spark, paths).mapInPandas(run, "path string").count()
+
+
 def measure(spark: SparkSession, root: str, paths: list[str], sync: bool) -> DataFrame:
     """``(path, n, lo, hi, bytes, digest)`` of sorted files, in one pass; with ``sync`` they are on disk afterwards."""
     from tidemark.plans.store import digest_of

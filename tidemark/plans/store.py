@@ -51,6 +51,7 @@ class Options:
     max_size: int | None = None
     sync: str = SAFE
     sync_interval: float = 1.0
+    background_sync: bool = False
     rows_per_file: int = 1_000_000
     retain: int = 16
     busy_timeout: float | None = None
@@ -69,6 +70,8 @@ class Store:
         self._synced_at = time.monotonic()
         self._verified: set[str] = set()
         self._lock = threading.Lock()
+        self._syncing = threading.RLock()
+        self._timer: threading.Timer | None = None
         self.closed = False
 
     @classmethod
@@ -217,12 +220,17 @@ class Store:
         if self.options.max_size is not None and sum(t.bytes for t in m.all_trees().values()) > self.options.max_size:
             raise StoreError(Code.MAP_FULL)
         if self.options.sync in (LAZY, NONE):
-            if self._unsynced is not None:  # versions that are never written: the next one answers for them
-                m.wrote = None if m.wrote is None or self._unsynced.wrote is None else self._unsynced.wrote + m.wrote
-                m.logs = self._unsynced.logs + m.logs
-            self._unsynced = self._manifest = m.sealed()
-            if self.options.sync == LAZY and time.monotonic() - self._synced_at >= self.options.sync_interval:
-                self.sync()
+            with self._syncing:
+                if self._unsynced is not None:  # versions that are never written: the next one answers for them
+                    m.wrote = None if m.wrote is None or self._unsynced.wrote is None else self._unsynced.wrote + m.wrote
+                    m.logs = self._unsynced.logs + m.logs
+                self._unsynced = self._manifest = m.sealed()
+                if self.options.sync == LAZY and time.monotonic() - self._synced_at >= self.options.sync_interval:
+                    self.sync()
+                elif self.options.sync == LAZY and self.options.background_sync and self._timer is None:
+                    self._timer = threading.Timer(self.options.sync_interval, self.sync)
+                    self._timer.daemon = True
+                    self._timer.start()
             return
         mf.publish(self.path, m)
         self._manifest = m
@@ -230,11 +238,18 @@ class Store:
             self.options.on_reader_lag(min(pinned), m.version)
 
     def sync(self) -> None:
-        """Make commits that wait (LAZY, NONE) durable; several become one version of the chain."""
-        if self._unsynced is not None:
-            m, self._unsynced = self._unsynced, None
-            mf.publish(self.path, m)
-        self._synced_at = time.monotonic()
+        """Make commits that wait (LAZY, NONE) durable; several become one version of the chain.
+
+        With ``background_sync`` a LAZY commit is made durable after the interval even if no other follows.
+        """
+        with self._syncing:
+            if self._timer is not None:
+                self._timer.cancel()
+                self._timer = None
+            if self._unsynced is not None:
+                m, self._unsynced = self._unsynced, None
+                mf.publish(self.path, m)
+            self._synced_at = time.monotonic()
 
     # --- files ------------------------------------------------------------------------------------------------------
     def write_files(self, df: DataFrame, entries: int | None = None, stretches: list[bytes] | None = None) -> list[File]:
@@ -335,10 +350,10 @@ class Store:
         """Files and manifest of a read snapshot, same checkpoint; the destination must be new."""
         if os.path.exists(path):
             raise StoreError(Code.KEY_EXISTS, path)
-        for p in sorted(snap.manifest.paths()):
-            os.makedirs(os.path.dirname(f"{path}/{p}"), exist_ok=True)
-            shutil.copyfile(f"{self.path}/{p}", f"{path}/{p}")
+        from tidemark.plans.inspect import copy_files
+
         os.makedirs(f"{path}/data", exist_ok=True)
+        copy_files(self.spark, self.path, path, sorted(snap.manifest.paths()))
         os.makedirs(f"{path}/manifests", exist_ok=True)
         shutil.copyfile(mf._name(self.path, snap.manifest.version), mf._name(path, snap.manifest.version))
 
