@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 from tidemark import catalogue as tables
 from tidemark import cli
 from tidemark.errors import StoreError
-from tidemark.functions.order import REVERSE, U64, big_endian, composite, integer_of, little_endian, text_part
+from tidemark.functions.order import REVERSE, U64, big_endian, composite, integer_of, little_endian, separator_of, text_part
+from tidemark.functions.text import human
 from tidemark.plans import inspect, replicate
 from tidemark.plans.indexed import Indexed
 from tidemark.plans.mq import MessageQueue
@@ -546,3 +547,137 @@ def cli_dump(spark, t, folder):
         assert cli.run(spark, ["dump", store.path, "-p", "Customer#0000001"]) == cli.FINE
         assert cli.run(spark, ["check", store.path]) == cli.FINE
     return spark.createDataFrame([(x,) for x in printed.getvalue().splitlines()[:-1]], "line string")
+
+
+# --- queue and transactions together, limits of waiting -----------------------------------------------------------------------------
+@query("SELECT page_id, md5(html) AS digest, strlen(html) >= 2000 AS outside FROM pages")
+def mq_large_bodies(spark, t, folder):
+    """Pages as messages: bodies of 2000 bytes and more lie in an archive; all are whole."""
+    store = Store.open(spark, f"{folder}/s")
+    blobs = BlobStorage(store, f"{folder}/a.tar")
+    mq = MessageQueue(store, "texts", blobs=blobs, blob_threshold=2000)
+    rows = t("pages").select("page_id", _bytes(F.col("html")).alias("body")).orderBy("page_id").collect()  # bodies are sent from here
+    mq.send_many([bytes(r.body) for r in rows])
+    assert blobs.index().count() == sum(len(r.body) >= 2000 for r in rows)
+    state = mq.state(store.snapshot()).select("seq", "body", "blob_key")
+    kept = state.join(blobs.index().select(F.decode("key", "UTF-8").alias("blob_key"), "offset", "size"), "blob_key", "left")
+    payloads = tar.members(spark, blobs.archive).select("offset", "payload")
+    whole = kept.join(payloads, "offset", "left").select("seq", F.md5(F.coalesce("body", "payload")).alias("digest"), F.col("blob_key").isNotNull().alias("outside"))
+    ids = spark.createDataFrame([(k, r.page_id) for k, r in enumerate(rows, 1)], "seq long, page_id long")
+    return ids.join(whole, "seq").select("page_id", "digest", "outside")
+
+
+@query("SELECT 'done' AS what, count(*) AS n FROM (SELECT 1 FROM labels LIMIT 30) UNION ALL SELECT 'left', greatest(count(*) - 30, 0) FROM labels UNION ALL SELECT 'refused', 1 UNION ALL SELECT 'empty', 0")
+def mq_in_transactions(spark, t, folder):
+    """Settling shares a commit with the work; a stale receipt drops both; an empty queue makes no version."""
+    store = Store.open(spark, f"{folder}/s")
+    mq = MessageQueue(store, "labels")
+    mq.send(t("labels").select("doc_id", _bytes(F.col("doc_id")).alias("body"), F.lit(None).cast("string").alias("correlation_id"), F.lit(None).cast("string").alias("blob_key")), ["doc_id"])
+    got = mq.receive(30)
+    with store.write() as w:
+        w.stage(w._ops([("upsert", b"done:" + m.body, b"") for m in got]))
+        mq.ack([m.receipt for m in got], w)
+    refused = 0
+    try:
+        with store.write() as w:
+            w.put(b"done:never", b"")
+            mq.ack([got[0].receipt], w)
+    except StoreError:
+        refused = 1
+    with store.read() as s:
+        done = s.prefix(b"done:").count()
+    other = MessageQueue(store, "empty")
+    before = store.version
+    assert other.receive(5) == [] and other.wait(0.05) == [] and other.sweep() == 0
+    return spark.createDataFrame([("done", done), ("left", mq.counts()["ready"]), ("refused", refused), ("empty", store.version - before)], "what string, n long")
+
+
+@query("SELECT 'Busy' AS said, count(*) AS entries FROM orders UNION ALL SELECT 'ReadOnly', count(*) FROM orders UNION ALL SELECT 'NotFound', count(*) FROM orders UNION ALL SELECT 'KeyExists', count(*) FROM orders UNION ALL SELECT 'MapFull', count(*) FROM orders")
+def store_refusals(spark, t, folder):
+    """What each attempt that must fail says, and the entries that are there after it."""
+    store = _loaded(spark, t, folder)
+    reader = Store.open(spark, store.path, read_only=True)
+    small = Store.open(spark, store.path, max_size=10)
+
+    def busy():
+        with store.writer(), Store.open(spark, store.path).write(timeout=0.05):
+            pass
+
+    def write_to(s):
+        with s.write() as w:
+            w.put(b"other", b"x")
+
+    def reserve():
+        with store.write() as w:
+            w.reserve(_key(t("orders").agg(F.min("o_orderkey")).first()[0]), b"x", mode="insert_unique")
+
+    out = []
+    for attempt in (busy, lambda: write_to(reader), lambda: store.snapshot().at(b"nothing"), reserve, lambda: write_to(small)):
+        try:
+            attempt()
+            said = "Ok"
+        except StoreError as e:
+            said = e.code.value
+        with Store.open(spark, store.path).read() as s:
+            out.append((said, s.count()))
+    return spark.createDataFrame(out, "said string, entries long")
+
+
+@query("""WITH n AS (SELECT event_type AS kind, event_id, count(*) OVER (PARTITION BY event_type) AS all_of FROM events)
+    SELECT kind, all_of::BIGINT AS entries, sum(event_id)::BIGINT AS ids FROM n GROUP BY 1, 2""")
+def store_concurrent(spark, t, folder):
+    """Writers of several threads, one for each kind of event: their commits follow each other, none is lost."""
+    import threading
+
+    store = Store.open(spark, f"{folder}/s", rows_per_file=ROWS)
+    kinds = sorted(r[0] for r in t("events").select("event_type").distinct().collect())
+
+    def load(kind):
+        with store.write() as w:
+            w.db(kind)
+            w.append(_entries(lambda n: t(n).where(F.col("event_type") == kind), "events", "event_id", F.col("event_type")), kind)
+
+    seen = store.version
+    threads = [threading.Thread(target=load, args=(k,)) for k in kinds]
+    [x.start() for x in threads]
+    assert not kinds or store.wait_for_commit(seen, 120) > seen
+    [x.join() for x in threads]
+    assert store.version == len(kinds) and inspect.check(store) == []
+    s = store.snapshot()
+    out = [(k, s.count(k), s.entries(k).agg(F.sum(_number("key"))).first()[0]) for k in kinds]
+    return spark.createDataFrame(out, "kind string, entries long, ids long")
+
+
+@query("""WITH s AS (SELECT c_name AS b, lag(c_name) OVER (ORDER BY c_name) AS a FROM customer),
+    c AS (SELECT a, b, (SELECT min(i) FROM range(1, 40) AS r(i) WHERE substr(a, i, 1) <> substr(b, i, 1)) AS i FROM s WHERE a IS NOT NULL)
+    SELECT b AS key, substr(b, 1, i) AS separator FROM c""")
+def store_separators(spark, t, folder):
+    """The shortest bytes between each key and the one before it."""
+    store = Store.open(spark, f"{folder}/s", rows_per_file=ROWS)
+    with store.write() as w:
+        w.append(t("customer").select(F.col("c_custkey").alias("seq"), _bytes(F.col("c_name")).alias("key"), F.encode(F.lit(""), "UTF-8").alias("value")))
+    from tidemark.operators.position import neighbours
+
+    rows = neighbours(store.snapshot().entries(None).select("key"), "key").where("prev is not null")
+    return rows.select(F.decode("key", "UTF-8").alias("key"), F.decode(separator_of(F.col("prev"), F.col("key")), "UTF-8").alias("separator"))
+
+
+@query("SELECT 3 AS versions, count(*) AS entries, count(*) FILTER (WHERE o_orderstatus = 'P') AS retired, 1 AS readers, true AS listed FROM orders")
+def store_stats(spark, t, folder):
+    """Figures of a store with a reader on an old version: what is kept, pinned and free."""
+    store = _loaded(spark, t, folder)
+    old = store.snapshot()
+    with store.write() as w:
+        w.stage(_upsert(_new_status(t)))
+    stats, free = inspect.stats(store), inspect.free_list(store)
+    assert stats["reader_lag"] == 1 and free.isEmpty() and inspect.readers(store).collect()[0].readers == 1
+    retired = old.entries(None).exceptAll(store.snapshot().entries(None)).count()
+    names = {r.path for r in inspect.files(store).select("path").collect()}
+    digests = {r.path: r.digest for r in inspect.file_digests(spark, store.path, sorted(names)).collect()}
+    listed = all(digests[f.path] == f.digest for f in store.manifest.main.files) and inspect.file_map(store).agg(F.sum("n")).first()[0] == len(names)
+    return spark.createDataFrame([(stats["versions"], stats["entries"], retired, stats["readers"], listed)], "versions int, entries long, retired long, readers int, listed boolean")
+
+
+@query("SELECT doc_id, CASE WHEN n < 1024 THEN concat(n, ' B') WHEN n < 1048576 THEN printf('%.1f KiB', n / 1024.0) ELSE printf('%.1f MiB', n / 1048576.0) END AS size FROM (SELECT doc_id, strlen(text) * 100 AS n FROM documents)")
+def human_sizes(spark, t, folder):
+    return t("documents").select("doc_id", human(F.octet_length("text") * 100).alias("size"))

@@ -70,6 +70,12 @@ def separator(a: bytes, b: bytes) -> bytes:
     return b[: same + 1]
 
 
+def separator_of(a: Column, b: Column) -> Column:
+    """:func:`separator` of BINARY columns."""
+    differs = F.filter(F.sequence(F.lit(1), F.octet_length(b)), lambda i: ~F.substring(a, i, F.lit(1)).eqNullSafe(F.substring(b, i, F.lit(1))))
+    return F.substring(b, F.lit(1), F.coalesce(F.array_min(differs), F.octet_length(b)))
+
+
 def check_key(key: bytes, order: str, width: int | None = None) -> None:
     """Raise what a write of this key raises."""
     if not key or len(key) > MAX_KEY:

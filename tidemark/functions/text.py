@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import StringType
 
 
 def is_printable(data: bytes) -> bool:
@@ -31,6 +34,12 @@ def human_bytes(n: float) -> str:
         n /= 1024
 
 
+@pandas_udf(StringType())
+def human(n: pd.Series) -> pd.Series:
+    """:func:`human_bytes` of a column."""
+    return n.map(human_bytes, na_action="ignore")
+
+
 def octal(n: Column, width: int = 11) -> Column:
     return F.lpad(F.conv(n.cast("string"), 10, 8), width, "0")
 
