@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.memory import lean
+from tidemark.llm.memory import lean, slices
 from tidemark.session import materialize, new_folder, open_shared
 
 #: Languages whose trigrams are held in memory at a time, and hashed trigrams.
@@ -34,8 +34,6 @@ BLOCK, BUCKETS = 64, 1 << 14
 TEMPER, PSEUDO, LEAN = 0.2, 0.5, 20.0
 #: A document is accepted with this posterior, unless uniform text explains its trigrams better by so many nats.
 MIN_POSTERIOR, MAX_LOSS = 0.5, 100.0
-#: Characters whose trigrams a task holds at a time, unless one text is longer.
-HELD_CHARS = 1 << 20
 
 _LANG = re.compile(r"<html[^>]*?\blang\s*=\s*[\"']?\s*([A-Za-z]{2,3})|http-equiv=[\"']content-language[\"'][^>]*content=[\"']([A-Za-z]{2,3})", re.I)
 _HIDDEN = re.compile(r"<(script|style)\b.*?</\1\s*>|<!--.*?-->", re.I | re.S)
@@ -81,18 +79,6 @@ def _read(pdf: pd.DataFrame) -> Iterator[tuple[np.ndarray, str | None]]:
         yield trigrams(visible_text(text) if markup else text), markup_language(text) if markup else declared
 
 
-def _slices(pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
-    """The batch in parts of about ``HELD_CHARS`` characters."""
-    start = size = 0
-    for i, text in enumerate(pdf["text"]):
-        size += len(text or "")
-        if size >= HELD_CHARS:
-            yield pdf.iloc[start : i + 1]
-            start, size = i + 1, 0
-    if start < len(pdf):
-        yield pdf.iloc[start:]
-
-
 def _count(rows: DataFrame) -> DataFrame:
     """``(lang, bucket, n)`` over all rows with a declared language, summed by each task first."""
 
@@ -167,7 +153,7 @@ def _text_scores(rows: DataFrame, model: TextModel) -> DataFrame:
     shared = rows.sparkSession.sparkContext.broadcast(model)
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in (own for part in parts for own in _slices(part)):
+        for pdf in (own for part in parts for own in slices(part)):
             got = list(_read(pdf))
             yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "page_id": pdf["page_id"].astype("Int64"), "h": pdf["h"], "host": pdf["host"], "declared": [x[1] for x in got], "n_trigrams": [len(x[0]) for x in got], "likelihoods": list(shared.value.likelihoods([x[0] for x in got]))})
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 from collections.abc import Callable, Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import SparkSession
 
@@ -20,6 +21,22 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(_CONF, str(BATCH_BYTES))
 
 
+#: Characters of text that a function holds the work of at a time, unless one text is longer.
+HELD_CHARS = 1 << 20
+
+
+def slices(pdf: pd.DataFrame, column: str = "text") -> Iterator[pd.DataFrame]:
+    """A batch in parts of about ``HELD_CHARS`` characters."""
+    start = size = 0
+    for i, text in enumerate(pdf[column]):
+        size += len(text or "")
+        if size >= HELD_CHARS:
+            yield pdf.iloc[start : i + 1]
+            start, size = i + 1, 0
+    if start < len(pdf):
+        yield pdf.iloc[start:]
+
+
 def give_back() -> None:
     """Return freed memory to the system: a reused worker may idle while others need it."""
     pa.default_memory_pool().release_unused()

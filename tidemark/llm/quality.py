@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import unicodedata
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from operator import eq
@@ -73,8 +74,9 @@ def features(texts: list[str]) -> np.ndarray:
         row[: PAIRS + TRIPLES] /= len(codes)
         words, lines = text.split(), text.split("\n")
         n = max(1, len(words))
-        hashed = np.fromiter((zlib.crc32(w.encode("utf-8", "surrogatepass")) % WORDS for w in text.lower().split()), dtype=np.int64)
-        row[PAIRS + TRIPLES : -EXTRA] = np.bincount(hashed, minlength=WORDS) * (WORD_WEIGHT**2 / n)
+        times = Counter(text.lower().split())
+        hashed = np.fromiter((zlib.crc32(w.encode("utf-8", "surrogatepass")) % WORDS for w in times), dtype=np.int64, count=len(times))
+        row[PAIRS + TRIPLES : -EXTRA] = np.bincount(hashed, weights=list(times.values()), minlength=WORDS) * (WORD_WEIGHT**2 / n)
         again = sum(map(eq, words, words[1:])) / n
         again2 = sum(map(eq, words, words[2:])) / n
         distinct = len(set(words)) / n

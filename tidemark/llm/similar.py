@@ -31,7 +31,7 @@ from xxhash import xxh3_64_intdigest, xxh64_intdigest
 
 from tidemark.llm import simhash
 from tidemark.llm.components import components
-from tidemark.llm.memory import lean
+from tidemark.llm.memory import lean, slices
 from tidemark.session import materialize, scratch
 
 #: Words of a shingle, and the least similarity as a fraction (numerator, denominator).
@@ -77,7 +77,7 @@ def _frequent(texts: DataFrame, words_each: int) -> tuple[np.ndarray, np.ndarray
     """Hashes that several texts of a sample have, sorted, and the binary logarithm of how many have each."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in parts:
+        for pdf in (own for part in parts for own in slices(part)):
             sets = [shingle_set(t, words_each) for t in pdf["text"]]
             yield pd.DataFrame({"token": np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64)})
 
@@ -109,7 +109,7 @@ def _classes(texts: DataFrame, words_each: int, share: tuple[int, int]) -> tuple
     shared = texts.sparkSession.sparkContext.broadcast(_frequent(texts, words_each))
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in parts:
+        for pdf in (own for part in parts for own in slices(part)):
             hashes = [shingle_hashes(t, words_each) for t in pdf["text"]]
             fps = np.array([simhash.of_hashes(x) for x in hashes], dtype=np.uint64).view(np.int64)
             sets = [np.unique(x) for x in hashes]
