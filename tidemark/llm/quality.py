@@ -26,13 +26,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from tidemark.llm.memory import lean
+from tidemark.llm.memory import give_back, lean
 
 #: Labelled rows that the classifier is fitted on, at most.
 SAMPLE = 3000
 DIMENSIONS, NEIGHBOURS, THRESHOLD = 48, 25, 0.3
-#: Power of the similarity that weights a vote.
-SHARPNESS = 8
+#: Power of the similarity that weights a vote, and documents whose cosines are computed at a time.
+SHARPNESS, BLOCK = 8, 256
 PAIRS, TRIPLES, WORDS, EXTRA = 1600, 2048, 1024, 6
 TERMS = PAIRS + TRIPLES + WORDS + EXTRA
 #: Weight of a word beside a run of characters.
@@ -122,11 +122,11 @@ class Model:
             return np.full(len(x), 0.5)
         latent = normal((x * self.idf - self.mean) @ self.axes)
         k, out = min(neighbours, len(self.labels)), np.zeros(len(x))
-        for at in range(0, len(x), 1024):
-            near = latent[at : at + 1024] @ self.vectors.T
+        for at in range(0, len(x), BLOCK):
+            near = latent[at : at + BLOCK] @ self.vectors.T
             best = np.argpartition(-near, k - 1, axis=1)[:, :k]
             weight = np.maximum(np.take_along_axis(near, best, axis=1), 1e-3).astype(np.float64) ** SHARPNESS
-            out[at : at + 1024] = (weight * self.labels[best]).sum(1) / weight.sum(1)
+            out[at : at + BLOCK] = (weight * self.labels[best]).sum(1) / weight.sum(1)
         return np.clip(out, 0.0, 1.0)
 
 
@@ -168,8 +168,9 @@ def scorer(spark, model: Model):
     @pandas_udf("double")
     def score(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in parts:
-            out = [shared.value.score(features([t or "" for t in texts.iloc[at : at + 1024]])) for at in range(0, len(texts), 1024)]
+            out = [shared.value.score(features([t or "" for t in texts.iloc[at : at + BLOCK]])) for at in range(0, len(texts), BLOCK)]
             yield pd.Series(np.concatenate(out) if out else np.zeros(0))
+        give_back()
 
     return score
 
