@@ -14,11 +14,11 @@ import shutil
 import threading
 import time
 import uuid
-from bisect import bisect_right
 from collections.abc import Callable, Iterable
 from contextlib import contextmanager
 from dataclasses import dataclass, field
 
+import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -806,11 +806,12 @@ class WriteTxn(View):
 
 
 def stretch_of(firsts: list[bytes]):
-    """A column function: number of the last of these keys (in order) that is not above a key, 0 if all are."""
+    """A column function: number of the last of these keys (a file's first each, in order) that is not above a key, 0 if all are."""
+    starts = np.array(firsts, dtype=object)
 
     @pandas_udf(IntegerType())
     def number(keys: pd.Series) -> pd.Series:
-        return pd.Series([max(bisect_right(firsts, bytes(k)) - 1, 0) for k in keys], dtype="int32")
+        return pd.Series(np.maximum(np.searchsorted(starts, keys.to_numpy(dtype=object), side="right") - 1, 0).astype(np.int32))
 
     return number
 
