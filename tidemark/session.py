@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import threading
 import uuid
 from collections.abc import Iterator
@@ -27,7 +28,7 @@ def shared_dir(spark: SparkSession) -> str:
     """URI of the shared folder."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
-        if not spark.sparkContext.master.startswith("local["):
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):  # local-cluster has executors of its own
             raise ValueError("name a folder that driver and executors share in spark.checkpoint.dir")
         base = UNSET_DIR
         spark.conf.set("spark.checkpoint.dir", base)
