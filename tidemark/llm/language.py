@@ -9,8 +9,8 @@ log-likelihoods are tempered, since neighbouring trigrams are not independent, a
 Two passes read the texts: one counts, one scores. All else works on a few numbers for each document. Tables by
 host and domain are aggregated before any shuffle, written to the shared folder and met by sort-merge joins,
 so a host with a third of all rows is split by Spark. All declared languages are told apart, however rare: their
-log-probabilities lie in the shared folder in blocks of ``BLOCK`` languages, of which the driver and a task hold
-one at a time. What is collected or broadcast has a few numbers for each language.
+log-probabilities lie in the shared folder in blocks of ``BLOCK`` languages, of which the driver holds one at a time
+and a worker ``HELD``. What is collected or broadcast has a few numbers for each language.
 """
 
 from __future__ import annotations
@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 from tidemark.llm.memory import lean, slices
 from tidemark.session import materialize, new_folder, open_shared
 
-#: Languages whose trigrams are held in memory at a time, and hashed trigrams.
-BLOCK, BUCKETS = 64, 1 << 14
+#: Languages of a block of trigram tables, hashed trigrams, and blocks (of 8 MB) that a worker holds.
+BLOCK, BUCKETS, HELD = 64, 1 << 14, 8
 #: Weight of a trigram's log-likelihood, pseudo-count of a trigram, rows by which a prior leans on the one above.
 TEMPER, PSEUDO, LEAN = 0.2, 0.5, 20.0
 #: A document is accepted with this posterior, unless uniform text explains its trigrams better by so many nats.
@@ -115,17 +115,20 @@ class TextModel:
 
     def __init__(self, languages: list[str], blocks: list[str]):
         self.languages, self.blocks = languages, blocks
-        self._held: tuple[str, np.ndarray] | None = None
+        self._held: dict[str, np.ndarray] = {}
 
     def __getstate__(self) -> dict:
-        return {"languages": self.languages, "blocks": self.blocks, "_held": None}
+        return {"languages": self.languages, "blocks": self.blocks, "_held": {}}
 
     def _logs(self, block: str) -> np.ndarray:
-        if self._held is None or self._held[0] != block:
-            self._held = None
-            with open_shared(block, "rb") as f:
-                self._held = block, np.frombuffer(f.read(), dtype="<f8").reshape(BUCKETS, -1)
-        return self._held[1]
+        """A block's table; the first ``HELD`` that were asked for stay, others are read each time."""
+        if block in self._held:
+            return self._held[block]
+        with open_shared(block, "rb") as f:
+            logs = np.frombuffer(f.read(), dtype="<f8").reshape(BUCKETS, -1)
+        if len(self._held) < HELD:
+            self._held[block] = logs
+        return logs
 
     def likelihoods(self, texts: list[np.ndarray]) -> np.ndarray:
         """A row for each text's trigrams, a column for each language."""
