@@ -318,6 +318,10 @@ class Store:
                 folder = os.path.dirname(f"{self.path}/{p}")
                 if not any(n.endswith(".parquet") for n in os.listdir(folder)):
                     shutil.rmtree(folder)
+            named = {folder for v in mf.versions(self.path) for _, folder, _ in mf.load(self.path, v).logs} | {folder for _, folder, _ in self._manifest.logs}
+            for name in os.listdir(f"{self.path}/logs") if os.path.isdir(f"{self.path}/logs") else []:
+                if f"logs/{name}" not in named:  # of a commit that did not get to publish
+                    shutil.rmtree(f"{self.path}/logs/{name}")
             return freed
 
     def shrink(self, fill: float = 0.5) -> int:

@@ -65,6 +65,8 @@ class BlobStorage:
     def put_many(self, blobs: list[tuple[bytes, str, bytes]]) -> None:
         """Append ``(key, member name, payload)`` and index them; payloads are on disk before the index names them."""
         mark = self.mark
+        if os.path.getsize(self.archive) < mark:
+            raise StoreError(Code.CORRUPTED, f"{self.archive} is shorter than what is indexed")
         at, rows = self._end(mark), []
         if at > mark:
             self.catch_up()  # members of a writer that did not get to index them
