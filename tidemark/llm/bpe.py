@@ -33,6 +33,8 @@ from tidemark.llm.memory import lean
 MAX_FILE = 64 << 20
 #: Distinct pre-tokens whose ids a worker keeps; beyond that it starts anew (results do not change).
 MEMO = 500_000
+#: Symbols whose pairs are entered in the index at a time.
+NOTED = 1 << 19
 #: The pre-tokenizer's pattern of the byte-level vocabularies (fixed value), white space spelled out below.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Unicode White_Space (fixed values); Python's own \s also takes \x1c-\x1f.
@@ -70,7 +72,7 @@ class Vocabulary:
         self.added = {x["content"]: x["id"] for x in spec.get("added_tokens", [])}
         by_id = {i: t for t, i in vocab.items()} | {i: t for t, i in self.added.items()}
         self.bytes_of = [self._raw(by_id[i], letters) if i in by_id else b"" for i in range(max(by_id) + 1)]
-        self.byte_ids = np.zeros(256, dtype=np.int64)
+        self.byte_ids = np.zeros(256, dtype=np.int32)
         for letter, b in letters.items():
             self.byte_ids[b] = vocab[letter]
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
@@ -86,7 +88,7 @@ class Vocabulary:
 
     def rank_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Rank of each pair's merge, -1 for none."""
-        keys = left << 32 | right
+        keys = left.astype(np.int64) << 32 | right
         at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
         return np.where(self.keys[at] == keys, self.ranks[at], -1)
 
@@ -128,7 +130,7 @@ class Encoder:
     def merge(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of pre-tokens one after another and how many each has, by the pair occurrence index."""
         raws = [w.encode("utf-8", "surrogatepass") for w in words]
-        owner = np.repeat(np.arange(len(raws)), [len(r) for r in raws])
+        owner = np.repeat(np.arange(len(raws), dtype=np.int32), [len(r) for r in raws])
         symbols = self.v.byte_ids[np.frombuffer(b"".join(raws), dtype=np.uint8)]
         n = len(symbols)
         after, before = np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n - 1, dtype=np.int32)
@@ -153,7 +155,8 @@ class Encoder:
                     heapq.heappush(ranks, r)
                 where[r].append(at)
 
-        note(np.flatnonzero(after >= 0).astype(np.int32))
+        for start in range(0, n, NOTED):
+            note((np.flatnonzero(after[start : start + NOTED] >= 0) + start).astype(np.int32))
         while ranks:
             rank = heapq.heappop(ranks)
             a, b, made = self.v.pairs[rank]
@@ -246,7 +249,7 @@ def encoder_of(raw: bytes) -> Encoder:
     return _ENCODERS[key]
 
 
-def batches(parts: Iterator[pd.DataFrame], chars: int = 12 << 20) -> Iterator[pd.DataFrame]:
+def batches(parts: Iterator[pd.DataFrame], chars: int = 6 << 20) -> Iterator[pd.DataFrame]:
     """Batches put together to about ``chars`` characters of text, so that a merge serves many new pre-tokens at once."""
     held, size = [], 0
     for pdf in parts:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import SparkSession
 
 #: Bytes of an Arrow batch between Spark and Python. The JVM and the worker each hold a few copies of one.
-BATCH_BYTES = 6 << 20
+BATCH_BYTES = 4 << 20
 _CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
