@@ -19,6 +19,7 @@ import uuid
 from concurrent.futures import Future
 from dataclasses import dataclass
 
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -98,11 +99,14 @@ class MessageQueue:
     def send_many(self, bodies: list[bytes], correlation_id: str | None = None, txn: WriteTxn | None = None, now_ns: int | None = None) -> list[int]:
         rows = [(i, b, correlation_id, None) for i, b in enumerate(bodies)]
         if self.blobs is not None and self.blob_threshold is not None:
+            large, at = [], time.time_ns()
             for i, (n, b, c, _) in enumerate(rows):
-                if len(b) >= self.blob_threshold:  # stored before the message that names it
-                    key = f"{self.db}/{time.time_ns()}/{n}"
-                    self.blobs.put(key.encode(), f"{abs(hash(key)):x}-{n}.bin", b)
+                if len(b) >= self.blob_threshold:
+                    key = f"{self.db}/{at}/{n}"
+                    large.append((key.encode(), f"{xxhash.xxh3_64_hexdigest(key.encode())}-{n}.bin", b))
                     rows[i] = (n, None, c, key)
+            if large:
+                self.blobs.put_many(large)  # stored, in one commit, before the messages that name them
         batch = self.store.spark.createDataFrame(rows, "n long, body binary, correlation_id string, blob_key string")
         return self.send(batch, ["n"], txn, now_ns)
 
