@@ -13,7 +13,7 @@ from tidemark.llm.line_dedup import dedup_stage
 from tidemark.llm.packing import pack_stage
 from tidemark.llm.quality import keep_good
 from tidemark.llm.similar import keep_one_of_similar
-from tidemark.session import drop_folder, materialize, scratch
+from tidemark.session import drop_folder, freed_shuffles, materialize, scratch
 
 STAGES = [
     ("quality", keep_good),
@@ -31,7 +31,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; between them the rows lie in the shared folder, a stage's other files go when it is done."""
     docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
-        with scratch(spark) as kept:
+        with scratch(spark) as kept, freed_shuffles(spark):
             docs, uri = materialize(stage(spark, docs, sf_dir), name)
             kept.append(uri)
         if before is not None:

@@ -1,9 +1,12 @@
 """The near-duplicate stage against brute force over five-word shingles."""
 
+import os
 import random
+import time
 from collections import Counter, defaultdict
 
 import corpus_pipeline
+from tidemark import session
 from tidemark.llm import similar
 
 STAGE = dict(corpus_pipeline.STAGES)["near_dedup"]
@@ -96,3 +99,38 @@ def test_components_split_a_hub(spark):
         parent[max(a, b)] = min(a, b)
     want = {r.vertex: r.component for r in got.collect()}
     assert want and all(root(v) == m for v, m in want.items()) and len(want) == len({x for r in links.collect() for x in (r.a, r.b)})
+
+
+def shuffle_files(spark):
+    """Of this process, by name."""
+    folders = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()
+    return {name for top in folders for _, _, names in os.walk(str(top)) for name in names if name.startswith("shuffle_")}
+
+
+def test_stage_frees_its_disk_on_the_way(spark, monkeypatch):
+    """Shuffle files go with their job, tables of whole documents' shingles before texts meet."""
+    rng = random.Random(4)
+    rows = []
+    for k in range(40):
+        base = [f"w{rng.randrange(3000)}" for _ in range(60)]
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join([*base[:59], "new"]))]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    before, seen, write = shuffle_files(spark), [], session.materialize
+
+    def spied(df, label):
+        out = write(df, label)
+        if label == "similar-texts":
+            seen.append({os.path.basename(uri).rsplit("-", 1)[0] for uri in session._OWN})
+        return out
+
+    monkeypatch.setattr(similar, "materialize", spied)
+    others = {os.path.basename(uri).rsplit("-", 1)[0] for uri in session._OWN}
+    kept = STAGE(spark, table, "")
+    for _ in range(50):  # they are removed beside the next job
+        if not (left := shuffle_files(spark) - before):
+            break
+        time.sleep(0.1)
+    assert not left
+    assert len(seen) == 2 and not any((now - others) & {"shingles", "shingle-classes", "pivots", "labelled-shingles"} for now in seen)
+    assert "similar-texts" in seen[0] and spark.conf.get(session._FREE, None) is None
+    assert {r.doc_id for r in kept.collect()} == set(range(0, 80, 2))

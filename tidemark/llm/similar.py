@@ -17,6 +17,9 @@ two sets differ in at least as many hashes as their bitmaps in bits, so the test
 Each fingerprint and each shared shingle links its texts to one of them; of the pairs left only those across the
 groups found so far are compared, so a large group of near copies costs a link each while every pair that could
 join two groups is still verified.
+
+Tables written on the way are dropped once the next ones stand, and the stage's jobs drop their shuffle files: at
+any time the disk holds what one job shuffles and the tables still to be read.
 """
 
 from __future__ import annotations
@@ -32,7 +35,7 @@ from xxhash import xxh3_64_intdigest, xxh64_intdigest
 from tidemark.llm import simhash
 from tidemark.llm.components import components
 from tidemark.llm.memory import lean, slices
-from tidemark.session import materialize, scratch
+from tidemark.session import drop_folder, freed_shuffles, materialize, scratch
 
 #: Words of a shingle, and the least similarity as a fraction (numerator, denominator).
 WORDS, SHARE = 5, (4, 5)
@@ -101,11 +104,13 @@ def prefix(hashes: np.ndarray, frequent: tuple[np.ndarray, np.ndarray], share: t
     return hashes[np.lexsort((hashes, place))][: n - -(-share[0] * n // share[1]) + 1]
 
 
-def _classes(texts: DataFrame, words_each: int, share: tuple[int, int]) -> tuple[DataFrame, DataFrame]:
-    """``(cls, n, rep, h, fp, bits, tokens)``, one row for each distinct set, and ``(doc_id, h, cls)``, one for each row.
+def _classes(texts: DataFrame, words_each: int, share: tuple[int, int]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``(cls, n, rep, h, fp, bits)``, one row for each distinct set, ``(token, cls, n, pos, pivot)``, one for each shingle of a prefix that several have, and ``(doc_id, h, cls)``, one for each row.
 
     rep is the smallest (doc_id, hash of its text) of the class, null if all ids are null; h the hash of one text.
+    pivot is the smallest class with the shingle.
     """
+    spark = texts.sparkSession
     shared = texts.sparkSession.sparkContext.broadcast(_frequent(texts, words_each))
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -116,11 +121,21 @@ def _classes(texts: DataFrame, words_each: int, share: tuple[int, int]) -> tuple
             names = np.array([xxh3_64_intdigest(s.tobytes()) for s in sets], dtype=np.uint64).view(np.int64)
             yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "h": pdf["h"], "cls": names, "n": np.array([len(s) for s in sets], np.int32), "fp": fps, "bits": [parity(s) for s in sets], "tokens": [prefix(s, shared.value, share).view(np.int64) for s in sets]})
 
-    rows, _ = materialize(texts.mapInPandas(lean(run), "doc_id long, h long, cls long, n int, fp long, bits array<long>, tokens array<long>"), "shingles")
+    found, found_uri = materialize(texts.mapInPandas(lean(run), "doc_id long, h long, cls long, n int, fp long, bits array<long>, tokens array<long>"), "shingles")
     rep = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "h"))).alias("rep")
     # size, bitmap and tokens follow from the set: any row of the class has them
-    classes = rows.groupBy("cls").agg(F.first("n").alias("n"), rep, F.min("h").alias("h"), F.min("fp").alias("fp"), F.first("bits").alias("bits"), F.first("tokens").alias("tokens"))
-    return materialize(classes, "shingle-classes")[0], rows.select("doc_id", "h", "cls")
+    wide = found.groupBy("cls").agg(F.first("n").alias("n"), rep, F.min("h").alias("h"), F.min("fp").alias("fp"), F.first("bits").alias("bits"), F.first("tokens").alias("tokens"))
+    wide, wide_uri = materialize(wide, "shingle-classes")
+    rows, _ = materialize(found.select("doc_id", "h", "cls"), "shingle-rows")
+    drop_folder(spark, found_uri)
+    postings = wide.select("cls", "n", F.posexplode("tokens").alias("pos", "token"))
+    pivots = postings.groupBy("token").agg(F.count(F.lit(1)).alias("k"), F.min("cls").alias("pivot")).where("k > 1").drop("k")
+    pivots, pivots_uri = materialize(pivots, "pivots")
+    postings, _ = materialize(postings.join(pivots, "token"), "shared-shingles")
+    drop_folder(spark, pivots_uri)
+    classes, _ = materialize(wide.drop("tokens"), "similar-classes")
+    drop_folder(spark, wide_uri)
+    return classes, postings, rows
 
 
 def _by_fingerprint(classes: DataFrame) -> DataFrame:
@@ -146,12 +161,6 @@ def _may(share: tuple[int, int], words: int, bits: str, bits_2: str):
 
 def _verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, words_each: int, share: tuple[int, int]) -> DataFrame:
     """Of ``(cls, cls_2)`` the pairs whose whole sets are similar, as ``(a, b)``."""
-    sizes = classes.select("cls", "n", "bits")
-    other = sizes.select(*(F.col(c).alias(f"{c}_2") for c in sizes.columns))
-    pairs, _ = materialize(pairs.join(sizes, "cls").join(other, "cls_2").where(_may(share, PARITY, "bits", "bits_2")).select("cls", "cls_2"), "similar-pairs")
-    needed, _ = materialize(pairs.select("cls").union(pairs.select("cls_2")).distinct().join(classes.select("cls", "h"), "cls"), "similar-needed")
-    own, _ = materialize(texts.select("h", "text").join(needed, "h").select("cls", "text").dropDuplicates(["cls"]), "similar-texts")
-
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last, mine = None, None
         for pdf in parts:
@@ -164,10 +173,18 @@ def _verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, words_each
                 good.append((share[0] + share[1]) * both >= share[0] * (len(mine) + len(other)))
             yield pdf.loc[np.array(good, dtype=bool), ["a", "b"]]
 
-    left = own.select(F.col("cls").alias("a"), "text")
-    right = own.select(F.col("cls").alias("b"), F.col("text").alias("text_2"))
-    met = pairs.select(F.col("cls").alias("a"), F.col("cls_2").alias("b")).join(right, "b").join(left, "a")
-    return materialize(met.select("a", "b", "text", "text_2").mapInPandas(lean(run), "a long, b long"), "similar-links")[0]
+    sizes = classes.select("cls", "n", "bits")
+    other = sizes.select(*(F.col(c).alias(f"{c}_2") for c in sizes.columns))
+    with scratch(classes.sparkSession) as kept:
+        pairs, _ = materialize(pairs.join(sizes, "cls").join(other, "cls_2").where(_may(share, PARITY, "bits", "bits_2")).select("cls", "cls_2"), "similar-pairs")
+        needed, _ = materialize(pairs.select("cls").union(pairs.select("cls_2")).distinct().join(classes.select("cls", "h"), "cls"), "similar-needed")
+        own, _ = materialize(texts.select("h", "text").join(needed, "h").select("cls", "text").dropDuplicates(["cls"]), "similar-texts")
+        left = own.select(F.col("cls").alias("a"), "text")
+        right = own.select(F.col("cls").alias("b"), F.col("text").alias("text_2"))
+        met = pairs.select(F.col("cls").alias("a"), F.col("cls_2").alias("b")).join(right, "b").join(left, "a")
+        links, uri = materialize(met.select("a", "b", "text", "text_2").mapInPandas(lean(run), "a long, b long"), "similar-links")
+        kept.append(uri)
+    return links
 
 
 def groups(docs: DataFrame, words_each: int = WORDS, share: tuple[int, int] = SHARE) -> tuple[DataFrame, DataFrame]:
@@ -177,11 +194,7 @@ def groups(docs: DataFrame, words_each: int = WORDS, share: tuple[int, int] = SH
     a null rep. Extra columns are ignored; an empty table gives none.
     """
     texts = _text(docs)
-    classes, rows = _classes(texts, words_each, share)
-    postings = classes.select("cls", "n", F.posexplode("tokens").alias("pos", "token"))
-    pivots = postings.groupBy("token").agg(F.count(F.lit(1)).alias("k"), F.min("cls").alias("pivot")).where("k > 1").drop("k")
-    pivots, _ = materialize(pivots, "pivots")
-    postings, _ = materialize(postings.join(pivots, "token"), "shared-shingles")
+    classes, postings, rows = _classes(texts, words_each, share)
 
     def other(rows: DataFrame) -> DataFrame:
         return rows.select("token", *(F.col(c).alias(f"{c}_2") for c in rows.columns if c != "token"))
@@ -190,19 +203,22 @@ def groups(docs: DataFrame, words_each: int = WORDS, share: tuple[int, int] = SH
     first = _by_fingerprint(classes).union(to_pivot)
     links = _verified(first.select(F.least("cls", "cls_2").alias("cls"), F.greatest("cls", "cls_2").alias("cls_2")).distinct(), classes, texts, words_each, share)
 
-    named, _ = materialize(components(links), "similar-components")
-    now = postings.drop("pivot").join(named, postings["cls"] == named["vertex"], "left").select("token", "cls", "n", "pos", F.coalesce("component", "cls").alias("label"))
-    now, _ = materialize(now, "labelled-shingles")
-    of_token = now.groupBy("token", "label").agg(F.count(F.lit(1)).alias("k")).groupBy("token").agg(F.max_by("label", F.struct("k", "label")).alias("main"), F.count(F.lit(1)).alias("labels"))
-    of_token, _ = materialize(of_token.where("labels > 1").drop("labels"), "main-labels")
-    folded = F.transform(F.sequence(F.lit(0), F.lit(FOLDED - 1)), lambda i: F.aggregate(F.sequence(F.lit(0), F.lit(PARITY // FOLDED - 1)), F.lit(0).cast("long"), lambda x, k: x.bitwiseXOR(F.get("bits", k * FOLDED + i))))
-    now = now.join(of_token, "token").join(classes.select("cls", folded.alias("bits")), "cls")
-    now, _ = materialize(now, "open-shingles")  # of shingles that more than one group has
-    # pairs within a token's main group are linked already; all others have a side outside it
-    outside = now.where("label <> main")
-    met = outside.join(other(now.drop("main")), "token").where((F.col("label") != F.col("label_2")) & ((F.col("label_2") == F.col("main")) | (F.col("cls") < F.col("cls_2"))) & _fits(share) & _may(share, FOLDED, "bits", "bits_2"))
-    pairs = met.select(F.least("cls", "cls_2").alias("cls"), F.greatest("cls", "cls_2").alias("cls_2")).distinct()
-    links = links.union(_verified(pairs, classes, texts, words_each, share))
+    with scratch(docs.sparkSession) as kept:
+        named, _ = materialize(components(links), "similar-components")
+        now = postings.drop("pivot").join(named, postings["cls"] == named["vertex"], "left").select("token", "cls", "n", "pos", F.coalesce("component", "cls").alias("label"))
+        now, now_uri = materialize(now, "labelled-shingles")
+        of_token = now.groupBy("token", "label").agg(F.count(F.lit(1)).alias("k")).groupBy("token").agg(F.max_by("label", F.struct("k", "label")).alias("main"), F.count(F.lit(1)).alias("labels"))
+        of_token, _ = materialize(of_token.where("labels > 1").drop("labels"), "main-labels")
+        folded = F.transform(F.sequence(F.lit(0), F.lit(FOLDED - 1)), lambda i: F.aggregate(F.sequence(F.lit(0), F.lit(PARITY // FOLDED - 1)), F.lit(0).cast("long"), lambda x, k: x.bitwiseXOR(F.get("bits", k * FOLDED + i))))
+        now = now.join(of_token, "token").join(classes.select("cls", folded.alias("bits")), "cls")
+        now, _ = materialize(now, "open-shingles")  # of shingles that more than one group has
+        drop_folder(docs.sparkSession, now_uri)
+        # pairs within a token's main group are linked already; all others have a side outside it
+        outside = now.where("label <> main")
+        met = outside.join(other(now.drop("main")), "token").where((F.col("label") != F.col("label_2")) & ((F.col("label_2") == F.col("main")) | (F.col("cls") < F.col("cls_2"))) & _fits(share) & _may(share, FOLDED, "bits", "bits_2"))
+        pairs = met.select(F.least("cls", "cls_2").alias("cls"), F.greatest("cls", "cls_2").alias("cls_2")).distinct()
+        links, uri = materialize(links.union(_verified(pairs, classes, texts, words_each, share)), "similar-links")
+        kept.append(uri)
 
     named, _ = materialize(components(links), "similar-components")
     linked = classes.select("cls", "rep").join(named, classes["cls"] == named["vertex"]).select("cls", "rep", "component")
@@ -218,7 +234,7 @@ def keep_one_of_similar(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     repeat a doc_id and a text are one document, of which the row with the smallest columns stays. Rows without a
     doc_id cannot be named as kept or dropped; they stay. Null texts are without words.
     """
-    with scratch(spark) as kept:
+    with scratch(spark) as kept, freed_shuffles(spark):
         named, rows = groups(docs)
         named, _ = materialize(named, "similar-reps")
         own = F.struct("doc_id", "h")

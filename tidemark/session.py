@@ -22,6 +22,10 @@ from pyspark.sql import DataFrame, SparkSession
 UNSET_DIR = "file:///tmp/checkpoints/tidemark"
 _OWN: dict[str, SparkSession] = {}
 _OPEN = threading.local()
+#: Makes each query drop its shuffle files as it ends; otherwise they stay until the driver collects its garbage.
+_FREE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_FREEING: dict[int, list] = {}
+_LOCK = threading.Lock()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -76,6 +80,30 @@ def scratch(spark: SparkSession) -> Iterator[list[str]]:
                 drop_folder(spark, uri)
 
 
+@contextmanager
+def freed_shuffles(spark: SparkSession) -> Iterator[None]:
+    """The session's queries inside drop their shuffle files as they end: for jobs whose results are written or collected.
+
+    A DataFrame that is executed again inside computes its shuffles again. Blocks may nest and run side by side.
+    """
+    key = spark._jsparkSession.hashCode()
+    with _LOCK:
+        held = _FREEING.setdefault(key, [0, spark.conf.get(_FREE, None)])
+        held[0] += 1
+        spark.conf.set(_FREE, "true")
+    try:
+        yield
+    finally:
+        with _LOCK:
+            held[0] -= 1
+            if not held[0]:
+                del _FREEING[key]
+                if held[1] is None:
+                    spark.conf.unset(_FREE)
+                else:
+                    spark.conf.set(_FREE, held[1])
+
+
 @atexit.register
 def _sweep() -> None:
     for uri, spark in list(_OWN.items()):
